@@ -1,78 +1,108 @@
 """Window statistics as native column expressions.
 
 A matrix column is ``array<array<double>>``: one inner array per bar, bars in time
-order. All functions map columns to columns and add no shuffle. They keep each step
-visible; scoring many windows uses the Arrow kernel in ``kernel.py``.
+order. All functions map columns to columns and add no shuffle. They make each step
+of the score available by itself; scoring many windows uses the Arrow kernel in
+``kernel.py``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
 
 
+def _mean(values: Column) -> Column:
+    return F.try_divide(_sum(values), F.size(values))
+
+
 def as_matrix(bars: Column, match: Sequence[str]) -> Column:
     """Rows are bars, columns are the match columns in the configured order."""
     return F.transform(bars, lambda b: F.array(*(b[c].cast("double") for c in match)))
 
 
 def column_means(x: Column, width: int) -> Column:
-    return F.array(
-        *(
-            F.try_divide(_sum(F.transform(x, lambda r: r[c])), F.size(x))
-            for c in range(width)
-        )
+    return _let(
+        x, lambda m: F.array(*(_mean(F.transform(m, lambda r: r[c])) for c in range(width)))
     )
 
 
-def column_stddevs(x: Column, means: Column, width: int) -> Column:
+def column_stddevs(x: Column, width: int) -> Column:
     """Sample standard deviation of every column."""
-    return F.array(
-        *(
-            F.sqrt(
-                F.try_divide(
-                    _sum(F.transform(x, lambda r: (r[c] - means[c]) * (r[c] - means[c]))),
-                    F.size(x) - 1,
-                )
-            )
-            for c in range(width)
-        )
+
+    def spread(m: Column, mean: Column, c: int) -> Column:
+        squares = F.transform(m, lambda r: (r[c] - mean) * (r[c] - mean))
+        return F.sqrt(F.try_divide(_sum(squares), F.size(m) - 1))
+
+    return _let(
+        x,
+        lambda m: _let(
+            column_means(m, width),
+            lambda means: F.array(*(spread(m, means[c], c) for c in range(width))),
+        ),
     )
 
 
-def scale_by_mean(x: Column, means: Column) -> Column:
+def scale_by_mean(x: Column, width: int) -> Column:
     """Divide every column by its mean; a zero mean gives NULL cells."""
-    return F.transform(x, lambda r: F.zip_with(r, means, lambda v, m: F.try_divide(v, m)))
+    return _let(
+        x,
+        lambda m: _let(
+            column_means(m, width),
+            lambda means: F.transform(m, lambda r: F.zip_with(r, means, F.try_divide)),
+        ),
+    )
 
 
 def pair_distance(x: Column) -> Column:
     """Euclidean distance between all rows of ``x``, from the differences themselves."""
-    return F.transform(
-        x,
-        lambda r: F.transform(
-            x, lambda s: F.sqrt(_sum(F.zip_with(r, s, lambda u, v: (u - v) * (u - v))))
-        ),
-    )
 
+    def distance(r: Column, s: Column) -> Column:
+        return F.sqrt(_sum(F.zip_with(r, s, lambda u, v: (u - v) * (u - v))))
 
-def row_means(d: Column) -> Column:
-    return F.transform(d, lambda r: F.try_divide(_sum(r), F.size(r)))
+    return _let(
+        x, lambda m: F.transform(m, lambda r: F.transform(m, lambda s: distance(r, s)))
+    )
 
 
-def center(d: Column, means: Column) -> Column:
+def center(d: Column) -> Column:
     """Double centring of a distance matrix, whose column means are its row means."""
-    grand = F.try_divide(_sum(means), F.size(means))
-    return F.transform(
-        d, lambda r, i: F.transform(r, lambda v, j: v - means[i] - means[j] + grand)
+
+    def centred(m: Column, means: Column, grand: Column) -> Column:
+        return F.transform(
+            m, lambda r, i: F.transform(r, lambda v, j: v - means[i] - means[j] + grand)
+        )
+
+    return _let(
+        d,
+        lambda m: _let(
+            F.transform(m, _mean),
+            lambda means: _let(_mean(means), lambda grand: centred(m, means, grand)),
+        ),
     )
 
 
+def centred_distances(
+    x: Column, width: int, normalize: str = "mean", passes: int = 2
+) -> Column:
+    """All steps from the window matrix to its centred distance matrix."""
+    d = scale_by_mean(x, width) if normalize == "mean" else x
+    for _ in range(passes):
+        d = pair_distance(d)
+    return center(d)
+
+
 def inner_product(a: Column, b: Column) -> Column:
     return _sum(
         F.zip_with(a, b, lambda r, s: _sum(F.zip_with(r, s, lambda u, v: u * v)))
@@ -81,7 +111,13 @@ def inner_product(a: Column, b: Column) -> Column:
 
 def distance_covariance(a: Column, b: Column) -> Column:
     """Covariance of two centred distance matrices of the same size."""
-    return F.try_divide(F.sqrt(F.greatest(inner_product(a, b), F.lit(0.0))), F.size(a))
+    return _let(
+        a, lambda m: F.try_divide(F.sqrt(F.greatest(inner_product(m, b), F.lit(0.0))), F.size(m))
+    )
+
+
+def distance_variance(a: Column) -> Column:
+    return _let(a, lambda m: distance_covariance(m, m))
 
 
 def distance_correlation(cov_ab: Column, cov_aa: Column, cov_bb: Column) -> Column:

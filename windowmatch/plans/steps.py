@@ -1,4 +1,4 @@
-"""The steps of the score as native column expressions, one column per step."""
+"""The steps of the score on windows, by native column expressions."""
 
 from __future__ import annotations
 
@@ -11,23 +11,12 @@ from windowmatch.config import SearchColumns
 from windowmatch.functions import matrix as M
 
 
-def matrix_steps(
-    filled: DataFrame, cols: SearchColumns, normalize: str = "mean", passes: int = 2
-) -> DataFrame:
-    """Adds ``x``, ``means``, ``scaled``, ``distance1``, … and ``centred`` to rows with ``bars``."""
-    width = len(cols.match)
-    out = filled.withColumn("x", M.as_matrix(F.col("bars"), cols.match))
-    out = out.withColumn("means", M.column_means(F.col("x"), width))
-    scaled = M.scale_by_mean(F.col("x"), F.col("means")) if normalize == "mean" else F.col("x")
-    out, last = out.withColumn("scaled", scaled), "scaled"
-    for i in range(1, passes + 1):
-        out = out.withColumn(f"distance{i}", M.pair_distance(F.col(last)))
-        last = f"distance{i}"
-    out = out.withColumn("row_means", M.row_means(F.col(last)))
-    return out.withColumn("centred", M.center(F.col(last), F.col("row_means")))
-
-
-def literal_matrix(rows: Sequence[Sequence[float]]) -> Column:
+def with_matrix(filled: DataFrame, cols: SearchColumns) -> DataFrame:
+    """Adds the window matrix ``x`` to rows that hold the bars of a window in ``bars``."""
+    return filled.withColumn("x", M.as_matrix(F.col("bars"), cols.match)).drop("bars")
+
+
+def _literal(rows: Sequence[Sequence[float]]) -> Column:
     return F.array(*(F.array(*(F.lit(float(v)) for v in row)) for row in rows))
 
 
@@ -38,19 +27,24 @@ def correlation_steps(
     normalize: str = "mean",
     passes: int = 2,
 ) -> DataFrame:
-    """Covariances and correlation with the pattern, for windows as long as the pattern."""
-    fields = F.array(
-        *(F.struct(*(F.lit(float(v)).alias(c) for c, v in zip(cols.match, row))) for row in pattern)
+    """Covariances and correlation with the pattern, for windows as long as the pattern.
+
+    The pattern's own part is computed once and enters the plan as literals.
+    """
+    width = len(cols.match)
+    one = filled.sparkSession.range(1).select(
+        M.centred_distances(_literal(pattern), width, normalize, passes).alias("p")
+    )
+    p, cov_bb = one.select("p", M.distance_variance(F.col("p"))).first()
+    same = with_matrix(filled.where(F.size("bars") == len(pattern)), cols)
+    centred = same.select(
+        *cols.window_key,
+        M.centred_distances(F.col("x"), width, normalize, passes).alias("centred"),
     )
-    one = filled.sparkSession.range(1).select(fields.alias("bars"))
-    centred = literal_matrix(matrix_steps(one, cols, normalize, passes).first()["centred"])
-    same = filled.where(F.size("bars") == len(pattern))
-    steps = matrix_steps(same, cols, normalize, passes)
-    covs = steps.select(
+    covs = centred.select(
         *cols.window_key,
-        M.distance_covariance(F.col("centred"), centred).alias("cov_ab"),
-        M.distance_covariance(F.col("centred"), F.col("centred")).alias("cov_aa"),
-        M.distance_covariance(centred, centred).alias("cov_bb"),
+        M.distance_covariance(F.col("centred"), _literal(p)).alias("cov_ab"),
+        M.distance_variance(F.col("centred")).alias("cov_aa"),
     )
-    corr = M.distance_correlation(F.col("cov_ab"), F.col("cov_aa"), F.col("cov_bb"))
+    corr = M.distance_correlation(F.col("cov_ab"), F.col("cov_aa"), F.lit(cov_bb))
     return covs.withColumn("similarity", corr)
