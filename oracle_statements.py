@@ -199,7 +199,7 @@ merged AS (
         "window_bars_grouped": window_bars,
         "window_matrix": _with(BARS, WINDOWS, PAIRS) + "SELECT sid, begintime, i, open, high, low, close FROM pairs",
         "window_mean": _with(BARS, WINDOWS, PAIRS) + f"""
-          SELECT sid, begintime, {', '.join(_r6(f'avg({c})', f'mean_{c}') for c in PRICES)}
+          SELECT sid, begintime, {', '.join(_r6(f'sum({c} ORDER BY i) / count({c})', f'mean_{c}') for c in PRICES)}
           FROM pairs GROUP BY sid, begintime""",
         "window_stddev": _with(BARS, WINDOWS, PAIRS) + f"""
           SELECT sid, begintime, {', '.join(_r6(f'stddev_samp({c})', f'std_{c}') for c in PRICES)}

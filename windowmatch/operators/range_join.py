@@ -71,10 +71,10 @@ def _window_cells(keys: DataFrame, cols: SearchColumns, cells: Cells) -> DataFra
     for narrower in cells.widths[1:]:
         width = F.when(end - begin < narrower, F.lit(narrower)).otherwise(width)
     timed = keys.where(F.col(cols.end) >= F.col(cols.begin)).select(
-        *cols.window_key, width.cast("long").alias("width"), begin.alias("b"), end.alias("e")
+        *cols.window_key, width.cast("long").alias("_width"), begin.alias("_begin"), end.alias("_end")
     )
-    touched = F.sequence(_cell(F.col("b"), F.col("width")), _cell(F.col("e"), F.col("width")))
-    return timed.select(*cols.window_key, "width", F.explode(touched).alias("cell"))
+    touched = F.sequence(_cell(F.col("_begin"), F.col("_width")), _cell(F.col("_end"), F.col("_width")))
+    return timed.select(*cols.window_key, "_width", F.explode(touched).alias("_cell"))
 
 
 def _bar_cells(bars: DataFrame, cols: SearchColumns, cells: Cells) -> DataFrame:
@@ -84,13 +84,13 @@ def _bar_cells(bars: DataFrame, cols: SearchColumns, cells: Cells) -> DataFrame:
         F.col(cols.sid).between(*(F.lit(v) for v in cells.sids))
         & F.col(cols.time).between(*(F.lit(v).cast(kind) for v in cells.times))
     )
-    timed = near.withColumn("t", micros(near, cols.time))
+    timed = near.withColumn("_time", micros(near, cols.time))
     if len(cells.widths) == 1:
-        wide = timed.withColumn("width", F.lit(cells.widths[0]).cast("long"))
+        wide = timed.withColumn("_width", F.lit(cells.widths[0]).cast("long"))
     else:
         widths = F.array(*(F.lit(w).cast("long") for w in cells.widths))
-        wide = timed.withColumn("width", F.explode(widths))
-    return wide.withColumn("cell", _cell(F.col("t"), F.col("width"))).drop("t")
+        wide = timed.withColumn("_width", F.explode(widths))
+    return wide.withColumn("_cell", _cell(F.col("_time"), F.col("_width"))).drop("_time")
 
 
 def matched_bars(
@@ -113,7 +113,7 @@ def matched_bars(
         left = F.broadcast(left)
     right = _bar_cells(bars, cols, cells)
     return (
-        right.join(left, [cols.sid, "width", "cell"])
+        right.join(left, [cols.sid, "_width", "_cell"])
         .where(F.col(cols.time).between(F.col(cols.begin), F.col(cols.end)))
         .select(*cols.window_key, *fields)
     )
@@ -148,8 +148,8 @@ def window_matrices(
     by_time = Window.partitionBy(*cols.window_key).orderBy(*order)
     entry = F.struct(*(F.col(c) for c in (*order, *cols.match)))
     return (
-        pairs.withColumn("place", F.row_number().over(by_time))
-        .where(F.col("place") <= n + 1)
+        pairs.withColumn("_place", F.row_number().over(by_time))
+        .where(F.col("_place") <= n + 1)
         .groupBy(*cols.window_key)
         .agg(F.sort_array(F.collect_list(entry)).alias("bars"))
         .where(F.size("bars") == n)

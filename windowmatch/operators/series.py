@@ -45,15 +45,15 @@ def runs(
             bars.join(F.broadcast(split_sids(bars, cols)), cols.sid, "left_semi")
             .select(
                 *bars.columns,
-                F.lead(cols.time, n - 1).over(in_tile).isNull().alias("is_tail"),
-                F.row_number().over(in_tile).alias("from_start"),
+                F.lead(cols.time, n - 1).over(in_tile).isNull().alias("_is_tail"),
+                F.row_number().over(in_tile).alias("_from_start"),
             )
-            .where(F.col("is_tail") | (F.col("from_start") < n))
+            .where(F.col("_is_tail") | (F.col("_from_start") < n))
         )
         bridged = (
-            border.select(*columns, "is_tail", *_run_columns(cols, n, across, extra))
-            .where(F.col("is_tail") & F.col(cols.end).isNotNull())
-            .drop("is_tail")
+            border.select(*columns, "_is_tail", *_run_columns(cols, n, across, extra))
+            .where(F.col("_is_tail") & F.col(cols.end).isNotNull())
+            .drop("_is_tail")
         )
         found = found.unionByName(bridged)
     return found.withColumn(cols.period, F.lit(n))
@@ -71,12 +71,12 @@ def tile_counts(rows: DataFrame, cols: SearchColumns) -> DataFrame:
     before = per_sid.orderBy(TILE).rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.groupBy(cols.sid, TILE)
-        .agg(F.count(F.lit(1)).alias("n_tile"))
+        .agg(F.count(F.lit(1)).alias("_n_tile"))
         .select(
             cols.sid,
             TILE,
-            F.sum("n_tile").over(per_sid).alias("n_sid"),
-            F.coalesce(F.sum("n_tile").over(before), F.lit(0)).alias("n_before"),
+            F.sum("_n_tile").over(per_sid).alias("n_sid"),
+            F.coalesce(F.sum("_n_tile").over(before), F.lit(0)).alias("n_before"),
         )
     )
 
@@ -84,11 +84,11 @@ def tile_counts(rows: DataFrame, cols: SearchColumns) -> DataFrame:
 def positions(bars: DataFrame, cols: SearchColumns) -> DataFrame:
     """The ordered sequence of each security, as rows numbered from 0 in ``pos``."""
     in_tile = Window.partitionBy(cols.sid, TILE).orderBy(*cols.time_order(bars))
-    numbered = bars.withColumn("in_tile", F.row_number().over(in_tile) - 1)
+    numbered = bars.withColumn("_in_tile", F.row_number().over(in_tile) - 1)
     return (
         numbered.join(tile_counts(bars, cols), [cols.sid, TILE])
-        .withColumn("pos", F.col("n_before") + F.col("in_tile"))
-        .drop("in_tile", "n_before", "n_sid")
+        .withColumn("pos", F.col("n_before") + F.col("_in_tile"))
+        .drop("_in_tile", "n_before", "n_sid")
     )
 
 
@@ -101,10 +101,10 @@ def with_index(rows: DataFrame, cols: SearchColumns, name: str = "sample_id") ->
     in_tile = Window.partitionBy(TILE).orderBy(*cols.window_key)
     earlier = Window.orderBy(TILE).rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(TILE).agg(F.count(F.lit(1)).alias("n"))
-    starts = counts.select(TILE, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    starts = counts.select(TILE, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_start"))
     return (
-        rows.withColumn("place", F.row_number().over(in_tile) - 1)
+        rows.withColumn("_place", F.row_number().over(in_tile) - 1)
         .join(F.broadcast(starts), TILE)
-        .withColumn(name, (F.col("start") + F.col("place")).cast("long"))
-        .drop("place", "start")
+        .withColumn(name, (F.col("_start") + F.col("_place")).cast("long"))
+        .drop("_place", "_start")
     )

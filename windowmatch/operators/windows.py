@@ -46,8 +46,8 @@ def draw_windows(
     )
     weight = F.col("n_sid") / (F.col("n_sid") - (n - 1))
     return (
-        counted.withColumn("draw", -F.ln(hash_uniform(cols, seed)) / weight)
-        .orderBy("draw", *cols.window_key)
+        counted.withColumn("_draw", -F.ln(hash_uniform(cols, seed)) / weight)
+        .orderBy("_draw", *cols.window_key)
         .limit(m)
         .select(*cols.window_key, cols.period)
     )

@@ -62,3 +62,14 @@ def similarity_of_all(
     n = len(pattern)
     filled = runs(bars, cols, n, {"bars": run_bars(cols, bars, n)})
     return score_windows(filled, pattern, cols, normalize, passes)
+
+
+def similarity_grouped(
+    bars: DataFrame,
+    windows: DataFrame,
+    pattern: Matrix,
+    cols: SearchColumns = SearchColumns(),
+    **options,
+) -> DataFrame:
+    """``similarity`` by the plan that sends the windows to the bars."""
+    return similarity(bars, windows, pattern, cols, grouped=True, **options)

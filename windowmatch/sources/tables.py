@@ -112,12 +112,13 @@ def upsert_into(
     years = [r[0] for r in delta.select(YEAR).distinct().collect()]
     touched = stored.where(F.col(YEAR).isin(years))
     merged = stage(upsert(touched, delta, cols.bar_key(stored), **order), "merged")
-    (
-        merged.select(*stored.columns)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .insertInto(table)
-    )
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")
+    try:
+        merged.select(*stored.columns).write.mode("overwrite").insertInto(table)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def replace_windows(
