@@ -76,6 +76,33 @@ def test_similarity_keeps_every_window(spark, bars, rows, plan):
         assert row["similarity"] == (None if score is None else pytest.approx(score, abs=1e-9))
 
 
+def test_cell_widths_keep_the_join_small():
+    day, year = 86_400_000_000, 365 * 86_400_000_000
+    cases = {
+        "one length": [(10 * day, 1000)],
+        "a rare long window": [(10 * day, 1000), (10 * year, 1)],
+        "rare short windows": [(1, 5), (10 * day, 1000)],
+        "two common lengths": [(day // 24, 500), (year, 500)],
+        "one huge window": [(1000 * year, 1)],
+        "a huge window among many": [(1000, 10**9), (1000 * year, 1)],
+        "every length": [(4**i, 7) for i in range(27)],
+    }
+    for classes in cases.values():
+        total = sum(n for _, n in classes)
+        widths = range_join.cell_widths(classes)
+        assert widths[-1][0] == classes[-1][0]
+        assert list(widths) == sorted(widths)
+        for span, n in classes:
+            width = next(w for longest, w in widths if span <= longest)
+            touched = span // width + 2
+            assert touched <= range_join.MAX_CELLS + 2
+            assert n * touched <= 4 * total
+    for name in ("one length", "a rare long window", "rare short windows", "one huge window"):
+        assert len(range_join.cell_widths(cases[name])) == 1
+    assert range_join.cell_widths(cases["a rare long window"])[0][1] <= 10 * day
+    assert len(range_join.cell_widths(cases["two common lengths"])) == 2
+
+
 def test_no_windows(spark, bars):
     windows = spark.createDataFrame([], WINDOWS)
     assert similarity(bars, windows, [[1.0] * 4] * 3, COLS).count() == 0

@@ -91,17 +91,23 @@ def test_positions_and_index(spark, bars, rows):
     )
 
 
-def test_draw_is_the_smallest_weighted_keys(bars, rows):
-    n, m, seed = 10, 25, 7
+def draw_key(window, seed, n, counts):
+    sid, begin, _ = window
+    text = f"{sid}|{begin:%Y-%m-%d %H:%M:%S}|{seed}"
+    u = (int(hashlib.md5(text.encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    return -math.log(u) / (counts[sid] / (counts[sid] - n + 1))
 
-    def draw(window):
-        sid, begin, end = window
-        text = f"{sid}|{begin:%Y-%m-%d %H:%M:%S}|{seed}"
-        u = (int(hashlib.md5(text.encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-        return -math.log(u) / (COUNTS[sid] / (COUNTS[sid] - n + 1))
 
-    want = sorted(sorted(fx.windows_of(rows, n), key=draw)[:m])
-    assert keys(windows.draw_windows(bars, COLS, n, m, seed)) == want
+@pytest.mark.parametrize("m", [3, 25, 200])
+def test_draw_is_the_smallest_weighted_keys(bars, rows, m):
+    order = sorted(fx.windows_of(rows, 10), key=lambda w: draw_key(w, 7, 10, COUNTS))
+    assert keys(windows.draw_windows(bars, COLS, 10, m, 7)) == sorted(order[:m])
+
+
+def test_draw_without_enough_below_the_cutoff(bars, rows, monkeypatch):
+    monkeypatch.setattr(windows, "CUTOFF_SIGMAS", -2.5)
+    order = sorted(fx.windows_of(rows, 10), key=lambda w: draw_key(w, 7, 10, COUNTS))
+    assert keys(windows.draw_windows(bars, COLS, 10, 25, 7)) == sorted(order[:25])
 
 
 def test_draw_more_than_there_are(bars, rows):
@@ -109,16 +115,15 @@ def test_draw_more_than_there_are(bars, rows):
     assert keys(windows.draw_windows(bars, COLS, 200, 10_000)) == everything
 
 
-def test_draw_prefers_short_series_windows_as_often_as_their_bars(spark):
+def test_a_security_is_drawn_as_often_as_it_has_bars():
     """Security 1: 5 bars, one window of 5; security 2: 9 bars, five windows."""
-    rows = fx.random_bars({1: 5, 2: 9})
-    bars = lay_out(spark.createDataFrame(rows, fx.BARS), COLS, buckets=1).cache()
-    runs = 60
-    hits = sum(
-        windows.draw_windows(bars, COLS, 5, 1, seed).first()["sid"] == 1 for seed in range(runs)
-    )
-    # The chance is 5 of 14; four standard deviations around it.
-    assert abs(hits / runs - 5 / 14) < 4 * math.sqrt(5 / 14 * 9 / 14 / runs)
+    counts = {1: 5, 2: 9}
+    found = fx.windows_of(fx.random_bars(counts), 5)
+    draws = 4000
+    first = [min(found, key=lambda w: draw_key(w, seed, 5, counts))[0] for seed in range(draws)]
+    chance = 5 / 14
+    spread = math.sqrt(chance * (1 - chance) / draws)
+    assert abs(first.count(1) / draws - chance) < 4 * spread
 
 
 def test_pattern_is_the_first_window(bars, rows):

@@ -1,9 +1,10 @@
 """Join of windows with the bars they cover: same security, closed time interval.
 
-The join is an equality join on (sid, cell). A cell is a stretch of time about as long
-as the windows, so a bar only meets windows near it, and a security with very many
-bars is spread over its cells. Windows of very different spans use cells of different
-widths.
+The join is an equality join on (sid, cell), a cell being a stretch of time. A bar
+only meets windows near it, and a security with very many bars is spread over its
+cells. Cells are about as wide as most windows; the few much longer windows enter
+once per cell they touch, so they do not make the cells wide, and a bar is repeated
+only if windows of very different lengths are both common.
 """
 
 from __future__ import annotations
@@ -16,30 +17,56 @@ from pyspark.sql import functions as F
 from windowmatch.config import SearchColumns
 from windowmatch.functions.times import micros
 
-# Windows up to this many times shorter than a cell share it.
-WIDTH_STEP = 4
-# Window keys are three 8-byte values, so this many are at most some 40 MB to broadcast.
+# Spans are counted in classes, each this many times wider than the one before.
+SPAN_STEP = 4
+# No window touches more cells than this.
+MAX_CELLS = 10_000
+# A class of spans with a smaller share of the windows uses the cells of a wider one.
+COMMON_SHARE = 0.1
+# Windows are a few 8-byte values each, so this many are at most some 40 MB to broadcast.
 BROADCAST_WINDOWS = 500_000
 
 
 @dataclass(frozen=True)
 class Cells:
-    """Cell widths in microseconds, widest first, and the range all windows lie in."""
+    """Cell widths as (longest span, width) in microseconds, and the range of all windows."""
 
-    widths: tuple[int, ...]
+    widths: tuple[tuple[int, int], ...]
     sids: tuple
     times: tuple
 
 
+def cell_widths(classes: list[tuple[int, int]]) -> tuple[tuple[int, int], ...]:
+    """(longest span, width) pairs for (longest span, windows) classes, both by rising span.
+
+    Each class enters the join with at most about as many rows as there are windows.
+    """
+    total = sum(count for _, count in classes)
+    widths: list[tuple[int, int]] = []
+    waiting = 0
+    for place, (span, count) in enumerate(classes):
+        waiting += count
+        fitting = max(span * waiting // total, span // MAX_CELLS, 1)
+        if widths and fitting <= widths[-1][1]:
+            widths[-1] = (span, widths[-1][1])
+        elif waiting < total * COMMON_SHARE and place + 1 < len(classes):
+            continue
+        else:
+            widths.append((span, fitting))
+        waiting = 0
+    return tuple(widths)
+
+
 def measure(windows: DataFrame, cols: SearchColumns) -> Cells:
-    """One aggregation over the windows; at most one row per power of the step returns."""
-    span = (micros(windows, cols.end) - micros(windows, cols.begin)).alias("span")
-    spans = windows.select(*cols.window_key, span).where("span >= 0")
-    level = F.floor(F.log(float(WIDTH_STEP), F.col("span") + 1.0)).alias("level")
+    """One aggregation over the windows, which returns one row per class of spans."""
+    span = (micros(windows, cols.end) - micros(windows, cols.begin)).alias("_span")
+    spans = windows.select(*cols.window_key, span).where("_span >= 0")
+    span_class = F.floor(F.log(float(SPAN_STEP), F.col("_span") + 1.0))
     rows = (
-        spans.groupBy(level)
+        spans.groupBy(span_class.alias("_class"))
         .agg(
-            F.max("span").alias("span"),
+            F.max("_span").alias("span"),
+            F.count(F.lit(1)).alias("n"),
             F.min(cols.sid).alias("sid_lo"),
             F.max(cols.sid).alias("sid_hi"),
             F.min(cols.begin).alias("lo"),
@@ -47,14 +74,10 @@ def measure(windows: DataFrame, cols: SearchColumns) -> Cells:
         )
         .collect()
     )
-    widths: list[int] = []
-    for width in sorted((r["span"] + 1 for r in rows), reverse=True):
-        if not widths or width * WIDTH_STEP <= widths[-1]:
-            widths.append(width)
     if not rows:
         return Cells((), (), ())
     return Cells(
-        tuple(widths),
+        cell_widths(sorted((r["span"] + 1, r["n"]) for r in rows)),
         (min(r["sid_lo"] for r in rows), max(r["sid_hi"] for r in rows)),
         (min(r["lo"] for r in rows), max(r["hi"] for r in rows)),
     )
@@ -64,17 +87,17 @@ def _cell(time: Column, width: Column) -> Column:
     return F.floor(time / width).cast("long")
 
 
-def _window_cells(keys: DataFrame, cols: SearchColumns, cells: Cells) -> DataFrame:
-    """The windows, once for each cell they touch: two at most."""
-    begin, end = micros(keys, cols.begin), micros(keys, cols.end)
-    width = F.lit(cells.widths[0])
-    for narrower in cells.widths[1:]:
-        width = F.when(end - begin < narrower, F.lit(narrower)).otherwise(width)
-    timed = keys.where(F.col(cols.end) >= F.col(cols.begin)).select(
-        *cols.window_key, width.cast("long").alias("_width"), begin.alias("_begin"), end.alias("_end")
+def _window_cells(windows: DataFrame, cols: SearchColumns, cells: Cells) -> DataFrame:
+    """The windows, once for each cell they touch."""
+    begin, end = micros(windows, cols.begin), micros(windows, cols.end)
+    width = F.lit(cells.widths[-1][1])
+    for longest, narrower in reversed(cells.widths[:-1]):
+        width = F.when(end - begin < longest, F.lit(narrower)).otherwise(width)
+    timed = windows.where(F.col(cols.end) >= F.col(cols.begin)).select(
+        "*", width.cast("long").alias("_width"), begin.alias("_begin"), end.alias("_end")
     )
-    touched = F.sequence(_cell(F.col("_begin"), F.col("_width")), _cell(F.col("_end"), F.col("_width")))
-    return timed.select(*cols.window_key, "_width", F.explode(touched).alias("_cell"))
+    touched = F.sequence(*(_cell(F.col(c), F.col("_width")) for c in ("_begin", "_end")))
+    return timed.select(*windows.columns, "_width", F.explode(touched).alias("_cell"))
 
 
 def _bar_cells(bars: DataFrame, cols: SearchColumns, cells: Cells) -> DataFrame:
@@ -85,11 +108,9 @@ def _bar_cells(bars: DataFrame, cols: SearchColumns, cells: Cells) -> DataFrame:
         & F.col(cols.time).between(*(F.lit(v).cast(kind) for v in cells.times))
     )
     timed = near.withColumn("_time", micros(near, cols.time))
-    if len(cells.widths) == 1:
-        wide = timed.withColumn("_width", F.lit(cells.widths[0]).cast("long"))
-    else:
-        widths = F.array(*(F.lit(w).cast("long") for w in cells.widths))
-        wide = timed.withColumn("_width", F.explode(widths))
+    widths = [F.lit(width).cast("long") for _, width in cells.widths]
+    width = widths[0] if len(widths) == 1 else F.explode(F.array(*widths))
+    wide = timed.withColumn("_width", width)
     return wide.withColumn("_cell", _cell(F.col("_time"), F.col("_width"))).drop("_time")
 
 
@@ -98,24 +119,27 @@ def matched_bars(
 ) -> DataFrame:
     """One row per (window, bar inside it); windows without bars have no row.
 
-    Spark picks the join from the sizes of the two sides. ``grouped`` is the plan that
-    leaves the bars where they are: it drops the bars of other securities, then sends
-    the windows to the bars, if a count shows that they are few enough.
+    Spark picks the join from the sizes of the two sides, and splits a cell that is
+    still too large when it runs. ``grouped`` is the plan that leaves the bars where
+    they are: it drops the bars of other securities, then sends the windows to the
+    bars, if a count shows that they are few enough.
     """
-    keys = windows.select(*cols.window_key).distinct()
+    order = cols.time_order(bars)
+    bars = bars.select(*dict.fromkeys((cols.sid, *order, *cols.match)))
     fields = [c for c in bars.columns if c != cols.sid]
     cells = measure(windows, cols)
     if not cells.widths:
-        return keys.join(bars, cols.sid).where("false")
-    left = _window_cells(keys, cols, cells)
+        return windows.join(bars, cols.sid).where("false")
+    left = _window_cells(windows, cols, cells)
     if grouped and _at_most(windows, BROADCAST_WINDOWS):
-        bars = bars.join(F.broadcast(keys.select(cols.sid).distinct()), cols.sid, "left_semi")
+        sids = windows.select(cols.sid).distinct()
+        bars = bars.join(F.broadcast(sids), cols.sid, "left_semi")
         left = F.broadcast(left)
     right = _bar_cells(bars, cols, cells)
     return (
         right.join(left, [cols.sid, "_width", "_cell"])
         .where(F.col(cols.time).between(F.col(cols.begin), F.col(cols.end)))
-        .select(*cols.window_key, *fields)
+        .select(*windows.columns, *fields)
     )
 
 
@@ -126,11 +150,15 @@ def _at_most(windows: DataFrame, limit: int) -> bool:
 def window_bars(
     bars: DataFrame, windows: DataFrame, cols: SearchColumns, grouped: bool = False
 ) -> DataFrame:
-    """All windows with the bars they cover; a window without bars stays, with NULL bars."""
-    order = cols.time_order(bars)
-    needed = bars.select(*dict.fromkeys((cols.sid, *order, *cols.match)))
-    pairs = matched_bars(needed, windows, cols, grouped)
-    return windows.join(pairs, [*cols.window_key], "left")
+    """All windows with the bars they cover; a window without bars stays, with NULL bars.
+
+    The matches are not joined to the windows again: a window may cover any number of
+    bars, and those stay in the tasks that found them.
+    """
+    found = matched_bars(bars, windows, cols, grouped)
+    keys = found.select(*cols.window_key).distinct()
+    empty = windows.join(keys, [*cols.window_key], "left_anti")
+    return found.unionByName(empty.select(*windows.columns), allowMissingColumns=True)
 
 
 def window_matrices(
@@ -143,8 +171,8 @@ def window_matrices(
     costs no more than any other.
     """
     order = cols.time_order(bars)
-    needed = bars.select(*dict.fromkeys((cols.sid, *order, *cols.match)))
-    pairs = matched_bars(needed, windows, cols, grouped)
+    keys = windows.select(*cols.window_key).distinct()
+    pairs = matched_bars(bars, keys, cols, grouped)
     by_time = Window.partitionBy(*cols.window_key).orderBy(*order)
     entry = F.struct(*(F.col(c) for c in (*order, *cols.match)))
     return (

@@ -65,30 +65,50 @@ def run_bars(cols: SearchColumns, bars: DataFrame, n: int) -> Over:
     return lambda over: F.collect_list(fields).over(over.rowsBetween(0, n - 1))
 
 
-def tile_counts(rows: DataFrame, cols: SearchColumns) -> DataFrame:
-    """Rows per (sid, tile), the total of the security, and the number before the tile."""
+def split_counts(bars: DataFrame, cols: SearchColumns) -> DataFrame:
+    """For the securities that span tiles: bars in all, and bars before each tile.
+
+    At most two rows per tile, so the result can be broadcast.
+    """
     per_sid = Window.partitionBy(cols.sid)
     before = per_sid.orderBy(TILE).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.groupBy(cols.sid, TILE)
-        .agg(F.count(F.lit(1)).alias("_n_tile"))
+        bars.join(F.broadcast(split_sids(bars, cols)), cols.sid, "left_semi")
+        .groupBy(cols.sid, TILE)
+        .agg(F.count(F.lit(1)).alias("_n"))
         .select(
             cols.sid,
             TILE,
-            F.sum("_n_tile").over(per_sid).alias("n_sid"),
-            F.coalesce(F.sum("_n_tile").over(before), F.lit(0)).alias("n_before"),
+            F.sum("_n").over(per_sid).alias("_n_sid"),
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n_before"),
         )
     )
 
 
 def positions(bars: DataFrame, cols: SearchColumns) -> DataFrame:
-    """The ordered sequence of each security, as rows numbered from 0 in ``pos``."""
-    in_tile = Window.partitionBy(cols.sid, TILE).orderBy(*cols.time_order(bars))
-    numbered = bars.withColumn("_in_tile", F.row_number().over(in_tile) - 1)
+    """The ordered sequence of each security: rows numbered from 0 (``pos``) of ``n_bars``."""
+    in_tile = Window.partitionBy(cols.sid, TILE)
+    place = F.row_number().over(in_tile.orderBy(*cols.time_order(bars))) - 1
+    numbered = bars.select(
+        "*", place.alias("_place"), F.count(F.lit(1)).over(in_tile).alias("_n_tile")
+    )
+    return (
+        numbered.join(F.broadcast(split_counts(bars, cols)), [cols.sid, TILE], "left")
+        .withColumn("pos", F.coalesce(F.col("_n_before"), F.lit(0)) + F.col("_place"))
+        .withColumn("n_bars", F.coalesce(F.col("_n_sid"), F.col("_n_tile")))
+        .drop("_place", "_n_tile", "_n_before", "_n_sid")
+    )
+
+
+def starts(bars: DataFrame, cols: SearchColumns, n: int) -> DataFrame:
+    """All windows of ``n`` bars with the length of their series in ``n_bars``."""
+    alone = F.count(F.lit(1))
+    in_tile = {"_n_tile": lambda over: alone.over(Window.partitionBy(cols.sid, TILE))}
     return (
-        numbered.join(tile_counts(bars, cols), [cols.sid, TILE])
-        .withColumn("pos", F.col("n_before") + F.col("_in_tile"))
-        .drop("_in_tile", "n_before", "n_sid")
+        runs(bars, cols, n, in_tile)
+        .join(F.broadcast(split_counts(bars, cols)), [cols.sid, TILE], "left")
+        .withColumn("n_bars", F.coalesce(F.col("_n_sid"), F.col("_n_tile")))
+        .drop("_n_tile", "_n_before", "_n_sid")
     )
 
 

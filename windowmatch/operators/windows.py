@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windowmatch.config import SearchColumns
-from windowmatch.operators.layout import TILE
-from windowmatch.operators.series import runs, tile_counts
+from windowmatch.operators.series import runs, starts
+from windowmatch.staging import stage
 
 # Fixed value: 13 hex digits of a hash are a whole number below 2^52.
 HASH_DIGITS = 13
 
+# Standard deviations that the cutoff of a draw lies above the number of windows wanted.
+CUTOFF_SIGMAS = 8
+
 
 def all_windows(bars: DataFrame, cols: SearchColumns, n: int) -> DataFrame:
     """Every window of ``n`` consecutive bars of a laid-out table."""
@@ -38,19 +43,26 @@ def draw_windows(
     A security is as likely as it has bars, then every start inside it is equally
     likely, and a repeated window is drawn again. That is successive sampling with
     weight ``bars / (bars - n + 1)`` per window, which equals taking the m smallest
-    ``-ln(u) / weight`` (Efraimidis and Spirakis 2006): one pass and one top-m.
+    ``-ln(u) / weight`` (Efraimidis and Spirakis 2006).
+
+    Only draws below a cutoff that a few more than m are expected to pass go into the
+    final top-m, so one task never gets m rows from every other one. Should fewer than
+    m pass, all of them take part.
     """
-    starts = runs(bars, cols, n)
-    counted = starts.join(
-        tile_counts(bars, cols).select(cols.sid, TILE, "n_sid"), [cols.sid, TILE]
-    )
-    weight = F.col("n_sid") / (F.col("n_sid") - (n - 1))
-    return (
-        counted.withColumn("_draw", -F.ln(hash_uniform(cols, seed)) / weight)
-        .orderBy("_draw", *cols.window_key)
-        .limit(m)
-        .select(*cols.window_key, cols.period)
+    weight = F.col("n_bars") / (F.col("n_bars") - (n - 1))
+    keyed = starts(bars, cols, n).select(
+        *cols.window_key, cols.period, (-F.ln(hash_uniform(cols, seed)) / weight).alias("_draw")
     )
+    lengths = bars.groupBy(cols.sid).agg(F.count(F.lit(1)).alias("n"))
+    free = F.greatest(F.col("n") - (n - 1), F.lit(0))
+    available = lengths.agg(F.coalesce(F.sum(free), F.lit(0))).first()[0]
+    share = (m + CUTOFF_SIGMAS * math.sqrt(m)) / max(available, 1)
+    if share < 1:
+        # Weights are at least 1, so a draw passes at least as often as -ln(u) does.
+        passed = stage(keyed.where(F.col("_draw") <= -math.log1p(-share)), "draws")
+        if passed.count() >= m:
+            keyed = passed
+    return keyed.orderBy("_draw", *cols.window_key).limit(m).drop("_draw")
 
 
 def first_window(windows: DataFrame, cols: SearchColumns) -> DataFrame:
