@@ -90,7 +90,8 @@ def _with_exchange(
 
 
 def r6(value: Column, name: str) -> Column:
-    rounded = F.round(value, 6)
+    """Six decimals, by the same steps as in the SQL; minus zero becomes zero."""
+    rounded = F.round(value * 1e6) / 1e6
     return F.when(rounded == 0, F.lit(0.0)).otherwise(rounded).alias(name)
 
 
@@ -189,7 +190,8 @@ def csv_ingest(spark, sf_dir):
     pre_close = F.when(F.col("volume") > 30, F.col("open"))
     bars = _with_exchange(spark, sf_dir, derive_bars(spark, sf_dir), pre_close)
     bar_files.write_bar_files(bars, path, name_column="file")
-    raw = bar_files.read_bar_files(spark, path, name_column="file")
+    header = ["datetime", *bar_files.VENDOR_NAMES]
+    raw = bar_files.read_bar_files(spark, path, header=header, name_column="file")
     loaded, _ = bar_files.parse_bars(raw)
     return loaded
 
@@ -248,7 +250,7 @@ def window_bars_grouped(spark, sf_dir):
 
 def _filled(spark, sf_dir):
     bars = bars_of(spark, sf_dir)
-    return series.runs(bars, COLS, N, {"bars": series.run_bars(COLS, bars, N)})
+    return series.runs(bars, COLS, N, {"bars": series.run_bars(COLS, N)})
 
 
 def _pattern(spark, sf_dir):

@@ -9,7 +9,8 @@ PRICES = ("open", "high", "low", "close")
 
 
 def _r6(expr: str, name: str) -> str:
-    value = f"round({expr}, 6)"
+    """Six decimals, by the same steps as in Spark; minus zero becomes zero."""
+    value = f"round({expr} * 1000000.0::DOUBLE) / 1000000.0::DOUBLE"
     return f"CASE WHEN {value} = 0 THEN 0.0 ELSE {value} END AS {name}"
 
 

@@ -14,13 +14,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from windowmatch.config import SearchColumns
 
 # Executors get these functions with the task and need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NORMALIZATIONS = ("mean", "none")
+PLACE = "_place"
 
 
 def _distances(a: np.ndarray) -> np.ndarray:
@@ -54,6 +58,38 @@ def correlations(x: np.ndarray, pattern: np.ndarray, normalize: str, passes: int
     return cov / np.sqrt(var * pattern_var)
 
 
+def _checked(pattern: Sequence[Sequence[float]], width: int, normalize: str, passes: int):
+    """The pattern's centred distances, and how many windows to score at a time."""
+    if normalize not in NORMALIZATIONS:
+        raise ValueError(f"normalize must be one of {NORMALIZATIONS}")
+    if passes not in (1, 2):
+        raise ValueError("passes must be 1 or 2")
+    matrix = np.asarray(pattern, dtype=float)
+    if matrix.ndim != 2 or matrix.shape[1] != width or not len(matrix):
+        raise ValueError("the pattern needs one row per bar and one value per match column")
+    with np.errstate(all="ignore"):
+        centred = centred_distances(matrix[None], normalize, passes)[..., 0]
+    # This many windows keep the working arrays in the processor cache.
+    return centred, max(1, 400_000 // len(matrix) ** 2)
+
+
+def _columns(cells: dict[str, pa.Array], names: Sequence[str]) -> np.ndarray:
+    arrays = (pc.cast(cells[c], pa.float64()).to_numpy(zero_copy_only=False) for c in names)
+    return np.stack(list(arrays), axis=-1)
+
+
+def _blocks(
+    x: np.ndarray, centred: np.ndarray, block: int, normalize: str, passes: int
+) -> pa.Array:
+    """Scores of all windows in ``x``; NULL where undefined."""
+    out = np.empty(len(x))
+    with np.errstate(all="ignore"):
+        for start in range(0, len(x), block):
+            part = slice(start, start + block)
+            out[part] = correlations(x[part], centred, normalize, passes)
+    return pa.array(out, mask=~np.isfinite(out))
+
+
 def score(
     bars: Column,
     pattern: Sequence[Sequence[float]],
@@ -66,35 +102,67 @@ def score(
     NULL where it is undefined: another number of bars than the pattern, a missing
     price, a zero mean, or no variation.
     """
-    if normalize not in NORMALIZATIONS:
-        raise ValueError(f"normalize must be one of {NORMALIZATIONS}")
-    if passes not in (1, 2):
-        raise ValueError("passes must be 1 or 2")
-    matrix = np.asarray(pattern, dtype=float)
-    if matrix.ndim != 2 or matrix.shape[1] != len(match) or not len(matrix):
-        raise ValueError("the pattern needs one row per bar and one value per match column")
-    n, fields = len(matrix), list(match)
-    with np.errstate(all="ignore"):
-        centred = centred_distances(matrix[None], normalize, passes)[..., 0]
-    # A block of this many windows keeps the working arrays in the processor cache.
-    block = max(1, 400_000 // (n * n))
+    centred, block = _checked(pattern, len(match), normalize, passes)
+    n, names = len(pattern), list(match)
 
     @F.arrow_udf("double")
     def correlate(lists: pa.Array) -> pa.Array:
-        out = np.full(len(lists), np.nan)
         fits = pc.fill_null(pc.equal(pc.list_value_length(lists), n), False)
-        at = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
         cells = lists.filter(fits).flatten()
-        columns = [
-            pc.cast(pc.struct_field(cells, f), pa.float64()).to_numpy(zero_copy_only=False)
-            for f in fields
-        ]
-        x = np.stack(columns, axis=-1).reshape(-1, n, len(fields))
-        with np.errstate(all="ignore"):
-            for start in range(0, len(at), block):
-                part = slice(start, start + block)
-                out[at[part]] = correlations(x[part], centred, normalize, passes)
-        return pa.array(out, mask=~np.isfinite(out))
+        x = _columns({c: pc.struct_field(cells, c) for c in names}, names)
+        found = _blocks(x.reshape(-1, n, len(names)), centred, block, normalize, passes)
+        return pc.replace_with_mask(pa.nulls(len(lists), pa.float64()), fits, found)
 
     # Declared non-deterministic so that a filter on the score does not score twice.
     return correlate.asNondeterministic()(bars)
+
+
+def score_runs(
+    placed: DataFrame,
+    pattern: Sequence[Sequence[float]],
+    cols: SearchColumns,
+    normalize: str = "mean",
+    passes: int = 2,
+) -> DataFrame:
+    """Score every run of bars as long as ``pattern`` in partitions of ordered bars.
+
+    ``placed`` numbers the bars of each series from 1 on in ``PLACE``, in the order of
+    the rows. Every bar is sent to Python once and batches are taken one by one, with
+    the last bars of a batch kept for the next.
+    """
+    centred, block = _checked(pattern, len(cols.match), normalize, passes)
+    n, names = len(pattern), list(cols.match)
+    sid, time, place, begin, end = cols.sid, cols.time, PLACE, cols.begin, cols.end
+
+    def scored(batches):
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            rows = pa.Table.from_batches([*kept, batch]).combine_chunks()
+            starts = max(rows.num_rows - n + 1, 0)
+            kept = rows.slice(starts).to_batches()
+            if not starts:
+                continue
+            number = rows[place].to_numpy()
+            one_series = number[n - 1 :] - number[:starts] == n - 1
+            x = _columns({c: rows[c].combine_chunks() for c in names}, names)
+            runs = np.lib.stride_tricks.sliding_window_view(x, n, axis=0)[one_series]
+            mask = pa.array(one_series)
+            found = {
+                sid: rows[sid].slice(0, starts).filter(mask),
+                begin: rows[time].slice(0, starts).filter(mask),
+                end: rows[time].slice(n - 1).filter(mask),
+                "similarity": _blocks(
+                    np.swapaxes(runs, 1, 2), centred, block, normalize, passes
+                ),
+            }
+            yield from pa.table(found).to_batches()
+
+    schema = T.StructType(
+        [
+            T.StructField(sid, placed.schema[sid].dataType),
+            T.StructField(begin, placed.schema[time].dataType),
+            T.StructField(end, placed.schema[time].dataType),
+            T.StructField("similarity", T.DoubleType()),
+        ]
+    )
+    return placed.select(sid, time, place, *names).mapInArrow(scored, schema)

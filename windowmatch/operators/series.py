@@ -17,9 +17,41 @@ from windowmatch.operators.layout import TILE, split_sids
 Over = Callable[[WindowSpec], Column]
 
 
-def _run_columns(cols: SearchColumns, n: int, over: WindowSpec, extra: dict[str, Over]):
+def _start(cols: SearchColumns) -> list[Column]:
+    return [F.col(cols.sid), F.col(cols.time).alias(cols.begin), F.col(TILE)]
+
+
+def _run_columns(
+    cols: SearchColumns, n: int, over: WindowSpec, extra: dict[str, Over] | None
+) -> list[Column]:
     end = F.lead(cols.time, n - 1).over(over) if n > 1 else F.col(cols.time)
-    return [end.alias(cols.end), *(f(over).alias(name) for name, f in extra.items())]
+    more = (make(over).alias(name) for name, make in (extra or {}).items())
+    return [end.alias(cols.end), *more]
+
+
+def border_runs(
+    bars: DataFrame, cols: SearchColumns, n: int, extra: dict[str, Over] | None = None
+) -> DataFrame:
+    """The runs of ``n`` bars that begin in one tile and end in a later one.
+
+    Only securities that span tiles are read again, and of those only the ``n - 1``
+    bars on either side of a border are brought together.
+    """
+    order = cols.time_order(bars)
+    in_tile = Window.partitionBy(cols.sid, TILE).orderBy(*order)
+    across = Window.partitionBy(cols.sid).orderBy(TILE, *order)
+    # Runs of one bar end where they begin: no bar is a tail then.
+    is_tail = F.lead(cols.time, n - 1).over(in_tile).isNull() if n > 1 else F.lit(False)
+    border = (
+        bars.join(F.broadcast(split_sids(bars, cols)), cols.sid, "left_semi")
+        .select("*", is_tail.alias("_is_tail"), F.row_number().over(in_tile).alias("_from_start"))
+        .where(F.col("_is_tail") | (F.col("_from_start") < n))
+    )
+    return (
+        border.select(*_start(cols), "_is_tail", *_run_columns(cols, n, across, extra))
+        .where(F.col("_is_tail") & F.col(cols.end).isNotNull())
+        .drop("_is_tail")
+    )
 
 
 def runs(
@@ -33,36 +65,24 @@ def runs(
     """
     if n < 1:
         raise ValueError("a window has at least one bar")
-    extra = extra or {}
-    order = cols.time_order(bars)
-    in_tile = Window.partitionBy(cols.sid, TILE).orderBy(*order)
-    across = Window.partitionBy(cols.sid).orderBy(TILE, *order)
-    columns = [cols.sid, F.col(cols.time).alias(cols.begin), TILE]
-    inside = bars.select(*columns, *_run_columns(cols, n, in_tile, extra))
+    in_tile = Window.partitionBy(cols.sid, TILE).orderBy(*cols.time_order(bars))
+    inside = bars.select(*_start(cols), *_run_columns(cols, n, in_tile, extra))
     found = inside.where(F.col(cols.end).isNotNull())
     if n > 1:
-        border = (
-            bars.join(F.broadcast(split_sids(bars, cols)), cols.sid, "left_semi")
-            .select(
-                *bars.columns,
-                F.lead(cols.time, n - 1).over(in_tile).isNull().alias("_is_tail"),
-                F.row_number().over(in_tile).alias("_from_start"),
-            )
-            .where(F.col("_is_tail") | (F.col("_from_start") < n))
-        )
-        bridged = (
-            border.select(*columns, "_is_tail", *_run_columns(cols, n, across, extra))
-            .where(F.col("_is_tail") & F.col(cols.end).isNotNull())
-            .drop("_is_tail")
-        )
-        found = found.unionByName(bridged)
+        found = found.unionByName(border_runs(bars, cols, n, extra))
     return found.withColumn(cols.period, F.lit(n))
 
 
-def run_bars(cols: SearchColumns, bars: DataFrame, n: int) -> Over:
-    """The bars of a run as an array, for ``runs``."""
-    fields = F.struct(*(F.col(c) for c in (*cols.time_order(bars), *cols.match)))
-    return lambda over: F.collect_list(fields).over(over.rowsBetween(0, n - 1))
+def places(bars: DataFrame, cols: SearchColumns, name: str) -> DataFrame:
+    """Number the bars of each (sid, tile) from 1 on; the rows come in that order."""
+    in_tile = Window.partitionBy(cols.sid, TILE).orderBy(*cols.time_order(bars))
+    return bars.withColumn(name, F.row_number().over(in_tile))
+
+
+def run_bars(cols: SearchColumns, n: int) -> Over:
+    """The prices of a run as an array in time order, for ``runs``."""
+    prices = F.struct(*(F.col(c) for c in cols.match))
+    return lambda over: F.collect_list(prices).over(over.rowsBetween(0, n - 1))
 
 
 def split_counts(bars: DataFrame, cols: SearchColumns) -> DataFrame:
@@ -86,17 +106,13 @@ def split_counts(bars: DataFrame, cols: SearchColumns) -> DataFrame:
 
 
 def positions(bars: DataFrame, cols: SearchColumns) -> DataFrame:
-    """The ordered sequence of each security: rows numbered from 0 (``pos``) of ``n_bars``."""
-    in_tile = Window.partitionBy(cols.sid, TILE)
-    place = F.row_number().over(in_tile.orderBy(*cols.time_order(bars))) - 1
-    numbered = bars.select(
-        "*", place.alias("_place"), F.count(F.lit(1)).over(in_tile).alias("_n_tile")
-    )
+    """The ordered sequence of each security: rows numbered from 0 on in ``pos``."""
+    numbered = places(bars, cols, "_place")
+    before = split_counts(bars, cols).select(cols.sid, TILE, "_n_before")
     return (
-        numbered.join(F.broadcast(split_counts(bars, cols)), [cols.sid, TILE], "left")
-        .withColumn("pos", F.coalesce(F.col("_n_before"), F.lit(0)) + F.col("_place"))
-        .withColumn("n_bars", F.coalesce(F.col("_n_sid"), F.col("_n_tile")))
-        .drop("_place", "_n_tile", "_n_before", "_n_sid")
+        numbered.join(F.broadcast(before), [cols.sid, TILE], "left")
+        .withColumn("pos", F.coalesce(F.col("_n_before"), F.lit(0)) + F.col("_place") - 1)
+        .drop("_place", "_n_before")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from windowmatch.config import SearchColumns
 from windowmatch.functions import kernel
 from windowmatch.operators.range_join import window_matrices
-from windowmatch.operators.series import run_bars, runs
+from windowmatch.operators.series import border_runs, places, run_bars
 
 Matrix = Sequence[Sequence[float]]
 
@@ -57,11 +57,16 @@ def similarity_of_all(
 ) -> DataFrame:
     """Score every window of the pattern's length in a laid-out table.
 
-    The windows overlap, so they are read off the ordered bars and nothing is joined.
+    The windows overlap, so they are read off the ordered bars: nothing is joined, and
+    a bar is not copied once per window. Only windows across a tile border are put
+    together as arrays.
     """
     n = len(pattern)
-    filled = runs(bars, cols, n, {"bars": run_bars(cols, bars, n)})
-    return score_windows(filled, pattern, cols, normalize, passes)
+    options = {"normalize": normalize, "passes": passes}
+    placed = places(bars, cols, kernel.PLACE)
+    inside = kernel.score_runs(placed, pattern, cols, **options)
+    across = border_runs(bars, cols, n, {"bars": run_bars(cols, n)})
+    return inside.unionByName(score_windows(across, pattern, cols, **options))
 
 
 def similarity_grouped(
