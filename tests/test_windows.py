@@ -6,7 +6,7 @@ import pytest
 
 from windowmatch.config import SearchColumns
 from windowmatch.operators import series, windows
-from windowmatch.operators.layout import TILE, lay_out, split_sids
+from windowmatch.operators.layout import TILE, lay_out, split_sids, tile_count
 from windowmatch.plans.search import pattern_search
 from windowmatch.plans.similarity import similarity_of_all
 
@@ -22,7 +22,7 @@ def rows():
 
 @pytest.fixture(scope="module")
 def bars(spark, rows):
-    return lay_out(spark.createDataFrame(rows, fx.BARS), COLS, buckets=4).cache()
+    return lay_out(spark.createDataFrame(rows, fx.BARS), COLS, tiles=16).cache()
 
 
 def keys(frame):
@@ -51,7 +51,7 @@ def test_all_windows_across_tile_borders(bars, rows, n):
 
 
 def test_windows_need_no_shuffle_inside_tiles(spark, rows):
-    bars = lay_out(spark.createDataFrame(rows, fx.BARS), COLS, buckets=4)
+    bars = lay_out(spark.createDataFrame(rows, fx.BARS), COLS, tiles=16)
     plan = windows.all_windows(bars, COLS, 5)._jdf.queryExecution().executedPlan().toString()
     inside = plan[: plan.index("BroadcastHashJoin")]
     # The only exchange above the border join is the one of the border bars.
@@ -142,3 +142,10 @@ def test_search_plans_agree(spark, bars):
         rows = pattern_search(bars, found, COLS, **other).collect()
         assert [r[2:] for r in rows] == [r[2:] for r in joined]
         assert [r[1] for r in rows] == pytest.approx([r[1] for r in joined])
+
+
+def test_tile_count():
+    assert tile_count(0, 8) == 1
+    assert tile_count(8_261, 200) == 8
+    assert tile_count(533_473, 8) == 32
+    assert tile_count(10**12, 20_000) == 200_000

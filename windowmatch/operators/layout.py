@@ -18,19 +18,37 @@ TILE = "tile"
 
 # Several tiles per bucket even out the sizes of the buckets.
 TILES_PER_BUCKET = 4
+MIN_TILE_ROWS = 1_000
+MAX_TILE_ROWS = 5_000_000
 MAX_BUCKETS = 100_000
 
 
+def tile_count(rows: int, partitions: int) -> int:
+    """Enough tiles for all tasks, none very large, and none tiny just to have more."""
+    wanted = min(rows // MIN_TILE_ROWS, TILES_PER_BUCKET * partitions)
+    return max(wanted, -(-rows // MAX_TILE_ROWS), 1)
+
+
 def lay_out(
-    bars: DataFrame, cols: SearchColumns = SearchColumns(), buckets: int | None = None
+    bars: DataFrame,
+    cols: SearchColumns = SearchColumns(),
+    tiles: int | None = None,
+    table: str | None = None,
 ) -> DataFrame:
-    """Write ``bars`` in tiles to the shared folder and return the written table."""
+    """Write ``bars`` in tiles and return the written table.
+
+    The table is kept under the name ``table``, to be read by ``spark.table`` in any
+    later session, or staged in the shared folder for this one. The number of tiles
+    follows from a count of the bars unless given.
+    """
     spark = bars.sparkSession
-    buckets = min(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tiles = tiles or tile_count(bars.count(), partitions)
+    buckets = min(tiles, max(partitions, tiles // TILES_PER_BUCKET), MAX_BUCKETS)
     key = cols.bar_key(bars)
-    name = fresh_table(spark, "bars")
+    name = table or fresh_table(spark, "bars")
     (
-        bars.repartitionByRange(buckets * TILES_PER_BUCKET, *key)
+        bars.repartitionByRange(tiles, *key)
         .withColumn(TILE, F.spark_partition_id())
         .write.format("parquet")
         .bucketBy(buckets, TILE)
@@ -48,10 +66,10 @@ def split_sids(bars: DataFrame, cols: SearchColumns) -> DataFrame:
     """
     return (
         bars.groupBy(TILE)
-        .agg(F.min(cols.sid).alias("lo"), F.max(cols.sid).alias("hi"))
-        .select(TILE, F.explode(F.array_distinct(F.array("lo", "hi"))).alias(cols.sid))
+        .agg(F.min(cols.sid).alias("_lo"), F.max(cols.sid).alias("_hi"))
+        .select(TILE, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias(cols.sid))
         .groupBy(cols.sid)
-        .agg(F.count(F.lit(1)).alias("n_tiles"))
-        .where("n_tiles > 1")
+        .agg(F.count(F.lit(1)).alias("_tiles"))
+        .where("_tiles > 1")
         .select(cols.sid)
     )
