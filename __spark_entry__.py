@@ -170,7 +170,7 @@ def bars_table(spark, sf_dir):
     table = fresh_table(spark, "daybars")
     tables.create_bars_table(spark, table)
     base = _with_exchange(spark, sf_dir, derive_bars(spark, sf_dir), F.col("open"))
-    base.withColumn(tables.YEAR, F.year("datetime")).write.insertInto(table)
+    tables.append_bars(spark, table, base, COLS)
     delta = _with_exchange(spark, sf_dir, _delta(spark, sf_dir), F.col("open"), "seq")
     tables.upsert_into(spark, table, delta, COLS, seq="seq")
     return tables.read_bars(spark, table)

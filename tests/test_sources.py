@@ -62,25 +62,31 @@ def bar(sid, when, price, exchange="X"):
     return (sid, exchange, when, price, price, price, price, None, 1.0)
 
 
-def test_upsert_rewrites_only_touched_years(spark, namespace):
+def test_upsert_rewrites_only_changed_months(spark, namespace):
     tables.create_bars_table(spark, "bars")
-    first = [bar(1, dt.datetime(y, 1, 1), 1.0) for y in (2018, 2019, 2020)]
-    second = [
-        bar(1, dt.datetime(2019, 1, 1), 2.0),
-        bar(1, dt.datetime(2019, 1, 1), 3.0, "Y"),
-        bar(2, dt.datetime(2021, 1, 1), 4.0),
-    ]
-    tables.upsert_into(spark, "bars", spark.createDataFrame(first, bar_files.BARS_SCHEMA), COLS)
-    files = {
-        f for f in spark.table("bars").where("bar_year <> 2019").inputFiles() if "bar_year=2019" not in f
-    }
-    tables.upsert_into(spark, "bars", spark.createDataFrame(second, bar_files.BARS_SCHEMA), COLS)
-    got = sorted((r["sid"], r["datetime"].year, r["exchangeCD"], r["open"]) for r in spark.table("bars").collect())
+
+    def put(*rows):
+        tables.upsert_into(spark, "bars", spark.createDataFrame(rows, bar_files.BARS_SCHEMA), COLS)
+        return {f for f in spark.table("bars").inputFiles()}
+
+    before = put(*(bar(1, dt.datetime(2019, m, 1), 1.0) for m in (1, 2, 3)))
+    added = put(bar(2, dt.datetime(2019, 1, 1), 5.0))
+    assert before < added
+    after = put(
+        bar(1, dt.datetime(2019, 2, 1), 2.0),
+        bar(1, dt.datetime(2019, 2, 1), 3.0, "Y"),
+        bar(2, dt.datetime(2019, 4, 1), 4.0),
+    )
+    assert {f for f in added if "bar_month=201902" not in f} < after
+    assert not any("bar_month=201902" in f for f in added & after)
+    got = sorted(
+        (r["sid"], r["datetime"].month, r["exchangeCD"], r["open"])
+        for r in tables.read_bars(spark, "bars").collect()
+    )
     assert got == [
-        (1, 2018, "X", 1.0), (1, 2019, "X", 2.0), (1, 2019, "Y", 3.0), (1, 2020, "X", 1.0),
-        (2, 2021, "X", 4.0),
+        (1, 1, "X", 1.0), (1, 2, "X", 2.0), (1, 2, "Y", 3.0), (1, 3, "X", 1.0),
+        (2, 1, "X", 5.0), (2, 4, "X", 4.0),
     ]
-    assert files <= set(spark.table("bars").inputFiles())
 
 
 def test_upsert_keeps_the_last_version(spark):
@@ -145,8 +151,9 @@ def test_ingest(spark, bar_dir):
 
 def test_strict_ingest_fails(spark, bar_dir):
     bars, _ = bar_files.ingest(spark, bar_dir, strict=True)
-    with pytest.raises(Exception, match="file name|time|number"):
-        bars.collect()
+    for action in (bars.collect, bars.count):
+        with pytest.raises(Exception, match="file name|time|number"):
+            action()
 
 
 def test_other_separator_time_column_and_format(spark, tmp_path):

@@ -94,30 +94,29 @@ def parse_bars(
     """
     named = raw.withColumnsRenamed({**VENDOR_NAMES, time_column: "datetime"})
     name = F.col("file_name")
-    parsed = named.select(
+    typed = named.select(
         F.split_part(name, F.lit("."), F.lit(1)).try_cast("int").alias("sid"),
         F.split_part(name, F.lit("."), F.lit(2)).alias("exchangeCD"),
         parse_time(F.col("datetime"), time_format).alias("datetime"),
         *(_number(F.col(c)).alias(c) for c in NUMBERS),
-        F.concat_ws(
-            "; ",
-            F.when(F.split_part(name, F.lit("."), F.lit(1)).try_cast("int").isNull(), "file name"),
-            F.when(parse_time(F.col("datetime"), time_format).isNull(), "time"),
-            F.when(reduce(or_, (_bad_number(F.col(c)) for c in NUMBERS)), "number"),
-        ).alias("problem"),
+        reduce(or_, (_bad_number(F.col(c)) for c in NUMBERS)).alias("bad_number"),
         "file_name",
         F.col("datetime").alias("time_text"),
     )
+    problem = F.concat_ws(
+        "; ",
+        F.when(F.col("sid").isNull(), "file name"),
+        F.when(F.col("datetime").isNull(), "time"),
+        F.when(F.col("bad_number"), "number"),
+    )
+    parsed = typed.withColumn("problem", problem)
+    fine = F.col("problem") == ""
     if strict:
-        failed = F.raise_error(F.concat_ws(": ", "file_name", "problem", "time_text"))
-        parsed = parsed.withColumn(
-            "sid", F.when(F.col("problem") != "", failed.cast("int")).otherwise(F.col("sid"))
-        )
-    bars = parsed.where("problem = ''" if not strict else "true")
-    rejects = parsed.where("problem <> ''")
+        report = F.concat_ws(": ", "file_name", "problem", "time_text")
+        fine = F.when(fine, True).otherwise(F.raise_error(report).cast("boolean"))
     return (
-        bars.select(*BARS_SCHEMA.fieldNames()),
-        rejects.select("file_name", "time_text", "problem"),
+        parsed.where(fine).select(*BARS_SCHEMA.fieldNames()),
+        parsed.where("problem <> ''").select("file_name", "time_text", "problem"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windowmatch.config import SearchColumns
-from windowmatch.operators.upsert import upsert
+from windowmatch.operators.upsert import latest, upsert
 from windowmatch.sources.bar_files import BARS_SCHEMA
 from windowmatch.staging import stage
 
@@ -28,7 +28,7 @@ BARS_FILE_ORDER = (
     "sid", "datetime", "exchangeCD", "close", "high", "low", "open", "pre_close", "volume",
 )
 
-YEAR = "bar_year"
+MONTH = "bar_month"
 
 
 def reset_namespace(spark: SparkSession, name: str, location: str | None = None) -> None:
@@ -47,12 +47,31 @@ def create_table(
 
 
 def create_bars_table(spark: SparkSession, table: str, schema: T.StructType = BARS_SCHEMA) -> None:
-    """A bars table, split by year so that an upsert rewrites only the years it touches."""
-    create_table(spark, table, T.StructType([*schema, T.StructField(YEAR, T.IntegerType())]), [YEAR])
+    """A bars table, split by month so that an upsert rewrites only the months it touches."""
+    month = T.StructField(MONTH, T.IntegerType())
+    create_table(spark, table, T.StructType([*schema, month]), [MONTH])
 
 
 def read_bars(spark: SparkSession, table: str) -> DataFrame:
-    return spark.table(table).drop(YEAR)
+    return spark.table(table).drop(MONTH)
+
+
+def _with_month(bars: DataFrame, cols: SearchColumns) -> DataFrame:
+    return bars.withColumn(MONTH, F.year(cols.time) * 100 + F.month(cols.time))
+
+
+def _clustered(bars: DataFrame, cols: SearchColumns) -> DataFrame:
+    """Rows in table order over evenly filled tasks, so files of a month cover few securities."""
+    key = (MONTH, *cols.bar_key(bars))
+    return bars.repartitionByRange(*key).sortWithinPartitions(*key)
+
+
+def append_bars(
+    spark: SparkSession, table: str, bars: DataFrame, cols: SearchColumns = SearchColumns()
+) -> None:
+    """Add bars whose keys are not in the table yet."""
+    rows = _clustered(_with_month(bars, cols), cols)
+    rows.select(*spark.table(table).columns).write.insertInto(table)
 
 
 def create_windows_table(spark: SparkSession, table: str) -> None:
@@ -96,27 +115,39 @@ def load_bars(
 ) -> None:
     """Append an exported, headerless bars file to a bars table."""
     schema = T.StructType([BARS_SCHEMA[c] for c in columns])
-    rows = spark.read.schema(schema).csv(path)
-    rows.select(*BARS_SCHEMA.fieldNames(), F.year("datetime").alias(YEAR)).write.insertInto(table)
+    append_bars(spark, table, spark.read.schema(schema).csv(path))
 
 
 def upsert_into(
-    spark: SparkSession, table: str, delta: DataFrame, cols: SearchColumns = SearchColumns(), **order
+    spark: SparkSession,
+    table: str,
+    delta: DataFrame,
+    cols: SearchColumns = SearchColumns(),
+    seq: str | None = None,
 ) -> None:
     """Write bars into a bars table; a bar with an existing key replaces the stored one.
 
-    Only the years the new bars fall into are read and rewritten.
+    Only the months the new bars fall into are read. New keys alone are appended; a month
+    is rewritten only if a stored bar changes.
     """
     stored = spark.table(table)
-    delta = stage(delta.withColumn(YEAR, F.year(cols.time)), "delta")
-    years = [r[0] for r in delta.select(YEAR).distinct().collect()]
-    touched = stored.where(F.col(YEAR).isin(years))
-    merged = stage(upsert(touched, delta, cols.bar_key(stored), **order), "merged")
+    key = cols.bar_key(stored)
+    fresh = stage(latest(_with_month(delta, cols), key, seq), "delta")
+    months = [r[0] for r in fresh.select(MONTH).distinct().collect()]
+    touched = stored.where(F.col(MONTH).isin(months))
+    changed = touched.join(fresh.select(MONTH, *key), [MONTH, *key], "left_semi")
+    changed_months = [r[0] for r in changed.select(MONTH).distinct().collect()]
+    is_changed = F.col(MONTH).isin(changed_months)
+    append_bars(spark, table, fresh.where(~is_changed), cols)
+    if not changed_months:
+        return
+    merged = upsert(stored.where(is_changed), fresh.where(is_changed), [MONTH, *key])
+    rewritten = stage(_clustered(merged, cols), "merged")
     setting = "spark.sql.sources.partitionOverwriteMode"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "dynamic")
     try:
-        merged.select(*stored.columns).write.mode("overwrite").insertInto(table)
+        rewritten.select(*stored.columns).write.mode("overwrite").insertInto(table)
     finally:
         spark.conf.set(setting, before)
 
