@@ -8,7 +8,7 @@ from windowmatch.config import SearchColumns
 from windowmatch.functions.times import micros
 from windowmatch.operators import range_join
 from windowmatch.operators.topk import top_k
-from windowmatch.plans.similarity import similarity, similarity_grouped
+from windowmatch.plans.similarity import similarities, similarity, similarity_grouped
 
 COLS = SearchColumns()
 WINDOWS = "sid bigint, begintime timestamp_ntz, endtime timestamp_ntz, period int"
@@ -76,6 +76,19 @@ def test_similarity_keeps_every_window(spark, bars, rows, plan):
         assert row["similarity"] == (None if score is None else pytest.approx(score, abs=1e-9))
 
 
+def test_scores_of_listed_windows_keep_their_order(bars, rows):
+    samples = fx.windows_of(rows, 6)[::9]
+    random.Random(1).shuffle(samples)
+    samples += [(77, fx.day(0), fx.day(1)), samples[0]]
+    pattern = [list(r[3:]) for r in fx.by_sid(rows)[3][:6]]
+    got = similarities(bars, samples, pattern, COLS)
+    want = [
+        fx.correlation([list(r[3:]) for r in fx.bars_in(rows, *s)], pattern) if s[0] != 77 else None
+        for s in samples
+    ]
+    assert got == [None if w is None else pytest.approx(w, abs=1e-9) for w in want]
+
+
 def test_cell_widths_keep_the_join_small():
     day, year = 86_400_000_000, 365 * 86_400_000_000
     cases = {

@@ -175,6 +175,19 @@ def test_a_file_with_another_header_is_refused(spark, tmp_path):
     bars, _ = bar_files.ingest(spark, str(tmp_path))
     with pytest.raises(Exception, match="header"):
         bars.collect()
+    bars, rejects = bar_files.ingest(spark, str(tmp_path), mixed=True)
+    got = sorted((r["sid"], r["pre_close"], r["open"], r["volume"]) for r in bars.collect())
+    assert got == [(1, 1.0, 2.0, 6.0), (2, 2.0, 1.0, 6.0)]
+    assert rejects.count() == 0
+
+
+def test_mixed_ingest_equals_plain_ingest(spark, bar_dir):
+    plain, rejected = bar_files.ingest(spark, bar_dir)
+    mixed, also_rejected = bar_files.ingest(spark, bar_dir, mixed=True)
+    assert sorted(mixed.collect(), key=repr) == sorted(plain.collect(), key=repr)
+    assert also_rejected.count() == rejected.count() == 3
+    with pytest.raises(ValueError):
+        bar_files.ingest(spark, bar_dir, mixed=True, time_column="day")
 
 
 def test_time_patterns():

@@ -19,6 +19,7 @@ def _parser() -> argparse.ArgumentParser:
     files.add_argument("--dt", default="datetime", help="time column of the files")
     files.add_argument("--dt-format", default=bar_files.DEFAULT_TIME_FORMAT)
     files.add_argument("--delimiter", default=",")
+    files.add_argument("--mixed", action="store_true", help="the headers of the files differ")
 
     load = commands.add_parser("import", parents=[files], help="load bar files into a table")
     load.add_argument("--data-path", required=True)
@@ -48,7 +49,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         hits = jobs.search_tables(spark, args.table, args.windows, args.k, args.limit)
         print("\n".join(jobs.report(hits)))
         return
-    options = {"sep": args.delimiter, "time_column": args.dt, "time_format": args.dt_format}
+    options = {
+        "sep": args.delimiter,
+        "time_column": args.dt,
+        "time_format": args.dt_format,
+        "mixed": args.mixed,
+    }
     if args.command == "import":
         jobs.import_bars(spark, args.data_path, args.table, **options)
         return

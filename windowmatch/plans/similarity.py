@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from windowmatch.config import SearchColumns
 from windowmatch.functions import kernel
@@ -78,3 +79,27 @@ def similarity_grouped(
 ) -> DataFrame:
     """``similarity`` by the plan that sends the windows to the bars."""
     return similarity(bars, windows, pattern, cols, grouped=True, **options)
+
+
+def similarities(
+    bars: DataFrame,
+    samples: Sequence[tuple],
+    pattern: Matrix,
+    cols: SearchColumns = SearchColumns(),
+    **options,
+) -> list[float | None]:
+    """Scores of windows the caller lists as (sid, begin, end), in the order of the list."""
+    spark = bars.sparkSession
+    sid, time = bars.schema[cols.sid].dataType, bars.schema[cols.time].dataType
+    schema = T.StructType(
+        [
+            T.StructField(cols.sid, sid),
+            T.StructField(cols.begin, time),
+            T.StructField(cols.end, time),
+            T.StructField("_sample", T.LongType()),
+        ]
+    )
+    listed = spark.createDataFrame([(*s, i) for i, s in enumerate(samples)], schema)
+    scored = similarity(bars, listed.drop("_sample").distinct(), pattern, cols, **options)
+    placed = listed.join(scored, [*cols.window_key]).orderBy("_sample")
+    return [row["similarity"] for row in placed.select("similarity").collect()]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windowmatch.functions.times import parse_time
+from windowmatch.operators.upsert import concat
 
 DEFAULT_TIME_FORMAT = "%Y-%m-%d %H:%M:%S"
 
@@ -33,6 +34,9 @@ MISSING_TEXTS = (
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# More different headers than this mean that the directory holds something else.
+MAX_HEADERS = 100
+
 NUMBERS = ("open", "high", "low", "close", "pre_close", "volume")
 
 BARS_SCHEMA = T.StructType(
@@ -72,6 +76,34 @@ def read_bar_files(
     return raw.withColumn("file_name", F.col("_metadata.file_name"))
 
 
+def read_mixed_bar_files(
+    spark: SparkSession, path: str | list[str], time_column: str = "datetime", sep: str = ","
+) -> DataFrame:
+    """Like ``read_bar_files`` for files whose headers differ: each file follows its own.
+
+    A header is a line that has ``time_column`` as one of its fields. Only the different
+    headers come to the driver.
+    """
+    lines = (
+        spark.read.option("pathGlobFilter", "*.csv")
+        .text(path)
+        .select("value", F.col("_metadata.file_name").alias("file_name"))
+        .where(F.trim("value") != "")
+    )
+    is_header = F.array_contains(F.split("value", f"\\Q{sep}\\E"), time_column)
+    headers = lines.where(is_header).select("value").distinct().limit(MAX_HEADERS + 1).collect()
+    if not 0 < len(headers) <= MAX_HEADERS:
+        raise ValueError(f"need 1 to {MAX_HEADERS} different headers with {time_column!r}")
+    frames = []
+    for (header,) in headers:
+        files = lines.where(F.col("value") == header).select("file_name").distinct()
+        rows = lines.where(~is_header).join(files, "file_name", "left_semi")
+        schema = ", ".join(f"`{name}` STRING" for name in header.split(sep))
+        cells = F.from_csv("value", schema, {"sep": sep}).alias("cells")
+        frames.append(rows.select(cells, "file_name").select("cells.*", "file_name"))
+    return concat(frames)
+
+
 def _number(text: Column) -> Column:
     return F.when(~F.trim(text).isin(*MISSING_TEXTS), F.trim(text)).try_cast("double")
 
@@ -128,9 +160,13 @@ def ingest(
     time_format: str = DEFAULT_TIME_FORMAT,
     strict: bool = False,
     header: list[str] | None = None,
+    mixed: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Bars and rejected rows of a directory of bar files."""
-    raw = read_bar_files(spark, path, sep=sep, header=header)
+    """Bars and rejected rows of a directory of bar files; ``mixed`` if their headers differ."""
+    if mixed:
+        raw = read_mixed_bar_files(spark, path, time_column, sep)
+    else:
+        raw = read_bar_files(spark, path, sep=sep, header=header)
     return parse_bars(raw, time_column, time_format, strict)
 
 
