@@ -16,7 +16,7 @@ from oracle_statements import N, SAMPLES, SEED
 from windowmatch.config import SearchColumns
 from windowmatch.functions import matrix
 from windowmatch.operators import range_join, scan, series, topk, upsert, windows
-from windowmatch.operators.layout import lay_out
+from windowmatch.operators.layout import TILE, lay_out
 from windowmatch.plans import search, similarity, steps
 from windowmatch.sources import bar_files, lines, tables
 from windowmatch.sources.trades import bars_from_trades
@@ -162,14 +162,14 @@ def _delta(spark, sf_dir):
 
 
 def bars_upsert(spark, sf_dir):
-    base = derive_bars(spark, sf_dir)
+    base = bars_of(spark, sf_dir).drop(TILE)
     return upsert.upsert(base, _delta(spark, sf_dir), COLS.bar_key(base), seq="seq")
 
 
 def bars_table(spark, sf_dir):
     table = fresh_table(spark, "daybars")
     tables.create_bars_table(spark, table)
-    base = _with_exchange(spark, sf_dir, derive_bars(spark, sf_dir), F.col("open"))
+    base = _with_exchange(spark, sf_dir, bars_of(spark, sf_dir), F.col("open"))
     tables.append_bars(spark, table, base, COLS)
     delta = _with_exchange(spark, sf_dir, _delta(spark, sf_dir), F.col("open"), "seq")
     tables.upsert_into(spark, table, delta, COLS, seq="seq")
@@ -188,7 +188,7 @@ def bulk_load(spark, sf_dir):
 def csv_ingest(spark, sf_dir):
     path = fresh_path(spark, "barfiles")
     pre_close = F.when(F.col("volume") > 30, F.col("open"))
-    bars = _with_exchange(spark, sf_dir, derive_bars(spark, sf_dir), pre_close)
+    bars = _with_exchange(spark, sf_dir, bars_of(spark, sf_dir), pre_close)
     bar_files.write_bar_files(bars, path, name_column="file")
     header = ["datetime", *bar_files.VENDOR_NAMES]
     raw = bar_files.read_bar_files(spark, path, header=header, name_column="file")

@@ -116,6 +116,27 @@ def test_cell_widths_keep_the_join_small():
     assert len(range_join.cell_widths(cases["two common lengths"])) == 2
 
 
+def test_a_long_window_does_not_gather_a_large_security_in_one_cell(spark):
+    """A third of the bars is one security, and one window covers all of them."""
+    bars = spark.range(30_000).selectExpr(
+        "if(id % 3 = 0, 1, id % 500 + 2) AS sid",
+        "timestamp_ntz'2020-01-01' + make_dt_interval(0, id % 9000) AS datetime",
+        "1D AS open", "1D AS high", "1D AS low", "1D AS close",
+    )
+    short = [(s, fx.day(d), fx.day(d + 1), 1) for s in range(1, 5) for d in range(0, 370, 2)]
+    windows = spark.createDataFrame([*short, (1, fx.day(0), fx.day(400), 1)], WINDOWS)
+    cells = range_join.measure(windows, COLS)
+    right = range_join._bar_cells(bars, COLS, cells)
+    assert len(cells.widths) == 1
+    assert right.count() == bars.where("sid <= 4 AND datetime <= timestamp_ntz'2021-02-04'").count()
+    largest = right.groupBy("sid", "_cell").count().agg({"count": "max"}).first()[0]
+    assert largest < 100
+    assert range_join._window_cells(windows, COLS, cells).count() < 4 * windows.count()
+    found = range_join.matched_bars(bars, windows, COLS)
+    whole = found.where("endtime > timestamp_ntz'2021-01-01'")
+    assert whole.where("begintime = timestamp_ntz'2020-01-01'").count() == 10_000
+
+
 def test_no_windows(spark, bars):
     windows = spark.createDataFrame([], WINDOWS)
     assert similarity(bars, windows, [[1.0] * 4] * 3, COLS).count() == 0

@@ -155,6 +155,7 @@ def window_bars(
     The matches are not joined to the windows again: a window may cover any number of
     bars, and those stay in the tasks that found them.
     """
+    windows = windows.select(*(c for c in (*cols.window_key, cols.period) if c in windows.columns))
     found = matched_bars(bars, windows, cols, grouped)
     keys = found.select(*cols.window_key).distinct()
     empty = windows.join(keys, [*cols.window_key], "left_anti")
