@@ -70,7 +70,7 @@ def _checked(pattern: Sequence[Sequence[float]], width: int, normalize: str, pas
     with np.errstate(all="ignore"):
         centred = centred_distances(matrix[None], normalize, passes)[..., 0]
     # This many windows keep the working arrays in the processor cache.
-    return centred, max(1, 400_000 // len(matrix) ** 2)
+    return centred, max(1, 100_000 // len(matrix) ** 2)
 
 
 def _columns(cells: dict[str, pa.Array], names: Sequence[str]) -> np.ndarray:
