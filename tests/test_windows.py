@@ -8,7 +8,7 @@ from windowmatch.config import SearchColumns
 from windowmatch.operators import series, windows
 from windowmatch.operators.layout import TILE, lay_out, split_sids, tile_count
 from windowmatch.plans.search import pattern_search
-from windowmatch.plans.similarity import similarity_of_all
+from windowmatch.plans.similarity import similarity, similarity_of_all
 
 COLS = SearchColumns()
 # Security 1 has more than half of all bars and spans many tiles; 9 is shorter than a window.
@@ -149,3 +149,42 @@ def test_tile_count():
     assert tile_count(8_261, 200) == 8
     assert tile_count(533_473, 8) == 32
     assert tile_count(10**12, 20_000) == 200_000
+
+
+@pytest.mark.parametrize("tiles", [1, 12])
+def test_several_exchanges_at_one_time(spark, tiles):
+    """One window per start time; a score only if its time range holds just its bars."""
+    n = 4
+    rows = fx.random_bars({1: 80, 2: 30})
+    rows += [(sid, "Y", when, *(p * 1.1 for p in prices)) for sid, _, when, *prices in rows[::3]]
+    bars = lay_out(spark.createDataFrame(rows, fx.BARS), COLS, tiles=tiles)
+    want = {}
+    for sid, series_rows in fx.by_sid(rows).items():
+        for i in range(len(series_rows) - n + 1):
+            begin, end = series_rows[i][2], series_rows[i + n - 1][2]
+            if not i or series_rows[i - 1][2] != begin:
+                want[sid, begin] = end
+    found = windows.all_windows(bars, COLS, n)
+    assert keys(found) == sorted((s, b, e) for (s, b), e in want.items())
+    pattern = [list(r[3:]) for r in fx.by_sid(rows)[2][3 : 3 + n]]
+    swept = similarity_of_all(bars, pattern, COLS).collect()
+    joined = similarity(bars, found, pattern, COLS).collect()
+    order = lambda r: r[:3]
+    assert sum(r["similarity"] is None for r in swept) > 5
+    for a, b in zip(sorted(swept, key=order), sorted(joined, key=order), strict=True):
+        assert a[:3] == b[:3]
+        score = b["similarity"]
+        assert a["similarity"] == (None if score is None else pytest.approx(score))
+
+
+def test_runs_longer_than_a_batch(spark, bars, rows):
+    pattern = [list(r[3:]) for r in fx.by_sid(rows)[2][:30]]
+    want = sorted(map(tuple, similarity_of_all(bars, pattern, COLS).collect()))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(setting, 7)
+    try:
+        got = sorted(map(tuple, similarity_of_all(bars, pattern, COLS).collect()))
+    finally:
+        spark.conf.unset(setting)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want])

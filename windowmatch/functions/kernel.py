@@ -24,7 +24,6 @@ from windowmatch.config import SearchColumns
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NORMALIZATIONS = ("mean", "none")
-PLACE = "_place"
 
 
 def _distances(a: np.ndarray) -> np.ndarray:
@@ -119,6 +118,9 @@ def score(
 
 def score_runs(
     placed: DataFrame,
+    place: str,
+    first: str,
+    last: str,
     pattern: Sequence[Sequence[float]],
     cols: SearchColumns,
     normalize: str = "mean",
@@ -126,13 +128,14 @@ def score_runs(
 ) -> DataFrame:
     """Score every run of bars as long as ``pattern`` in partitions of ordered bars.
 
-    ``placed`` numbers the bars of each series from 1 on in ``PLACE``, in the order of
-    the rows. Every bar is sent to Python once and batches are taken one by one, with
+    ``placed`` numbers the bars of each series from 1 on in ``place``, in the order of
+    the rows; a run starts at a bar flagged ``first``, and has a score if it ends at one
+    flagged ``last``. Every bar is sent to Python once and batches are taken one by one, with
     the last bars of a batch kept for the next.
     """
     centred, block = _checked(pattern, len(cols.match), normalize, passes)
     n, names = len(pattern), list(cols.match)
-    sid, time, place, begin, end = cols.sid, cols.time, PLACE, cols.begin, cols.end
+    sid, time, begin, end = cols.sid, cols.time, cols.begin, cols.end
 
     def scored(batches):
         kept: list[pa.RecordBatch] = []
@@ -143,17 +146,18 @@ def score_runs(
             if not starts:
                 continue
             number = rows[place].to_numpy()
-            one_series = number[n - 1 :] - number[:starts] == n - 1
+            is_run = number[n - 1 :] - number[:starts] == n - 1
+            is_run &= rows[first].to_numpy()[:starts]
+            whole = pa.array(rows[last].to_numpy()[n - 1 :][is_run])
             x = _columns({c: rows[c].combine_chunks() for c in names}, names)
-            runs = np.lib.stride_tricks.sliding_window_view(x, n, axis=0)[one_series]
-            mask = pa.array(one_series)
+            runs = np.lib.stride_tricks.sliding_window_view(x, n, axis=0)[is_run]
+            scores = _blocks(np.swapaxes(runs, 1, 2), centred, block, normalize, passes)
+            mask = pa.array(is_run)
             found = {
                 sid: rows[sid].slice(0, starts).filter(mask),
                 begin: rows[time].slice(0, starts).filter(mask),
                 end: rows[time].slice(n - 1).filter(mask),
-                "similarity": _blocks(
-                    np.swapaxes(runs, 1, 2), centred, block, normalize, passes
-                ),
+                "similarity": pc.if_else(whole, scores, pa.scalar(None, pa.float64())),
             }
             yield from pa.table(found).to_batches()
 
@@ -165,4 +169,4 @@ def score_runs(
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    return placed.select(sid, time, place, *names).mapInArrow(scored, schema)
+    return placed.select(sid, time, place, first, last, *names).mapInArrow(scored, schema)

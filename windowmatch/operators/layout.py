@@ -1,6 +1,6 @@
 """Distributed layout of a bars table.
 
-Bars are range-clustered by (sid, time, exchange) into *tiles* of about equal size,
+Bars are range-clustered by (sid, time) into *tiles* of about equal size,
 numbered in key order. A security with very many bars gets many tiles, and many
 small securities share one, so no later group is larger than a tile. The table is
 bucketed by tile: window functions inside a tile need no further shuffle.
@@ -48,7 +48,7 @@ def lay_out(
     key = cols.bar_key(bars)
     name = table or fresh_table(spark, "bars")
     (
-        bars.repartitionByRange(tiles, *key)
+        bars.repartitionByRange(tiles, cols.sid, cols.time)
         .withColumn(TILE, F.spark_partition_id())
         .write.format("parquet")
         .bucketBy(buckets, TILE)

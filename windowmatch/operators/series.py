@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from windowmatch.config import SearchColumns
 from windowmatch.operators.layout import TILE, split_sids
 
+FIRST, LAST = "_first", "_last"
+
 Over = Callable[[WindowSpec], Column]
 
 
@@ -29,6 +31,20 @@ def _run_columns(
     return [end.alias(cols.end), *more]
 
 
+def with_edges(bars: DataFrame, cols: SearchColumns) -> DataFrame:
+    """Flags the first and the last bar of each (sid, time): two only with several exchanges.
+
+    Bars of one security and time are always in one tile.
+    """
+    if cols.exchange not in bars.columns:
+        return bars.select("*", F.lit(True).alias(FIRST), F.lit(True).alias(LAST))
+    in_tile = Window.partitionBy(cols.sid, TILE).orderBy(*cols.time_order(bars))
+    time = F.col(cols.time)
+    before, after = F.lag(cols.time).over(in_tile), F.lead(cols.time).over(in_tile)
+    first, last = ~before.eqNullSafe(time), ~after.eqNullSafe(time)
+    return bars.select("*", first.alias(FIRST), last.alias(LAST))
+
+
 def border_runs(
     bars: DataFrame, cols: SearchColumns, n: int, extra: dict[str, Over] | None = None
 ) -> DataFrame:
@@ -43,14 +59,14 @@ def border_runs(
     # Runs of one bar end where they begin: no bar is a tail then.
     is_tail = F.lead(cols.time, n - 1).over(in_tile).isNull() if n > 1 else F.lit(False)
     border = (
-        bars.join(F.broadcast(split_sids(bars, cols)), cols.sid, "left_semi")
+        with_edges(bars.join(F.broadcast(split_sids(bars, cols)), cols.sid, "left_semi"), cols)
         .select("*", is_tail.alias("_is_tail"), F.row_number().over(in_tile).alias("_from_start"))
         .where(F.col("_is_tail") | (F.col("_from_start") < n))
     )
     return (
-        border.select(*_start(cols), "_is_tail", *_run_columns(cols, n, across, extra))
-        .where(F.col("_is_tail") & F.col(cols.end).isNotNull())
-        .drop("_is_tail")
+        border.select(*_start(cols), "_is_tail", FIRST, *_run_columns(cols, n, across, extra))
+        .where(F.col("_is_tail") & F.col(FIRST) & F.col(cols.end).isNotNull())
+        .drop("_is_tail", FIRST)
     )
 
 
@@ -59,15 +75,17 @@ def runs(
 ) -> DataFrame:
     """One row per run of ``n`` consecutive bars of a security: all its windows.
 
-    Gives the window key, ``period``, the tile of the first bar, and the ``extra``
+    Where several exchanges have a bar at one time, one run starts there. Gives the window key, ``period``, the tile of the first bar, and the ``extra``
     columns, each a function of a window specification whose rows are the bars of one
     security from the current bar on.
     """
     if n < 1:
         raise ValueError("a window has at least one bar")
     in_tile = Window.partitionBy(cols.sid, TILE).orderBy(*cols.time_order(bars))
-    inside = bars.select(*_start(cols), *_run_columns(cols, n, in_tile, extra))
-    found = inside.where(F.col(cols.end).isNotNull())
+    inside = with_edges(bars, cols).select(
+        *_start(cols), FIRST, *_run_columns(cols, n, in_tile, extra)
+    )
+    found = inside.where(F.col(FIRST) & F.col(cols.end).isNotNull()).drop(FIRST)
     if n > 1:
         found = found.unionByName(border_runs(bars, cols, n, extra))
     return found.withColumn(cols.period, F.lit(n))
@@ -80,9 +98,18 @@ def places(bars: DataFrame, cols: SearchColumns, name: str) -> DataFrame:
 
 
 def run_bars(cols: SearchColumns, n: int) -> Over:
-    """The prices of a run as an array in time order, for ``runs``."""
+    """The prices of a run as an array in time order, for ``runs``.
+
+    NULL if another exchange has one more bar at the end time: the window covers more
+    than ``n`` bars then.
+    """
     prices = F.struct(*(F.col(c) for c in cols.match))
-    return lambda over: F.collect_list(prices).over(over.rowsBetween(0, n - 1))
+
+    def bars(over: WindowSpec) -> Column:
+        whole = F.lead(LAST, n - 1).over(over) if n > 1 else F.col(LAST)
+        return F.when(whole, F.collect_list(prices).over(over.rowsBetween(0, n - 1)))
+
+    return bars
 
 
 def split_counts(bars: DataFrame, cols: SearchColumns) -> DataFrame:

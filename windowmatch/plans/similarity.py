@@ -11,7 +11,14 @@ from pyspark.sql import types as T
 from windowmatch.config import SearchColumns
 from windowmatch.functions import kernel
 from windowmatch.operators.range_join import window_matrices
-from windowmatch.operators.series import border_runs, places, run_bars
+from windowmatch.operators.series import (
+    FIRST,
+    LAST,
+    border_runs,
+    places,
+    run_bars,
+    with_edges,
+)
 
 Matrix = Sequence[Sequence[float]]
 
@@ -64,8 +71,8 @@ def similarity_of_all(
     """
     n = len(pattern)
     options = {"normalize": normalize, "passes": passes}
-    placed = places(bars, cols, kernel.PLACE)
-    inside = kernel.score_runs(placed, pattern, cols, **options)
+    placed = places(with_edges(bars, cols), cols, "_place")
+    inside = kernel.score_runs(placed, "_place", FIRST, LAST, pattern, cols, **options)
     across = border_runs(bars, cols, n, {"bars": run_bars(cols, n)})
     return inside.unionByName(score_windows(across, pattern, cols, **options))
 
