@@ -22,6 +22,13 @@ from windowmatch.sources import bar_files, lines, tables
 from windowmatch.sources.trades import bars_from_trades
 from windowmatch.staging import fresh_path, fresh_table, stage
 
+try:  # the one place that works without the subpackage and its pipeline
+    import windowmatch.llm.queries as llm
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith(("windowmatch.llm", "corpus_pipeline")):
+        raise
+    llm = None
+
 COLS = SearchColumns()
 WIDTH = len(COLS.match)
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
@@ -402,8 +409,9 @@ def queries() -> dict[str, Query]:
         "similarity_all": similarity_all,
         "topk": top_hits,
         "pattern_search": pattern_search,
+        **(llm.queries() if llm else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_statements.statements()
+    return {**oracle_statements.statements(), **(llm.oracle_sql() if llm else {})}

@@ -8,16 +8,22 @@ import __spark_entry__ as registered
 SF_DIR = "/root/testdata/sf0.001"
 
 
+def own():
+    """Queries of the library itself; those of the llm subpackage are tested in tests/llm."""
+    return set(registered.queries()) - set(registered.llm.queries() if registered.llm else ())
+
+
 @pytest.fixture(scope="module")
 def con():
     return connect(SF_DIR)
 
 
 def test_every_query_has_sql():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(registered.oracle_sql()) <= set(registered.queries())
+    assert own() <= set(registered.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(registered.queries()))
+@pytest.mark.parametrize("name", sorted(own()))
 def test_query_equals_sql(spark, con, name):
     got = registered.queries()[name](spark, SF_DIR)
     assert differences(got, con, registered.oracle_sql()[name]) is None
