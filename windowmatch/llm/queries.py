@@ -4,8 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from windowmatch.llm import simhash
-from windowmatch.llm.shared import table
+from windowmatch.llm import lang_crf, packing, simhash
+from windowmatch.llm.shared import fold, table
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer file; operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark, sf_dir):
+    """Every piece of every document and its place in a sequence."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def language_model(docs):
+    """Fitted on documents outside the fold that is held out."""
+    return lang_crf.train(docs.where(fold(F.col("doc_id")) != 0))
+
+
+def op6_language(spark, sf_dir):
+    """Language of every document, by a model that has not seen a fifth of them."""
+    docs = table(spark, sf_dir, "documents")
+    found = lang_crf.identify(docs, language_model(docs))
+    return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
 def op8_simhash(spark, sf_dir):
@@ -16,6 +40,8 @@ def op8_simhash(spark, sf_dir):
 
 def queries():
     return {
+        "op3_packing": op3_packing,
+        "op6_language": op6_language,
         "op8_simhash": op8_simhash,
     }
 
