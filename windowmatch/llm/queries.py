@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from windowmatch.llm import lang_crf, packing, simhash
+from windowmatch.llm import decontaminate, lang_crf, packing, secret_scan, simhash
 from windowmatch.llm.shared import fold, table
 
 
@@ -15,11 +15,22 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark, sf_dir):
+    """Documents that contain a benchmark item, with the items."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_packing(spark, sf_dir):
     """Every piece of every document and its place in a sequence."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op4_secrets(spark, sf_dir):
+    """Every secret found in the documents, with its place."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "probability")
+
+
 def language_model(docs):
     """Fitted on documents outside the fold that is held out."""
     return lang_crf.train(docs.where(fold(F.col("doc_id")) != 0))
@@ -40,7 +51,9 @@ def op8_simhash(spark, sf_dir):
 
 def queries():
     return {
+        "op1_decontamination": op1_decontamination,
         "op3_packing": op3_packing,
+        "op4_secrets": op4_secrets,
         "op6_language": op6_language,
         "op8_simhash": op8_simhash,
     }
