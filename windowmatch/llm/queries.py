@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from windowmatch.llm import decontaminate, lang_crf, packing, secret_scan, simhash
+from windowmatch.llm import decontaminate, lang_crf, packing, secret_scan, simhash, token_frames
 from windowmatch.llm.shared import fold, table
 
 
@@ -49,6 +49,11 @@ def op8_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_token_frames(spark, sf_dir):
+    """Every document as read back from the written files."""
+    return token_frames.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), spark)
+
+
 def queries():
     return {
         "op1_decontamination": op1_decontamination,
@@ -56,6 +61,7 @@ def queries():
         "op4_secrets": op4_secrets,
         "op6_language": op6_language,
         "op8_simhash": op8_simhash,
+        "op9_token_frames": op9_token_frames,
     }
 
 
