@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from windowmatch.llm import decontaminate, lang_crf, packing, secret_scan, simhash, token_frames
+from windowmatch.llm import decontaminate, lang_crf, packing, sanitise, secret_scan, simhash, token_frames
 from windowmatch.llm.shared import fold, table
 
 
@@ -43,6 +43,17 @@ def op6_language(spark, sf_dir):
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op7_sanitise(spark, sf_dir):
+    """Personal data of every document, with the terms that give it away."""
+    found = sanitise.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(sanitise.digest(sanitise.base_only(F.col("spans"))), 256).alias("base_sha256"),
+        sanitise.digest(F.col("spans")).alias("spans"),
+        "n_term",
+    )
+
+
 def op8_simhash(spark, sf_dir):
     """Fingerprint and class of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -60,6 +71,7 @@ def queries():
         "op3_packing": op3_packing,
         "op4_secrets": op4_secrets,
         "op6_language": op6_language,
+        "op7_sanitise": op7_sanitise,
         "op8_simhash": op8_simhash,
         "op9_token_frames": op9_token_frames,
     }

@@ -147,7 +147,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
     repeated rows are written as often as they come; an empty table gives no file.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", F.xxhash64("text")]  # so that many rows of one id are many tasks
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
