@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from windowmatch.llm import decontaminate, lang_crf, packing, sanitise, secret_scan, simhash, token_frames
+from windowmatch.llm import decontaminate, lang_crf, packing, pq_dedup, sanitise, secret_scan, simhash, token_frames
 from windowmatch.llm.shared import fold, table
 
 
@@ -65,6 +65,11 @@ def op9_token_frames(spark, sf_dir):
     return token_frames.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), spark)
 
 
+def op10_embeddings(spark, sf_dir):
+    """Links and class of every embedding."""
+    return pq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {
         "op1_decontamination": op1_decontamination,
@@ -74,6 +79,7 @@ def queries():
         "op7_sanitise": op7_sanitise,
         "op8_simhash": op8_simhash,
         "op9_token_frames": op9_token_frames,
+        "op10_embeddings": op10_embeddings,
     }
 
 
