@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from windowmatch.llm import decontaminate, lang_crf, packing, pq_dedup, sanitise, secret_scan, simhash, token_frames
+from windowmatch.llm import decontaminate, lang_crf, packing, pq_dedup, sanitise, secret_scan, simhash, suffix_tree, token_frames
 from windowmatch.llm.shared import fold, table
 
 
@@ -20,6 +20,16 @@ def op1_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_suffix_tree(spark, sf_dir):
+    """Log probability of every document, by a tree that has not seen a fifth of them."""
+    docs = table(spark, sf_dir, "documents")
+    seen = docs.where(fold(F.col("doc_id")) != 1)
+    tree, counts = suffix_tree.train(seen.select(F.col("text").cast("binary").alias("text")))
+    found = suffix_tree.score(docs, tree, counts.frame)
+    held_out = (fold(F.col("doc_id")) == 1).alias("held_out")
+    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_packing(spark, sf_dir):
     """Every piece of every document and its place in a sequence."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -73,6 +83,7 @@ def op10_embeddings(spark, sf_dir):
 def queries():
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_suffix_tree": op2_suffix_tree,
         "op3_packing": op3_packing,
         "op4_secrets": op4_secrets,
         "op6_language": op6_language,
