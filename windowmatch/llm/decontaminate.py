@@ -25,7 +25,8 @@ LEAST_WORDS = 3
 #: Benchmark windows that may be broadcast (24 bytes each); beyond, the join shuffles.
 BROADCAST_WINDOWS = 1_000_000
 
-NUMBER, NAME, UNIT = "", "", ""
+#: Placeholders: private use characters, which no word keeps.
+NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
 MARKS = NUMBER + NAME + UNIT
 UNITS = (
     "km/h mph kmh km cm mm nm kg mg lb lbs oz ml cl kwh kw mw hz khz mhz ghz kb mb gb tb min mins hours hour "

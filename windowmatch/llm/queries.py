@@ -4,15 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from windowmatch.llm import decontaminate, lang_crf, packing, pq_dedup, sanitise, secret_scan, simhash, suffix_tree, token_frames
-from windowmatch.llm.shared import fold, table
-
-
-def vocabulary(name: str) -> str:
-    """The place of a public tokenizer file; operators take it as a parameter."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from windowmatch.llm import decontaminate, html_crf, lang_crf, packing, pq_dedup, sanitise, secret_scan, simhash, suffix_tree, token_frames
+from windowmatch.llm.shared import fold, table, vocabulary
 
 
 def op1_decontamination(spark, sf_dir):
@@ -41,6 +34,12 @@ def op4_secrets(spark, sf_dir):
     return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "probability")
 
 
+def op5_html(spark, sf_dir):
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_crf.extract(pages, html_crf.train(pages), "html", "page_id", "url")
+
+
 def language_model(docs):
     """Fitted on documents outside the fold that is held out."""
     return lang_crf.train(docs.where(fold(F.col("doc_id")) != 0))
@@ -86,6 +85,7 @@ def queries():
         "op2_suffix_tree": op2_suffix_tree,
         "op3_packing": op3_packing,
         "op4_secrets": op4_secrets,
+        "op5_html": op5_html,
         "op6_language": op6_language,
         "op7_sanitise": op7_sanitise,
         "op8_simhash": op8_simhash,
