@@ -23,11 +23,12 @@ from windowmatch.sources.trades import bars_from_trades
 from windowmatch.staging import fresh_path, fresh_table, stage
 
 try:  # the one place that works without the subpackage and its pipeline
+    import corpus_pipeline
     import windowmatch.llm.queries as llm
 except ModuleNotFoundError as missing:
     if not (missing.name or "").startswith(("windowmatch.llm", "corpus_pipeline")):
         raise
-    llm = None
+    corpus_pipeline = llm = None
 
 COLS = SearchColumns()
 WIDTH = len(COLS.match)
@@ -409,9 +410,12 @@ def queries() -> dict[str, Query]:
         "similarity_all": similarity_all,
         "topk": top_hits,
         "pattern_search": pattern_search,
-        **(llm.queries() if llm else {}),
+        **({**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracle_statements.statements(), **(llm.oracle_sql() if llm else {})}
+    sql = oracle_statements.statements()
+    if llm:
+        sql |= llm.oracle_sql() | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return sql
