@@ -1,0 +1,211 @@
+import hashlib
+import re
+
+import cases
+import pytest
+from pyspark.sql import functions as F
+
+from windowmatch.llm import decontaminate, sanitise, secret_scan
+from windowmatch.llm.shared import table
+
+SF = "/root/testdata/sf0.01"
+
+# Decontamination
+
+
+def windows(text):
+    words = [re.sub(r"[\W_]+", "", w) for w in text.lower().split()]
+    words = [w for w in words if w]
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}, [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+
+
+def test_leaks_equal_brute_force(spark):
+    docs, benchmark = table(spark, SF, "documents"), table(spark, SF, "benchmark")
+    items = {r["item_id"]: windows(r["text"])[1] for r in benchmark.collect()}
+    want = set()
+    for r in docs.collect():
+        seen = windows(r["text"])[0]
+        for item, places in items.items():
+            if places and sum(p in seen for p in places) >= 0.8 * len(places):
+                want.add((r["doc_id"], item))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert got == want and want
+
+
+ITEM = (
+    "A train leaves Boston at 40 km and reaches Denver after 12 hours, then Alice takes 40 apples from Bob and "
+    "gives 12 of them back to the old man who waits near the station."
+)
+SAME = (
+    "Some words before. A train leaves Madrid at 75 km and reaches Lisbon after 31 hours, then Carla takes 75 apples "
+    "from David and gives 31 of them back to the old man who waits near the station. And some behind."
+)
+MIXED = (
+    "A train leaves Madrid at 75 km and reaches Madrid after 31 hours, then Carla takes 31 apples from David and gives 75 "
+    "of them back to a young girl that sits beside a lake."
+)
+
+
+def found_in(spark, *texts, items=(ITEM,)):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {r["doc_id"] for r in decontaminate.contaminated(docs, benchmark).collect()}
+
+
+def test_exchanged_numbers_and_names_are_found(spark):
+    assert found_in(spark, SAME, MIXED, ITEM.upper(), "Nothing of the kind is in this text at all.") == {0, 2}
+
+
+def test_slots_must_be_consistent(spark):
+    item = "In 10 days a farmer sells 10 cows and buys 10 goats while 10 dogs and 10 cats watch 10 birds there"
+    same = item.replace("10", "25")
+    mixed = item
+    for n in ("31", "42", "53", "64", "75", "86"):
+        mixed = mixed.replace("10", n, 1)
+    assert found_in(spark, same, mixed, items=(item,)) == {0}
+
+
+def test_template_words_stay_in_place(spark):
+    frame = spark.createDataFrame([(ITEM,), ("5km of O'Neil, Ann-Marie 3,500.25 kg; 7 % and 4/5",)], "text string")
+    rows = decontaminate._forms(frame, "text").collect()
+    for r in rows:
+        assert len(r["words"]) == len(r["shape"])
+    assert [s for w, s in zip(rows[0]["words"], rows[0]["shape"]) if w != s][:4] == [
+        decontaminate.NAME, decontaminate.NUMBER, decontaminate.UNIT, decontaminate.NAME,
+    ]
+
+
+def test_decontamination_of_defined_cases(spark):
+    docs = cases.documents(spark)
+    benchmark = spark.createDataFrame(
+        [(1, cases.TEXTS[0][1]), (2, None), (None, "x"), (3, "too short"), (3, "too short"), (4, "")], "item_id long, text string"
+    )
+    got = {(r["doc_id"], r["item_id"], r["containment"]) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert got == {(1, 1, 1.0), (2, 1, 1.0)}
+    kept = decontaminate.decontaminate(docs, benchmark)
+    assert kept.columns == cases.SCHEMA.names and kept.count() == len(cases.TEXTS) - 3
+    assert decontaminate.contaminated(docs, benchmark.where("false")).count() == 0
+    assert decontaminate.contaminated(cases.empty(spark), benchmark).count() == 0
+
+
+# Sanitisation
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        n = int(d) * (1 + i % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def base(text):
+    found = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (16 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            found.append((kind, m.start(), m.end()))
+    return found
+
+
+ODD = [
+    "a@b.c-x_y@d.e.f", "é😀 mail a.b@c.d, x@y", "..@a.b@c.d", "1.2.3.4.5.6.7.8.9", "01.002.255.256 255.255.255.255",
+    "4111 1111-1111 1111 and 4111111111111112", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "+1 (017) 555-7713 +1-+49 30 1234567",
+    "+1 2", "+12345678901234567", "x" * 3000 + "@a.b", "1" * 3000, "a." * 2000 + "@" + "b." * 2000, "0000000000000000", None, "",
+    "5105105105105100 5105-1051-0510-5100 5105105105105101", "000.0.0.0 1.1.1 1.1.1.1.1", "a@-.-", "%@%.%", "+1(((((2))))) 3 4 5 6 7 8",
+]
+
+
+def test_base_spans_equal_brute_force(spark):
+    given = table(spark, SF, "documents").select("doc_id", "text")
+    odd = spark.createDataFrame([(100_000 + i, t) for i, t in enumerate(ODD)], given.schema)
+    rows = given.union(odd)
+    got = {r["doc_id"]: r for r in sanitise.find(rows).collect()}
+    texts = rows.collect()
+    assert len(got) == len(texts)
+    for r in texts:
+        want = base(r["text"])
+        mine = [(s["kind"], s["start"], s["end"]) for s in got[r["doc_id"]]["spans"] if s["kind"] != "term"]
+        assert mine == want, r
+        assert got[r["doc_id"]]["n_email"] == sum(k == "email" for k, _, _ in want)
+
+
+def test_digest_of_base_spans(spark):
+    frame = sanitise.find(spark.createDataFrame([(1, "a@b.c 1.2.3.4"), (2, None)], "doc_id long, text string"))
+    got = {r[0]: r[1] for r in frame.select("doc_id", F.sha2(sanitise.digest(sanitise.base_only(F.col("spans"))), 256)).collect()}
+    assert got == {1: hashlib.sha256(b"email:0:5,ip:6:13").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
+
+
+def test_terms_that_give_an_entity_away(spark):
+    filler = [f"Plain words of text number {i} without anything to protect, the usual kind." for i in range(60)]
+    secret = [f"Text {i}: write to Zorblax the usual person at zx@mail.example.com about topic{i}." for i in range(4)]
+    other = ["Here Zorblax alone is named, without any address, by the usual kind."]
+    rows = list(enumerate([*filler, *secret, *other, *secret[:1] * 5]))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sanitise.find(frame).collect()}
+    for i in range(60, 64):
+        spans = [(s["kind"], rows[i][1][s["start"] : s["end"]]) for s in got[i]["spans"]]
+        assert ("term", "Zorblax") in spans and ("email", "zx@mail.example.com") in spans
+        assert not {w for k, w in spans if k == "term"} & {"the", "usual", f"topic{i - 60}"}
+    assert all(not got[i]["spans"] for i in [*range(60), 64])
+    clean = {r["doc_id"]: r["text"] for r in sanitise.sanitise(frame).collect()}
+    assert "Zorblax" not in clean[60] and "[EMAIL]" in clean[60] and clean[64] == other[0] and clean[3] == filler[3]
+
+
+def test_sanitisation_of_defined_cases(spark):
+    got = sanitise.find(cases.documents(spark)).collect()
+    assert len(got) == len(cases.TEXTS) and not any(r["spans"] for r in got)
+    clean = sanitise.sanitise(cases.documents(spark))
+    assert clean.columns == cases.SCHEMA.names
+    assert sorted(map(repr, (r["text"] for r in clean.collect()))) == sorted(map(repr, (t for _, t, _ in cases.TEXTS)))
+    assert sanitise.find(cases.empty(spark)).count() == 0
+
+
+# Secrets
+
+
+@pytest.fixture(scope="module")
+def scanned(spark):
+    return secret_scan.scan(table(spark, SF, "documents")).collect()
+
+
+def test_tokens_are_found_and_numbers_are_not(spark, scanned):
+    texts = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").collect()}
+    want = {(i, *m.span(1)) for i, t in texts.items() for m in re.finditer(r'(?i)token\W{1,6}=\W{1,6}"([0-9a-f]{40})"', t)}
+    got = {(r["doc_id"], r["start"], r["end"]) for r in scanned}
+    assert want and want <= got
+    assert all(not texts[i][a:b].isdigit() for i, a, b in got)
+
+
+def test_forest_removes_false_positives(spark):
+    key = hashlib.sha256(b"k").hexdigest()[:40]
+    rows = [
+        (1, f'api_key = "{key}" is here'), (2, f"commit {key} was fine"), (3, "card 4111111111111111 was paid"),
+        (4, "see /static/images/photo-20200101.png there"), (5, f"password: {key[:32]}"),
+    ]
+    found = {r["doc_id"] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1, 5}
+
+
+def test_redaction_of_defined_cases(spark):
+    key = hashlib.sha256(b"k").hexdigest()[:40]
+    rows = [*cases.TEXTS, (20, f'é😀 token = "{key}" and secret = "{key[:32]}" end', None), (None, f'token = "{key}"', None), (21, f'token = "{key}"', None), (21, f'token = "{key}"', None)]
+    clean = secret_scan.redact(cases.documents(spark, rows))
+    assert clean.columns == cases.SCHEMA.names
+    texts = sorted(map(repr, (r["text"] for r in clean.collect())))
+    want = [t for _, t, _ in cases.TEXTS] + ['é😀 token = "[SECRET]" and secret = "[SECRET]" end', *['token = "[SECRET]"'] * 3]
+    assert texts == sorted(map(repr, want))
+    assert secret_scan.scan(cases.empty(spark)).count() == 0

@@ -134,8 +134,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = Staged(near_duplicates(docs, id_col, text_col), "classes").frame
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1)
+    repeated = found.where("doc_id = component_id").groupBy("doc_id", "fp").count().where("count > 1").limit(1)
     if repeated.count():
-        named = kept.where(F.col(id_col).isNotNull())
-        kept = named.dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull()))
+        named = kept.where(F.col(id_col).isNotNull()).withColumn("__fp", fingerprint_column(F.col(text_col)))
+        kept = named.dropDuplicates([id_col, "__fp"]).drop("__fp").union(kept.where(F.col(id_col).isNull()))
     return kept

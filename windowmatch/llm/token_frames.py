@@ -190,11 +190,11 @@ def read(manifest: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     ``wanted``: a table of ids (one column); then only their frames are read. The wanted ids reach the
     files by their range of ids.
     """
-    files = manifest.select("path", "first")
+    files, some = manifest.select("path", "first"), wanted is not None
 
     def read_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            picks = batch.column(2).to_pylist() if wanted is not None else [None] * batch.num_rows
+            picks = batch.column(2).to_pylist() if some else [None] * batch.num_rows
             for path, first, pick in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), picks):
                 system, place = _open(path)
                 with system.open_input_file(place) as source:
