@@ -15,6 +15,7 @@ import oracle_statements
 from oracle_statements import N, SAMPLES, SEED
 from windowmatch.config import SearchColumns
 from windowmatch.functions import matrix
+from windowmatch.functions.times import parse_time
 from windowmatch.operators import range_join, scan, series, topk, upsert, windows
 from windowmatch.operators.layout import TILE, lay_out
 from windowmatch.plans import search, similarity, steps
@@ -201,7 +202,73 @@ def csv_ingest(spark, sf_dir):
     header = ["datetime", *bar_files.VENDOR_NAMES]
     raw = bar_files.read_bar_files(spark, path, header=header, name_column="file")
     loaded, _ = bar_files.parse_bars(raw)
-    return loaded
+    return loaded.drop(bar_files.SEQ)
+
+
+def csv_ingest_mixed(spark, sf_dir):
+    """Files with two orders of columns, under folders that hold equal file names."""
+    pre_close = F.when(F.col("volume") > 30, F.col("open"))
+    bars = _with_exchange(spark, sf_dir, bars_of(spark, sf_dir), pre_close)
+    names = bar_files.VENDOR_NAMES
+    text = bars.select(
+        F.concat("sid", F.lit("."), "exchangeCD", F.lit(".csv")).alias("file"),
+        F.date_format("datetime", "dd/MM/yyyy").alias("datetime"),
+        *(F.col(column).alias(vendor) for vendor, column in names.items()),
+    )
+    path = fresh_path(spark, "mixed")
+    for half, order in enumerate((["datetime", *names], [*reversed(names), "datetime"])):
+        some = text.where(F.crc32(F.col("datetime").cast("binary")) % 2 == half)
+        write = some.select("file", *order).repartition("file").write.partitionBy("file")
+        write.option("header", True).csv(f"{path}/{half}")
+    raw = bar_files.read_mixed_bar_files(spark, [f"{path}/0", f"{path}/1"])
+    folder = F.url_decode(F.regexp_extract("_seq.file_path", "/file=([^/]*)/", 1))
+    loaded, _ = bar_files.parse_bars(raw.withColumn("file_name", folder), time_format="%d/%m/%Y")
+    return loaded.drop(bar_files.SEQ)
+
+
+#: Formats of ``time_parse``: strptime, the pattern that writes it.
+TIME_FORMATS = (
+    ("%Y-%m-%d %H:%M:%S", "yyyy-MM-dd HH:mm:ss"),
+    ("%d/%m/%Y", "d/M/yyyy"),
+    ("%y%m%d", "yyMMdd"),
+    ("%m/%d/%Y %I:%M %p", "MM/dd/yyyy hh:mm a"),
+    ("%Y-%m-%d", "d-MMM-yyyy"),
+    ("%Y-%m-%d", "MMMM d, yyyy HH:mm"),
+    ("%Y-%m-%d", "yyyyMMdd HHmm"),
+    ("%Y-%m-%d", "yyyy.MM.dd"),
+)
+
+
+def time_parse(spark, sf_dir):
+    """Ship dates written in several forms and read again."""
+    rows = _table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("timestamp_ntz").alias("at")
+    )
+    forms = [
+        parse_time(F.date_format("at", pattern), strptime).alias(f"t{i}")
+        for i, (strptime, pattern) in enumerate(TIME_FORMATS)
+    ]
+    return rows.select("l_orderkey", "l_linenumber", *forms)
+
+
+def bars_import(spark, sf_dir):
+    """An upsert in which every key comes twice: the later row counts."""
+    table = fresh_table(spark, "imported")
+    tables.create_bars_table(spark, table)
+    base = _with_exchange(spark, sf_dir, bars_of(spark, sf_dir), F.col("open"))
+    first = base.withColumn("open", F.col("open") + 1000).withColumn("seq", F.lit(1))
+    tables.upsert_into(spark, table, first.unionByName(base.withColumn("seq", F.lit(2))), COLS, seq="seq")
+    return tables.read_bars(spark, table)
+
+
+def bars_bulk_load(spark, sf_dir):
+    """A headerless export of bars, loaded in the order of its columns."""
+    path, table = fresh_path(spark, "bars"), fresh_table(spark, "loaded")
+    base = _with_exchange(spark, sf_dir, bars_of(spark, sf_dir), F.col("open"))
+    base.select(*tables.BARS_FILE_ORDER).write.csv(path)
+    tables.create_bars_table(spark, table)
+    tables.load_bars(spark, path, table)
+    return tables.read_bars(spark, table)
 
 
 # Windows
@@ -371,6 +438,22 @@ def entry(spark: SparkSession) -> DataFrame:
     return pattern_search(spark, FLAGSHIP_DIR)
 
 
+def _llm_queries() -> dict[str, Query]:
+    """The queries of the subpackage; Python workers of a run from this checkout find its modules."""
+    root = os.path.dirname(os.path.abspath(__file__))
+
+    def found(query: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
+            if root not in paths:
+                spark.sparkContext.environment["PYTHONPATH"] = ":".join(filter(None, [root, *paths]))
+            return query(spark, sf_dir)
+
+        return run
+
+    return {name: found(query) for name, query in {**llm.queries(), "pipeline": corpus_pipeline.run}.items()}
+
+
 def queries() -> dict[str, Query]:
     return {
         "row_count": row_count,
@@ -387,6 +470,10 @@ def queries() -> dict[str, Query]:
         "bars_table": bars_table,
         "bulk_load": bulk_load,
         "csv_ingest": csv_ingest,
+        "csv_ingest_mixed": csv_ingest_mixed,
+        "time_parse": time_parse,
+        "bars_import": bars_import,
+        "bars_bulk_load": bars_bulk_load,
         "windows_all": windows_all,
         "windows_table": windows_table,
         "windows_limit": windows_limit,
@@ -410,7 +497,7 @@ def queries() -> dict[str, Query]:
         "similarity_all": similarity_all,
         "topk": top_hits,
         "pattern_search": pattern_search,
-        **({**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {}),
+        **(_llm_queries() if llm else {}),
     }
 
 

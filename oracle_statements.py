@@ -37,7 +37,7 @@ WINDOWS = f"""windows AS (
 SAMPLE = f"""sample AS (
   SELECT w.* FROM windows w JOIN (SELECT sid, count(*) AS len FROM bars GROUP BY sid) c USING (sid)
   ORDER BY -ln((('0x' || substr(md5(concat_ws('|', w.sid,
-             strftime(w.begintime, '%Y-%m-%d %H:%M:%S'), '{SEED}')), 1, 13))::BIGINT + 0.5)
+             epoch_us(w.begintime), '{SEED}')), 1, 13))::BIGINT + 0.5)
              / 4503599627370496.0) / (len / (len - {N - 1})), sid, begintime, endtime
   LIMIT {SAMPLES})"""
 
@@ -184,6 +184,16 @@ merged AS (
           SELECT b.sid::INTEGER AS sid, n_name AS "exchangeCD", datetime, open, high, low, close,
                  CASE WHEN volume > 30 THEN open END AS pre_close, volume
           FROM bars b JOIN supplier ON s_suppkey = b.sid JOIN nation ON n_nationkey = s_nationkey""",
+        "csv_ingest_mixed": _with(BARS) + """
+          SELECT b.sid::INTEGER AS sid, n_name AS "exchangeCD", datetime, open, high, low, close,
+                 CASE WHEN volume > 30 THEN open END AS pre_close, volume
+          FROM bars b JOIN supplier ON s_suppkey = b.sid JOIN nation ON n_nationkey = s_nationkey""",
+        "time_parse": "SELECT l_orderkey, l_linenumber, "
+        + ", ".join(f"l_shipdate::TIMESTAMP AS t{i}" for i in range(8)) + " FROM lineitem",
+        **dict.fromkeys(("bars_import", "bars_bulk_load"), _with(BARS) + """
+          SELECT b.sid::INTEGER AS sid, n_name AS "exchangeCD", datetime, open, high, low, close,
+                 open AS pre_close, volume
+          FROM bars b JOIN supplier ON s_suppkey = b.sid JOIN nation ON n_nationkey = s_nationkey"""),
         "windows_all": _with(BARS, WINDOWS) + "SELECT sid, begintime, endtime, period FROM windows",
         "windows_table": _with(BARS, WINDOWS) + "SELECT sid, begintime, endtime, period FROM windows",
         "windows_limit": _with(BARS, WINDOWS) + """

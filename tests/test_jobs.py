@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import fixtures as fx
 import pytest
 
@@ -42,9 +46,33 @@ def test_import_draw_and_search(spark, tmp_path, bar_dir, capsys):
             ((fx.correlation(x(w), x(drawn[0])), w) for w in drawn[1:]), reverse=True
         )[:4]
         assert len(lines) == 4
-        for line, (score, window) in zip(lines, scored):
-            found, place = line.split("\tsample: ")
-            assert float(found.removeprefix("similarity: ")) == pytest.approx(score)
-            assert place == f"[{window[0]},{window[1]},{window[2]}]"
+        for rank, (line, (score, window)) in enumerate(zip(lines, scored), 1):
+            place = f"security {window[0]}, {window[1]} to {window[2]}"
+            assert line == f"{rank}. {score:.6f}, {place}"
     finally:
         spark.sql("DROP DATABASE jobs_test CASCADE")
+
+
+def test_commands_of_three_processes(tmp_path, bar_dir):
+    path, _ = bar_dir
+    bars, windows = tmp_path / "bars", tmp_path / "windows"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    conf = f"spark.checkpoint.dir=file://{tmp_path}/shared"
+    env = os.environ | {
+        "PYSPARK_SUBMIT_ARGS": f"--master local[2] --conf {conf} --conf spark.ui.enabled=false pyspark-shell"
+    }
+
+    def run(*args):
+        command = [sys.executable, "-m", "windowmatch", *map(str, args)]
+        done = subprocess.run(command, cwd=root, env=env, capture_output=True, text=True, timeout=300)
+        assert done.returncode == 0, [x for x in done.stderr.splitlines() if "rror" in x or "xception" in x][:5]
+        return done.stdout.strip().splitlines()
+
+    files = ["--data-path", path, "--delimiter", ";", "--dt-format", "%Y%m%d %H:%M"]
+    run("import", *files, "--table", bars)
+    stored = sorted(str(p) for p in bars.rglob("*.parquet"))
+    run("import", *files, "--table", bars)
+    assert sorted(str(p) for p in bars.rglob("*.parquet")) == stored
+    run("draw", "--table", bars, "--n", 6, "--m", 30, "--out", windows)
+    assert len(run("search", "--table", bars, "--windows", windows, "--k", 4)) == 4
+    assert not list((tmp_path / "shared").rglob("*.parquet"))

@@ -97,3 +97,24 @@ def test_properties_of_the_score(x, y, order, factor):
     assert score == pytest.approx(correlate(np.array(x) * factor, y), abs=1e-7)
     moved = correlate([x[i] for i in order], [y[i] for i in order])
     assert score == pytest.approx(moved, abs=1e-7)
+
+
+def test_long_patterns(spark):
+    x = np.array(matrices(3, 100))
+    centred, block = kernel._checked(x[0].tolist(), 4, "mean", 2)
+    got = kernel._blocks(x, centred, block, "mean", 2).to_pylist()
+    for one, score in zip(x.tolist(), got):
+        assert score == pytest.approx(fx.correlation(one, x[0].tolist()), abs=1e-9)
+    long = matrices(1, 1500)[0]
+    centred, block = kernel._checked(long, 4, "mean", 1)
+    assert block == 1
+    assert kernel._blocks(np.array([long]), centred, block, "mean", 1).to_pylist() == [pytest.approx(1)]
+
+
+def test_plan_of_the_steps_does_not_grow_with_the_pattern(spark):
+    sizes = []
+    for n in (4, 40):
+        x = matrices(2, n)
+        plan = correlation_steps(filled(spark, x), x[0], COLS)._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append(len(plan))
+    assert sizes[1] < 1.2 * sizes[0]

@@ -1,16 +1,21 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from windowmatch.config import SearchColumns
-from windowmatch.functions.times import spark_pattern
+from windowmatch.functions.times import parse_time, strptime_regex
 from windowmatch.operators import scan
 from windowmatch.operators.upsert import concat, upsert
+from windowmatch.plans import jobs
 from windowmatch.sources import bar_files, lines, tables
 
 COLS = SearchColumns()
 
 
+# The golden lines and counts of the next two tests.
+
+
 def test_lines_in_order(spark, tmp_path):
     path = tmp_path / "test.txt"
     path.write_text("this is a test\nmore test\none more line\n")
@@ -136,6 +141,7 @@ def bar_dir(tmp_path):
 
 def test_ingest(spark, bar_dir):
     bars, rejects = bar_files.ingest(spark, bar_dir)
+    bars = bars.drop(bar_files.SEQ)
     assert bars.schema == bar_files.BARS_SCHEMA
     got = sorted(map(tuple, bars.collect()))
     assert got == [
@@ -184,17 +190,114 @@ def test_a_file_with_another_header_is_refused(spark, tmp_path):
 def test_mixed_ingest_equals_plain_ingest(spark, bar_dir):
     plain, rejected = bar_files.ingest(spark, bar_dir)
     mixed, also_rejected = bar_files.ingest(spark, bar_dir, mixed=True)
-    assert sorted(mixed.collect(), key=repr) == sorted(plain.collect(), key=repr)
+    columns = bar_files.BARS_SCHEMA.fieldNames()
+    assert sorted(mixed.select(columns).collect(), key=repr) == sorted(plain.select(columns).collect(), key=repr)
     assert also_rejected.count() == rejected.count() == 3
-    with pytest.raises(ValueError):
-        bar_files.ingest(spark, bar_dir, mixed=True, time_column="day")
 
 
-def test_time_patterns():
-    assert spark_pattern("%Y-%m-%d %H:%M:%S") == "yyyy-MM-dd HH:mm:ss"
-    assert spark_pattern("%Y-%m-%dT%H:%M:%S.%f") == "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+def test_mixed_files_of_one_name_and_without_a_time(spark, tmp_path):
+    for folder, header in (("a", "datetime,OPEN,HIGH,LOW,CLOSE"), ("b", "CLOSE,LOW,HIGH,OPEN,datetime")):
+        (tmp_path / folder).mkdir()
+        cells = ["2020-01-02 00:00:00", "1", "4", "0", "2"]
+        line = ",".join(cells if folder == "a" else cells[::-1])
+        (tmp_path / folder / "7.X.csv").write_text(f"{header}\n{line}\n")
+    (tmp_path / "a" / "8.X.csv").write_text("day,OPEN\n2020-01-02,1\ndatetime,3\n")
+    for i in range(150):
+        (tmp_path / "b" / f"{100 + i}.Y.csv").write_text(f"OPEN,extra{i},datetime\n{i},x,2020-01-03 00:00:00\n")
+    bars, rejects = bar_files.ingest(spark, [str(tmp_path / "a"), str(tmp_path / "b")], mixed=True)
+    got = [(r["sid"], r["open"], r["high"], r["low"], r["close"]) for r in bars.collect()]
+    assert sorted(got[:0] + [g for g in got if g[0] == 7]) == [(7, 1.0, 4.0, 0.0, 2.0)] * 2
+    assert sorted((g[0], g[1]) for g in got if g[0] != 7) == [(100 + i, float(i)) for i in range(150)]
+    assert [(r["file_name"], r["problem"]) for r in rejects.collect()] == [("8.X.csv", "time")] * 2
+
+
+def test_the_last_row_of_a_key_counts(spark, tmp_path, namespace):
+    (tmp_path / "7.X.csv").write_text(HEADER + "2020-01-02 00:00:00,1,9,9,9,9,6,7\n2020-01-02 00:00:00,1,1,1,1,1,6,7\n")
+    jobs.import_bars(spark, str(tmp_path), "bars")
+    assert [r["open"] for r in tables.read_bars(spark, "bars").collect()] == [1.0]
+
+
+def test_unchanged_months_keep_their_files(spark, namespace):
+    day = dt.datetime
+    rows = [bar(1, day(2020, 1, 2), 1.0), bar(1, day(2020, 2, 3), 2.0), bar(2, day(2020, 2, 3), 3.0)]
+    tables.create_bars_table(spark, "bars")
+    before = None
+    for _ in range(2):
+        tables.upsert_into(spark, "bars", spark.createDataFrame(rows, bar_files.BARS_SCHEMA))
+        files = sorted(spark.table("bars").inputFiles())
+        assert before in (None, files)
+        before = files
+    changed = [bar(1, day(2020, 2, 3), 5.0), bar(3, day(2020, 1, 2), 6.0), bar(1, day(2020, 1, 2), 1.0)]
+    tables.upsert_into(spark, "bars", spark.createDataFrame(changed, bar_files.BARS_SCHEMA))
+    after = set(spark.table("bars").inputFiles())
+    assert {f for f in before if "bar_month=202001" in f} <= after
+    assert not {f for f in before if "bar_month=202002" in f} & after
+    got = sorted((r["sid"], r["datetime"].month, r["open"]) for r in tables.read_bars(spark, "bars").collect())
+    assert got == [(1, 1, 1.0), (1, 2, 5.0), (2, 2, 3.0), (3, 1, 6.0)]
+
+
+def test_bulk_load_rejects_what_does_not_fit(spark, tmp_path, namespace):
+    path = tmp_path / "bars.csv"
+    path.write_text("x,2020-01-02 00:00:00,X,4,2,3,1,0.5,\n7,,X,4,2,3,1,0.5,\n7,2020-01-02 00:00:00,X,4,2,3,oops,1,1\n"
+                    "7,2020-01-02 00:00:00,X,4,2,3,8,1,1\n7,2020-01-02 00:00:00,X,4,2,3,1,0.5,\n")
+    tables.create_bars_table(spark, "bars")
+    rejects = tables.load_bars(spark, str(path), "bars")
+    assert sorted(r["problem"] for r in rejects.collect()) == ["datetime", "open", "sid"]
+    assert [(r["sid"], r["open"]) for r in tables.read_bars(spark, "bars").collect()] == [(7, 1.0)]
+
+
+def test_only_the_months_of_a_range_are_read(spark, namespace):
+    tables.create_bars_table(spark, "bars")
+    rows = [bar(1, dt.datetime(2020, m, 2), float(m)) for m in range(1, 7)]
+    tables.upsert_into(spark, "bars", spark.createDataFrame(rows, bar_files.BARS_SCHEMA))
+    some = tables.read_bars(spark, "bars", dt.datetime(2020, 2, 1), dt.datetime(2020, 3, 31))
+    assert sorted(r["open"] for r in some.collect()) == [2.0, 3.0]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bar_month" in plan
+
+
+TIMES = [
+    # the format, the text, what it is
+    ("%d/%m/%Y", "5/3/2020", (2020, 3, 5)),
+    ("%d/%m/%Y", "15/3/2020", (2020, 3, 15)),
+    ("%m/%d/%Y", "15/3/2020", None),
+    ("%y%m%d", "990315", (1999, 3, 15)),
+    ("%y%m%d", "200315", (2020, 3, 15)),
+    ("%Y-%m-%d %H:%M:%S", "2020-03-08 02:30:00", (2020, 3, 8, 2, 30)),
+    ("%Y-%m-%d %H:%M:%S", "2020-1-5 1:2:3", (2020, 1, 5, 1, 2, 3)),
+    ("%Y-%m-%d %H:%M:%S", "2020-01-05T10:00:00Z", (2020, 1, 5, 10)),
+    ("%Y-%m-%d %H:%M:%S", "2020-01-05 10:00:00+08:00", (2020, 1, 5, 2)),
+    ("%Y-%m-%d %H:%M:%S", "5-Jan-2020", (2020, 1, 5)),
+    ("%Y-%m-%d %H:%M:%S", "January 5, 2020", (2020, 1, 5)),
+    ("%Y-%m-%d %H:%M:%S", "Jan 5, 2020 10:00", (2020, 1, 5, 10)),
+    ("%Y-%m-%d %H:%M:%S", "20200105 10:00", (2020, 1, 5, 10)),
+    ("%Y-%m-%d %H:%M:%S", "2020.01.05", (2020, 1, 5)),
+    ("%Y-%m-%d %H:%M:%S", "1/5/2020 12:04 AM", (2020, 1, 5, 0, 4)),
+    ("%Y-%m-%d %H:%M:%S", "2020-01-05 10:00:00.25", (2020, 1, 5, 10, 0, 0, 250_000)),
+    ("%Y-%m-%d %H:%M:%S.%f", "2020-01-05 10:00:00.000007", (2020, 1, 5, 10, 0, 0, 7)),
+    ("%b %d %Y %I:%M %p", "mar 5 2020 12:30 pm", (2020, 3, 5, 12, 30)),
+    ("%Y%j", "2020366", (2020, 12, 31)),
+    ("%Y-%m-%dT%H:%M:%S%z", "2020-01-05T10:00:00-0530", (2020, 1, 5, 15, 30)),
+    ("%Y-%m-%d", "2020-02-30", None),
+    ("%Y-%m-%d", "rubbish", None),
+    ("%Y-%m-%d", "", None),
+    ("%Y-%m-%d", None, None),
+]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_times(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for form in {f for f, _, _ in TIMES}:
+            texts = [(t,) for f, t, _ in TIMES if f == form]
+            got = spark.createDataFrame(texts, "t string").select(parse_time(F.col("t"), form)).collect()
+            want = [w and dt.datetime(*w) for f, _, w in TIMES if f == form]
+            assert [r[0] for r in got] == want, form
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     with pytest.raises(ValueError):
-        spark_pattern("%Q")
+        strptime_regex("%Q")
 
 
 def test_relational_operators(spark):
@@ -211,8 +314,8 @@ def test_relational_operators(spark):
 def test_config():
     cols = COLS.with_match("close").with_table("bars", "market")
     assert cols.match == ("close",) and cols.qualified_table == "market.bars"
-    assert cols.describe() == "table: market:bars\ndateColumn: datetime\nsidColumn: sid\nmatchColumns: close"
-    assert "[not specified]:[not specified]" in COLS.describe()
+    assert cols.describe() == "market.bars: windows of close by sid over datetime"
+    assert COLS.describe().startswith("no table: windows of open, high, low, close")
     with pytest.raises(ValueError):
         COLS.with_match()
     with pytest.raises(ValueError):

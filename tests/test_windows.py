@@ -1,8 +1,11 @@
+import datetime as dt
 import hashlib
 import math
+from collections import Counter
 
 import fixtures as fx
 import pytest
+from pyspark.sql import functions as F
 
 from windowmatch.config import SearchColumns
 from windowmatch.operators import series, windows
@@ -93,7 +96,8 @@ def test_positions_and_index(spark, bars, rows):
 
 def draw_key(window, seed, n, counts):
     sid, begin, _ = window
-    text = f"{sid}|{begin:%Y-%m-%d %H:%M:%S}|{seed}"
+    micros = (begin - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+    text = f"{sid}|{micros}|{seed}"
     u = (int(hashlib.md5(text.encode()).hexdigest()[:13], 16) + 0.5) / 2**52
     return -math.log(u) / (counts[sid] / (counts[sid] - n + 1))
 
@@ -115,6 +119,43 @@ def test_draw_more_than_there_are(bars, rows):
     assert keys(windows.draw_windows(bars, COLS, 200, 10_000)) == everything
 
 
+def test_draw_spreads_over_the_parts_of_a_second(spark):
+    start = dt.datetime(2020, 1, 1)
+    rows = [(1, start + dt.timedelta(milliseconds=i), 1.0, 1.0, 1.0, 1.0) for i in range(20_000)]
+    schema = "sid bigint, datetime timestamp_ntz, open double, high double, low double, close double"
+    drawn = windows.draw_windows(lay_out(spark.createDataFrame(rows, schema), COLS), COLS, 5, 500)
+    found = drawn.collect()
+    assert len({r["begintime"] for r in found}) == 500
+    seconds = Counter(r["begintime"].second for r in found)
+    assert len(seconds) == 20 and max(seconds.values()) < 60
+
+
+def test_a_large_draw_is_several_tasks(spark):
+    rows = spark.range(300_000).selectExpr(
+        "id % 5 AS sid", "timestamp_ntz'2020-01-01' + make_dt_interval(0, 0, id) AS datetime",
+        "1D AS open", "1D AS high", "1D AS low", "1D AS close",
+    )
+    drawn = windows.draw_windows(lay_out(rows, COLS), COLS, 3, 100_000)
+    assert drawn.count() == drawn.select(*COLS.window_key).distinct().count() == 100_000
+    sizes = [r["count"] for r in drawn.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 60_000
+
+
+def test_border_runs_of_one_security_are_many_groups(spark):
+    rows = spark.range(4_000).selectExpr(
+        "1L AS sid", "timestamp_ntz'2020-01-01' + make_dt_interval(0, 0, id) AS datetime",
+        "double(id) AS open", "1D AS high", "1D AS low", "1D AS close",
+    )
+    tiled = lay_out(rows, COLS, tiles=200)
+    for n in (3, 50):  # shorter and longer than a tile
+        found = windows.all_windows(tiled, COLS, n)
+        assert found.count() == found.distinct().count() == 4_000 - n + 1
+        ends = found.selectExpr("timestampdiff(MINUTE, begintime, endtime) AS s").distinct().collect()
+        assert [r["s"] for r in ends] == [n - 1]
+    plan = series.border_runs(tiled, COLS, 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_stretch" in plan
+
+
 def test_a_security_is_drawn_as_often_as_it_has_bars():
     """Security 1: 5 bars, one window of 5; security 2: 9 bars, five windows."""
     counts = {1: 5, 2: 9}

@@ -1,4 +1,8 @@
-"""Command line: ``import``, ``draw`` and ``search``."""
+"""Command line: ``import``, ``draw`` and ``search``.
+
+Tables are named by the folder they are in (anything with a slash), which works from one process to the
+next, or by their name in a catalog that outlives the session.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,10 @@ import argparse
 from pyspark.sql import SparkSession
 
 from windowmatch.config import SearchColumns
+from windowmatch.operators.upsert import latest
 from windowmatch.plans import jobs
 from windowmatch.sources import bar_files, tables
+from windowmatch.staging import release
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -32,7 +38,8 @@ def _parser() -> argparse.ArgumentParser:
     draw.add_argument("--n", type=int, default=10, help="bars per window")
     draw.add_argument("--m", type=int, default=100, help="number of windows")
     draw.add_argument("--seed", type=int, default=0)
-    draw.add_argument("--namespace")
+    draw.add_argument("--namespace", help="where the table windows<n> is replaced")
+    draw.add_argument("--out", help="folder for the windows, instead of a table")
 
     search = commands.add_parser("search", help="print the windows most similar to the first")
     search.add_argument("--table", required=True)
@@ -42,11 +49,23 @@ def _parser() -> argparse.ArgumentParser:
     return parser
 
 
+def _bars(spark: SparkSession, table: str) -> str:
+    return tables.bars_folder(spark, table) if "/" in table else table
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = _parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("windowmatch").getOrCreate()
+    try:
+        _run(args, spark)
+    finally:
+        release(spark)
+
+
+def _run(args: argparse.Namespace, spark: SparkSession) -> None:
     if args.command == "search":
-        hits = jobs.search_tables(spark, args.table, args.windows, args.k, args.limit)
+        found = spark.read.parquet(args.windows) if "/" in args.windows else spark.table(args.windows)
+        hits = jobs.search_tables(spark, _bars(spark, args.table), found, args.k, args.limit)
         print("\n".join(jobs.report(hits)))
         return
     options = {
@@ -56,14 +75,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         "mixed": args.mixed,
     }
     if args.command == "import":
-        jobs.import_bars(spark, args.data_path, args.table, **options)
+        jobs.import_bars(spark, args.data_path, _bars(spark, args.table), **options)
         return
     if args.table:
-        bars = tables.read_bars(spark, args.table)
+        bars = tables.read_bars(spark, _bars(spark, args.table))
     else:
         bars, _ = bar_files.ingest(spark, args.data_path, strict=True, **options)
+        bars = latest(bars, tables.BARS_KEY, bar_files.SEQ)
     cols = SearchColumns(namespace=args.namespace)
-    print(jobs.make_windows(bars, args.n, args.m, args.seed, cols))
+    print(jobs.make_windows(bars, args.n, args.m, args.seed, cols, args.out))
 
 
 if __name__ == "__main__":

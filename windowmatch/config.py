@@ -49,11 +49,6 @@ class SearchColumns:
         return [self.sid, *self.time_order(bars)]
 
     def describe(self) -> str:
-        return "\n".join(
-            (
-                f"table: {self.namespace or '[not specified]'}:{self.table or '[not specified]'}",
-                f"dateColumn: {self.time}",
-                f"sidColumn: {self.sid}",
-                f"matchColumns: {','.join(self.match)}",
-            )
-        )
+        """The settings in one line."""
+        place = self.qualified_table if self.table else "no table"
+        return f"{place}: windows of {', '.join(self.match)} by {self.sid} over {self.time}"

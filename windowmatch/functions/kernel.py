@@ -1,8 +1,8 @@
 """Scoring of windows against one pattern on Arrow batches.
 
-The whole batch is one block of numpy arrays with the windows on the last axis, so
-the Python work per batch is a fixed number of vector operations, whatever the
-number of windows in it.
+A batch is cut into blocks of numpy arrays with the windows on the last axis: the Python work per
+block is a vector operation for every bar of a window, whatever the number of windows in it. Blocks
+are cut by the bytes of their arrays; a window too long for that is a block of its own.
 """
 
 from __future__ import annotations
@@ -25,15 +25,19 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NORMALIZATIONS = ("mean", "none")
 
+# Bytes of the distance matrices of a block, which keep the working arrays in the processor cache.
+BLOCK_BYTES = 800_000
+
 
 def _distances(a: np.ndarray) -> np.ndarray:
     """(bars, columns, windows) -> (bars, bars, windows)."""
     n, _, windows = a.shape
     out = np.zeros((n, n, windows))
-    for i in range(n):
-        for j in range(i + 1, n):
-            gap = a[i] - a[j]
-            out[i, j] = out[j, i] = np.sqrt(np.einsum("cw,cw->w", gap, gap))
+    for i in range(n - 1):
+        gaps = a[i + 1 :] - a[i]
+        far = np.sqrt(np.einsum("jcw,jcw->jw", gaps, gaps))
+        out[i, i + 1 :] = far
+        out[i + 1 :, i] = far
     return out
 
 
@@ -68,8 +72,7 @@ def _checked(pattern: Sequence[Sequence[float]], width: int, normalize: str, pas
         raise ValueError("the pattern needs one row per bar and one value per match column")
     with np.errstate(all="ignore"):
         centred = centred_distances(matrix[None], normalize, passes)[..., 0]
-    # This many windows keep the working arrays in the processor cache.
-    return centred, max(1, 100_000 // len(matrix) ** 2)
+    return centred, max(1, BLOCK_BYTES // (8 * len(matrix) ** 2))
 
 
 def _columns(cells: dict[str, pa.Array], names: Sequence[str]) -> np.ndarray:

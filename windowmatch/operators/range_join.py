@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from windowmatch.config import SearchColumns
 from windowmatch.functions.times import micros
+from windowmatch.staging import stage
 
 # Spans are counted in classes, each this many times wider than the one before.
 SPAN_STEP = 4
@@ -23,8 +24,6 @@ SPAN_STEP = 4
 MAX_CELLS = 10_000
 # A class of spans with a smaller share of the windows uses the cells of a wider one.
 COMMON_SHARE = 0.1
-# Windows are a few 8-byte values each, so this many are at most some 40 MB to broadcast.
-BROADCAST_WINDOWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -120,9 +119,8 @@ def matched_bars(
     """One row per (window, bar inside it); windows without bars have no row.
 
     Spark picks the join from the sizes of the two sides, and splits a cell that is
-    still too large when it runs. ``grouped`` is the plan that leaves the bars where
-    they are: it drops the bars of other securities, then sends the windows to the
-    bars, if a count shows that they are few enough.
+    still too large when it runs. ``grouped`` is the plan for windows of few securities: it drops the
+    bars of all others before they are shuffled.
     """
     order = cols.time_order(bars)
     bars = bars.select(*dict.fromkeys((cols.sid, *order, *cols.match)))
@@ -131,10 +129,8 @@ def matched_bars(
     if not cells.widths:
         return windows.join(bars, cols.sid).where("false")
     left = _window_cells(windows, cols, cells)
-    if grouped and _at_most(windows, BROADCAST_WINDOWS):
-        sids = windows.select(cols.sid).distinct()
-        bars = bars.join(F.broadcast(sids), cols.sid, "left_semi")
-        left = F.broadcast(left)
+    if grouped:
+        bars = bars.join(windows.select(cols.sid).distinct(), cols.sid, "left_semi")
     right = _bar_cells(bars, cols, cells)
     return (
         right.join(left, [cols.sid, "_width", "_cell"])
@@ -143,20 +139,17 @@ def matched_bars(
     )
 
 
-def _at_most(windows: DataFrame, limit: int) -> bool:
-    return windows.limit(limit + 1).count() <= limit
-
-
 def window_bars(
     bars: DataFrame, windows: DataFrame, cols: SearchColumns, grouped: bool = False
 ) -> DataFrame:
     """All windows with the bars they cover; a window without bars stays, with NULL bars.
 
-    The matches are not joined to the windows again: a window may cover any number of
-    bars, and those stay in the tasks that found them.
+    The matches are found once and staged, with the bars in the tasks that found them: a window may
+    cover any number of bars. Only the keys of the matches are looked at again, for the windows
+    without any.
     """
     windows = windows.select(*(c for c in (*cols.window_key, cols.period) if c in windows.columns))
-    found = matched_bars(bars, windows, cols, grouped)
+    found = stage(matched_bars(bars, windows, cols, grouped), "matches")
     keys = found.select(*cols.window_key).distinct()
     empty = windows.join(keys, [*cols.window_key], "left_anti")
     return found.unionByName(empty.select(*windows.columns), allowMissingColumns=True)

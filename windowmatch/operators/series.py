@@ -50,23 +50,29 @@ def border_runs(
 ) -> DataFrame:
     """The runs of ``n`` bars that begin in one tile and end in a later one.
 
-    Only securities that span tiles are read again, and of those only the ``n - 1``
-    bars on either side of a border are brought together.
+    Only the ``n - 1`` bars on either side of a border are brought together, in stretches of at most
+    ``2 (n - 1)`` places of a security: every border bar goes to the stretch it lies in, and to the one
+    before, whose runs may reach it. So a security that spans very many tiles is many groups.
     """
     order = cols.time_order(bars)
     in_tile = Window.partitionBy(cols.sid, TILE).orderBy(*order)
-    across = Window.partitionBy(cols.sid).orderBy(TILE, *order)
+    across = Window.partitionBy(cols.sid, "_stretch").orderBy("_pos")
     # Runs of one bar end where they begin: no bar is a tail then.
     is_tail = F.lead(cols.time, n - 1).over(in_tile).isNull() if n > 1 else F.lit(False)
+    spanning = with_edges(bars.join(split_sids(bars, cols), cols.sid, "left_semi"), cols)
     border = (
-        with_edges(bars.join(F.broadcast(split_sids(bars, cols)), cols.sid, "left_semi"), cols)
-        .select("*", is_tail.alias("_is_tail"), F.row_number().over(in_tile).alias("_from_start"))
+        spanning.select("*", is_tail.alias("_is_tail"), F.row_number().over(in_tile).alias("_from_start"))
         .where(F.col("_is_tail") | (F.col("_from_start") < n))
+        .join(split_counts(bars, cols).select(cols.sid, TILE, "_n_before"), [cols.sid, TILE])
+        .withColumn("_pos", F.col("_n_before") + F.col("_from_start") - 1)
     )
+    own = F.floor(F.col("_pos") / max(n - 1, 1))
+    dealt = border.withColumn("_own", own).withColumn("_stretch", F.explode(F.array(own, own - 1)))
+    starts_here = F.col("_is_tail") & F.col(FIRST) & (F.col("_own") == F.col("_stretch"))
     return (
-        border.select(*_start(cols), "_is_tail", FIRST, *_run_columns(cols, n, across, extra))
-        .where(F.col("_is_tail") & F.col(FIRST) & F.col(cols.end).isNotNull())
-        .drop("_is_tail", FIRST)
+        dealt.select(*_start(cols), starts_here.alias("_starts"), *_run_columns(cols, n, across, extra))
+        .where(F.col("_starts") & F.col(cols.end).isNotNull())
+        .drop("_starts")
     )
 
 
@@ -75,8 +81,8 @@ def runs(
 ) -> DataFrame:
     """One row per run of ``n`` consecutive bars of a security: all its windows.
 
-    Where several exchanges have a bar at one time, one run starts there. Gives the window key, ``period``, the tile of the first bar, and the ``extra``
-    columns, each a function of a window specification whose rows are the bars of one
+    Where several exchanges have a bar at one time, one run starts there. Gives the window
+    key, ``period``, the tile of the first bar, and the ``extra`` columns, each a function of a window specification whose rows are the bars of one
     security from the current bar on.
     """
     if n < 1:
@@ -115,12 +121,12 @@ def run_bars(cols: SearchColumns, n: int) -> Over:
 def split_counts(bars: DataFrame, cols: SearchColumns) -> DataFrame:
     """For the securities that span tiles: bars in all, and bars before each tile.
 
-    At most two rows per tile, so the result can be broadcast.
+    At most two rows per tile.
     """
     per_sid = Window.partitionBy(cols.sid)
     before = per_sid.orderBy(TILE).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        bars.join(F.broadcast(split_sids(bars, cols)), cols.sid, "left_semi")
+        bars.join(split_sids(bars, cols), cols.sid, "left_semi")
         .groupBy(cols.sid, TILE)
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(
@@ -137,7 +143,7 @@ def positions(bars: DataFrame, cols: SearchColumns) -> DataFrame:
     numbered = places(bars, cols, "_place")
     before = split_counts(bars, cols).select(cols.sid, TILE, "_n_before")
     return (
-        numbered.join(F.broadcast(before), [cols.sid, TILE], "left")
+        numbered.join(before, [cols.sid, TILE], "left")
         .withColumn("pos", F.coalesce(F.col("_n_before"), F.lit(0)) + F.col("_place") - 1)
         .drop("_place", "_n_before")
     )
@@ -149,7 +155,7 @@ def starts(bars: DataFrame, cols: SearchColumns, n: int) -> DataFrame:
     in_tile = {"_n_tile": lambda over: alone.over(Window.partitionBy(cols.sid, TILE))}
     return (
         runs(bars, cols, n, in_tile)
-        .join(F.broadcast(split_counts(bars, cols)), [cols.sid, TILE], "left")
+        .join(split_counts(bars, cols), [cols.sid, TILE], "left")
         .withColumn("n_bars", F.coalesce(F.col("_n_sid"), F.col("_n_tile")))
         .drop("_n_tile", "_n_before", "_n_sid")
     )
@@ -167,7 +173,7 @@ def with_index(rows: DataFrame, cols: SearchColumns, name: str = "sample_id") ->
     starts = counts.select(TILE, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_start"))
     return (
         rows.withColumn("_place", F.row_number().over(in_tile) - 1)
-        .join(F.broadcast(starts), TILE)
+        .join(starts, TILE)
         .withColumn(name, (F.col("_start") + F.col("_place")).cast("long"))
         .drop("_place", "_start")
     )

@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windowmatch.config import SearchColumns
+from windowmatch.functions.times import micros
 from windowmatch.operators.series import runs, starts
 from windowmatch.staging import stage
 
 # Fixed value: 13 hex digits of a hash are a whole number below 2^52.
 HASH_DIGITS = 13
 
+# Classes of the draws; at most so many counts come to the driver.
+DRAW_CLASSES = 10_000
+
 # Standard deviations that the cutoff of a draw lies above the number of windows wanted.
 CUTOFF_SIGMAS = 8
 
@@ -23,12 +27,12 @@ def all_windows(bars: DataFrame, cols: SearchColumns, n: int) -> DataFrame:
     return runs(bars, cols, n).select(*cols.window_key, cols.period)
 
 
-def hash_uniform(cols: SearchColumns, seed: int) -> Column:
+def hash_uniform(rows: DataFrame, cols: SearchColumns, seed: int) -> Column:
     """A number in (0, 1) that depends on the window start and the seed only."""
     text = F.concat_ws(
         "|",
         F.col(cols.sid).cast("string"),
-        F.date_format(cols.begin, "yyyy-MM-dd HH:mm:ss"),
+        micros(rows, cols.begin).cast("string"),
         F.lit(str(seed)),
     )
     whole = F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_DIGITS), 16, 10).cast("long")
@@ -45,24 +49,34 @@ def draw_windows(
     weight ``bars / (bars - n + 1)`` per window, which equals taking the m smallest
     ``-ln(u) / weight`` (Efraimidis and Spirakis 2006).
 
-    Only draws below a cutoff that a few more than m are expected to pass go into the
-    final top-m, so one task never gets m rows from every other one. Should fewer than
-    m pass, all of them take part.
+    Draws below a cutoff that a few more than m are expected to pass are written once; should fewer
+    pass, all of them are. A histogram of them shows in which of ``DRAW_CLASSES`` classes the m-th lies:
+    those below it are taken where they are, and only the class itself is put in order.
     """
+    found = starts(bars, cols, n)
     weight = F.col("n_bars") / (F.col("n_bars") - (n - 1))
-    keyed = starts(bars, cols, n).select(
-        *cols.window_key, cols.period, (-F.ln(hash_uniform(cols, seed)) / weight).alias("_draw")
+    keyed = found.select(
+        *cols.window_key, cols.period, (-F.ln(hash_uniform(found, cols, seed)) / weight).alias("_draw")
     )
     lengths = bars.groupBy(cols.sid).agg(F.count(F.lit(1)).alias("n"))
     free = F.greatest(F.col("n") - (n - 1), F.lit(0))
     available = lengths.agg(F.coalesce(F.sum(free), F.lit(0))).first()[0]
     share = (m + CUTOFF_SIGMAS * math.sqrt(m)) / max(available, 1)
-    if share < 1:
-        # Weights are at least 1, so a draw passes at least as often as -ln(u) does.
-        passed = stage(keyed.where(F.col("_draw") <= -math.log1p(-share)), "draws")
-        if passed.count() >= m:
-            keyed = passed
-    return keyed.orderBy("_draw", *cols.window_key).limit(m).drop("_draw")
+    # Weights are at least 1, so a draw passes at least as often as -ln(u) does.
+    passed = stage(keyed.where(F.col("_draw") <= -math.log1p(-share)) if share < 1 else keyed, "draws")
+    if share < 1 and passed.count() < m:
+        passed = stage(keyed, "draws")
+    top = passed.agg(F.max("_draw")).first()[0]
+    if top is None or passed.count() <= m:
+        return passed.drop("_draw")
+    place = F.floor(F.col("_draw") / F.lit(top) * DRAW_CLASSES)
+    below, cut = 0, 0
+    for cut, count in passed.groupBy(place.alias("c")).count().orderBy("c").collect():
+        if below + count >= m:
+            break
+        below += count
+    last = passed.where(place == cut).orderBy("_draw", *cols.window_key).limit(m - below)
+    return passed.where(place < cut).unionByName(last).drop("_draw")
 
 
 def first_window(windows: DataFrame, cols: SearchColumns) -> DataFrame:

@@ -13,26 +13,20 @@ from windowmatch.operators.topk import top_k
 from windowmatch.operators.windows import first_window
 from windowmatch.plans.similarity import similarity, similarity_of_all
 
-# A pattern is a handful of bars that go to every task; a longer one is a mistake.
-MAX_PATTERN_BARS = 1000
-
 
 def pattern_matrix(
     bars: DataFrame, cols: SearchColumns, sid: int, begin, end
 ) -> list[list[float]]:
-    """The prices of one window, a row per bar in time order."""
+    """The prices of one window, a row per bar in time order. The one window goes to every task."""
     order = cols.time_order(bars)
     rows = (
         by_time(by_sid(bars, cols, sid), cols, begin, end)
         .select(*dict.fromkeys((*order, *cols.match)))
         .orderBy(*order)
-        .limit(MAX_PATTERN_BARS + 1)
         .collect()
     )
     if not rows:
         raise ValueError("the pattern window has no bars")
-    if len(rows) > MAX_PATTERN_BARS:
-        raise ValueError(f"the pattern window has more than {MAX_PATTERN_BARS} bars")
     return [[float("nan") if r[c] is None else float(r[c]) for c in cols.match] for r in rows]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windowmatch.config import SearchColumns
@@ -16,10 +16,6 @@ def with_matrix(filled: DataFrame, cols: SearchColumns) -> DataFrame:
     return filled.withColumn("x", M.as_matrix(F.col("bars"), cols.match)).drop("bars")
 
 
-def _literal(rows: Sequence[Sequence[float]]) -> Column:
-    return F.array(*(F.array(*(F.lit(float(v)) for v in row)) for row in rows))
-
-
 def correlation_steps(
     filled: DataFrame,
     pattern: Sequence[Sequence[float]],
@@ -29,22 +25,25 @@ def correlation_steps(
 ) -> DataFrame:
     """Covariances and correlation with the pattern, for windows as long as the pattern.
 
-    The pattern's own part is computed once and enters the plan as literals.
+    The pattern is a frame of one row, which the plan reads by a scalar subquery: its size does not
+    depend on the pattern's.
     """
     width = len(cols.match)
-    one = filled.sparkSession.range(1).select(
-        M.centred_distances(_literal(pattern), width, normalize, passes).alias("p")
-    )
-    p, cov_bb = one.select("p", M.distance_variance(F.col("p"))).first()
+    rows = [([[float(v) for v in row] for row in pattern],)]
+    given = filled.sparkSession.createDataFrame(rows, "m array<array<double>>")
+    one = given.select(M.centred_distances(F.col("m"), width, normalize, passes).alias("p"))
+    one = one.select(F.struct("p", M.distance_variance(F.col("p")).alias("var")).alias("pattern"))
     same = with_matrix(filled.where(F.size("bars") == len(pattern)), cols)
     centred = same.select(
         *cols.window_key,
         M.centred_distances(F.col("x"), width, normalize, passes).alias("centred"),
     )
-    covs = centred.select(
+    known = centred.withColumn("pattern", one.scalar())
+    covs = known.select(
         *cols.window_key,
-        M.distance_covariance(F.col("centred"), _literal(p)).alias("cov_ab"),
+        M.distance_covariance(F.col("centred"), F.col("pattern.p")).alias("cov_ab"),
         M.distance_variance(F.col("centred")).alias("cov_aa"),
+        F.col("pattern.var").alias("cov_bb"),
     )
-    corr = M.distance_correlation(F.col("cov_ab"), F.col("cov_aa"), F.lit(cov_bb))
-    return covs.withColumn("similarity", corr)
+    corr = M.distance_correlation(F.col("cov_ab"), F.col("cov_aa"), F.col("cov_bb"))
+    return covs.withColumn("similarity", corr).drop("cov_bb")

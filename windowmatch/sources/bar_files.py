@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windowmatch.functions.times import parse_time
-from windowmatch.operators.upsert import concat
 
+# Fixed value: the format of the vendor files.
 DEFAULT_TIME_FORMAT = "%Y-%m-%d %H:%M:%S"
 
 # Header names of the vendor files -> column names of the bars table.
@@ -34,8 +34,9 @@ MISSING_TEXTS = (
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# More different headers than this mean that the directory holds something else.
-MAX_HEADERS = 100
+# Order of the rows of a read: by file, then by place in the file.
+SEQ = "_seq"
+PLACE = ("_block", "_line")
 
 NUMBERS = ("open", "high", "low", "close", "pre_close", "volume")
 
@@ -49,6 +50,17 @@ BARS_SCHEMA = T.StructType(
 )
 
 
+def _place() -> list[Column]:
+    """Columns ``PLACE`` of a read: the split of the file, and a number that rises within it."""
+    return [F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")]
+
+
+def placed(raw: DataFrame) -> DataFrame:
+    """Rows of a file source with their order in column ``SEQ``."""
+    rows = raw.select("*", "_metadata.file_path", *_place())
+    return rows.withColumn(SEQ, F.struct("file_path", *PLACE)).drop("file_path", *PLACE)
+
+
 def read_bar_files(
     spark: SparkSession,
     path: str | list[str],
@@ -72,8 +84,8 @@ def read_bar_files(
         schema = schema.add(name_column, T.StringType())
     raw = reader.option("enforceSchema", False).schema(schema).csv(path)
     if name_column:
-        return raw.withColumnRenamed(name_column, "file_name")
-    return raw.withColumn("file_name", F.col("_metadata.file_name"))
+        return placed(raw).withColumnRenamed(name_column, "file_name")
+    return placed(raw.withColumn("file_name", F.col("_metadata.file_name")))
 
 
 def read_mixed_bar_files(
@@ -81,27 +93,35 @@ def read_mixed_bar_files(
 ) -> DataFrame:
     """Like ``read_bar_files`` for files whose headers differ: each file follows its own.
 
-    A header is a line that has ``time_column`` as one of its fields. Only the different
-    headers come to the driver.
+    The first line of a file that is not blank is its header, and files are told apart by their whole
+    path. All files are read in one pass: every line is cut into as many cells as the widest header
+    has, and the cells are looked up by the header of their own file. A name that a header lacks is
+    NULL, so the rows of a file without ``time_column`` are rejected when they are parsed.
     """
     lines = (
         spark.read.option("pathGlobFilter", "*.csv")
         .text(path)
-        .select("value", F.col("_metadata.file_name").alias("file_name"))
+        .select("value", "_metadata.file_path", "_metadata.file_name", *_place())
         .where(F.trim("value") != "")
     )
-    is_header = F.array_contains(F.split("value", f"\\Q{sep}\\E"), time_column)
-    headers = lines.where(is_header).select("value").distinct().limit(MAX_HEADERS + 1).collect()
-    if not 0 < len(headers) <= MAX_HEADERS:
-        raise ValueError(f"need 1 to {MAX_HEADERS} different headers with {time_column!r}")
-    frames = []
-    for (header,) in headers:
-        files = lines.where(F.col("value") == header).select("file_name").distinct()
-        rows = lines.where(~is_header).join(files, "file_name", "left_semi")
-        schema = ", ".join(f"`{name}` STRING" for name in header.split(sep))
-        cells = F.from_csv("value", schema, {"sep": sep}).alias("cells")
-        frames.append(rows.select(cells, "file_name").select("cells.*", "file_name"))
-    return concat(frames)
+    first = lines.groupBy("file_path").agg(F.min_by("value", F.struct(*PLACE)).alias("header"))
+    width = first.agg(F.max(F.size(F.split("header", f"\\Q{sep}\\E")))).first()[0]
+    schema = ", ".join(f"_{i} STRING" for i in range(max(width or 1, 1)))
+
+    def cells(line: str) -> Column:
+        parsed = F.from_csv(line, schema, {"sep": sep})
+        return F.array(*(parsed[f"_{i}"] for i in range(max(width or 1, 1))))
+
+    names = F.filter(cells("header"), lambda name: name.isNotNull())
+    headers = first.select("file_path", "header", F.array_distinct(names).alias("names"))
+    named = F.map_from_arrays("names", F.slice(cells("value"), F.lit(1), F.size("names")))
+    rows = lines.join(headers, "file_path").where("value <> header")
+    wanted = [time_column, *VENDOR_NAMES]
+    return rows.withColumn("cells", named).select(
+        *(F.element_at("cells", name).alias(name) for name in wanted),
+        "file_name",
+        F.struct("file_path", *PLACE).alias(SEQ),
+    )
 
 
 def _number(text: Column) -> Column:
@@ -122,10 +142,10 @@ def parse_bars(
 
     Rejected are rows whose file name does not start with a whole number, whose time
     fits no known format, or whose numbers are not numbers. ``strict`` fails the job
-    on the first such row instead.
+    on the first such row instead. The order of the rows stays in column ``SEQ``, if ``raw`` has it.
     """
     named = raw.withColumnsRenamed({**VENDOR_NAMES, time_column: "datetime"})
-    name = F.col("file_name")
+    name, order = F.col("file_name"), [c for c in (SEQ,) if c in raw.columns]
     typed = named.select(
         F.split_part(name, F.lit("."), F.lit(1)).try_cast("int").alias("sid"),
         F.split_part(name, F.lit("."), F.lit(2)).alias("exchangeCD"),
@@ -134,6 +154,7 @@ def parse_bars(
         reduce(or_, (_bad_number(F.col(c)) for c in NUMBERS)).alias("bad_number"),
         "file_name",
         F.col("datetime").alias("time_text"),
+        *order,
     )
     problem = F.concat_ws(
         "; ",
@@ -147,7 +168,7 @@ def parse_bars(
         report = F.concat_ws(": ", "file_name", "problem", "time_text")
         fine = F.when(fine, True).otherwise(F.raise_error(report).cast("boolean"))
     return (
-        parsed.where(fine).select(*BARS_SCHEMA.fieldNames()),
+        parsed.where(fine).select(*BARS_SCHEMA.fieldNames(), *order),
         parsed.where("problem <> ''").select("file_name", "time_text", "problem"),
     )
 
@@ -162,7 +183,10 @@ def ingest(
     header: list[str] | None = None,
     mixed: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Bars and rejected rows of a directory of bar files; ``mixed`` if their headers differ."""
+    """Bars and rejected rows of a directory of bar files; ``mixed`` if their headers differ.
+
+    The bars carry their order in column ``SEQ``: a later row of one key replaces an earlier one.
+    """
     if mixed:
         raw = read_mixed_bar_files(spark, path, time_column, sep)
     else:
@@ -180,7 +204,7 @@ def write_bar_files(
     """
     named = bars.select(
         F.concat(F.col("sid"), F.lit("."), F.col("exchangeCD"), F.lit(".csv")).alias(name_column),
-        F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("datetime"),
+        F.date_format("datetime", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").alias("datetime"),
         *(F.col(column).alias(vendor) for vendor, column in VENDOR_NAMES.items()),
     )
     (

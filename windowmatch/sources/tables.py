@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import types as T
 
 from windowmatch.config import SearchColumns
 from windowmatch.operators.upsert import latest, upsert
-from windowmatch.sources.bar_files import BARS_SCHEMA
-from windowmatch.staging import stage
+from windowmatch.sources.bar_files import BARS_SCHEMA, SEQ, placed
+from windowmatch.staging import Scratch, exists
 
 WINDOWS_SCHEMA = T.StructType(
     [
@@ -28,6 +29,8 @@ BARS_FILE_ORDER = (
     "sid", "datetime", "exchangeCD", "close", "high", "low", "open", "pre_close", "volume",
 )
 
+BARS_KEY = ("sid", "datetime", "exchangeCD")
+
 MONTH = "bar_month"
 
 
@@ -39,21 +42,48 @@ def reset_namespace(spark: SparkSession, name: str, location: str | None = None)
 
 
 def create_table(
-    spark: SparkSession, table: str, schema: T.StructType, partition_by: Sequence[str] = ()
+    spark: SparkSession,
+    table: str,
+    schema: T.StructType,
+    partition_by: Sequence[str] = (),
+    location: str | None = None,
 ) -> None:
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     parts = f" PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
-    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet{parts}")
+    place = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet{parts}{place}")
 
 
-def create_bars_table(spark: SparkSession, table: str, schema: T.StructType = BARS_SCHEMA) -> None:
+def create_bars_table(
+    spark: SparkSession, table: str, schema: T.StructType = BARS_SCHEMA, location: str | None = None
+) -> None:
     """A bars table, split by month so that an upsert rewrites only the months it touches."""
     month = T.StructField(MONTH, T.IntegerType())
-    create_table(spark, table, T.StructType([*schema, month]), [MONTH])
+    create_table(spark, table, T.StructType([*schema, month]), [MONTH], location)
 
 
-def read_bars(spark: SparkSession, table: str) -> DataFrame:
-    return spark.table(table).drop(MONTH)
+def bars_folder(spark: SparkSession, path: str) -> str:
+    """The name, in this session, of the bars table in a folder; it need not exist before.
+
+    Without a catalog that outlives the session, a folder is what several processes share.
+    """
+    name = f"bars_{hashlib.md5(path.encode()).hexdigest()}"
+    if not spark.catalog.tableExists(name):
+        stored = exists(spark, path)
+        create_bars_table(spark, name, location=path)
+        if stored:
+            spark.catalog.recoverPartitions(name)
+    return name
+
+
+def read_bars(spark: SparkSession, table: str, begin=None, end=None) -> DataFrame:
+    """The bars of a table; with a closed time range, only the months it touches are read."""
+    bars = spark.table(table)
+    if begin is not None:
+        bars = bars.where(F.col(MONTH) >= begin.year * 100 + begin.month)
+    if end is not None:
+        bars = bars.where(F.col(MONTH) <= end.year * 100 + end.month)
+    return bars.drop(MONTH)
 
 
 def _with_month(bars: DataFrame, cols: SearchColumns) -> DataFrame:
@@ -112,10 +142,28 @@ def load_data(spark: SparkSession, path: str, table: str) -> None:
 
 def load_bars(
     spark: SparkSession, path: str, table: str, columns: Sequence[str] = BARS_FILE_ORDER
-) -> None:
-    """Append an exported, headerless bars file to a bars table."""
-    schema = T.StructType([BARS_SCHEMA[c] for c in columns])
-    append_bars(spark, table, spark.read.schema(schema).csv(path))
+) -> DataFrame:
+    """Append an exported, headerless bars file to a bars table; returns the rejected rows.
+
+    A row is rejected if a cell does not fit its column or a part of its key is missing. Of several
+    rows of one key the last one is stored.
+    """
+    text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    raw = placed(spark.read.schema(text).csv(path))
+    kinds = {c: BARS_SCHEMA[c].dataType for c in columns}
+    typed = raw.select(
+        *(F.col(c).try_cast(kind).alias(c) for c, kind in kinds.items()),
+        F.concat_ws(
+            "; ",
+            *(F.when(F.col(c).isNotNull() & F.col(c).try_cast(kind).isNull(), c) for c, kind in kinds.items()),
+            *(F.when(F.col(c).isNull(), c) for c in BARS_KEY),
+        ).alias("problem"),
+        F.to_csv(F.struct(*columns)).alias("line"),
+        SEQ,
+    )
+    fine = typed.where("problem = ''").drop("problem", "line")
+    append_bars(spark, table, latest(fine, BARS_KEY, SEQ))
+    return typed.where("problem <> ''").select("line", "problem")
 
 
 def upsert_into(
@@ -127,29 +175,38 @@ def upsert_into(
 ) -> None:
     """Write bars into a bars table; a bar with an existing key replaces the stored one.
 
-    Only the months the new bars fall into are read. New keys alone are appended; a month
-    is rewritten only if a stored bar changes.
+    Only the months the new bars fall into are read. New keys alone are appended; a month is rewritten
+    only if the values of a stored bar change. Appended and rewritten are different months, written one
+    after the other: after a failure between them, the same upsert can simply be repeated.
     """
     stored = spark.table(table)
-    key = cols.bar_key(stored)
-    fresh = stage(latest(_with_month(delta, cols), key, seq), "delta")
-    months = [r[0] for r in fresh.select(MONTH).distinct().collect()]
-    touched = stored.where(F.col(MONTH).isin(months))
-    changed = touched.join(fresh.select(MONTH, *key), [MONTH, *key], "left_semi")
-    changed_months = [r[0] for r in changed.select(MONTH).distinct().collect()]
-    is_changed = F.col(MONTH).isin(changed_months)
-    append_bars(spark, table, fresh.where(~is_changed), cols)
-    if not changed_months:
-        return
-    merged = upsert(stored.where(is_changed), fresh.where(is_changed), [MONTH, *key])
-    rewritten = stage(_clustered(merged, cols), "merged")
-    setting = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "dynamic")
-    try:
-        rewritten.select(*stored.columns).write.mode("overwrite").insertInto(table)
-    finally:
-        spark.conf.set(setting, before)
+    key = [MONTH, *cols.bar_key(stored)]
+    columns = [*key, *(c for c in stored.columns if c not in key)]
+    rows = _with_month(delta, cols).select(*columns, *([seq] if seq else []))
+    with Scratch() as scratch:
+        fresh = scratch.stage(latest(rows, key, seq), "delta")
+        months = [r[0] for r in fresh.select(MONTH).distinct().collect()]
+        touched = stored.where(F.col(MONTH).isin(months)).select(*columns)
+        values = [c for c in columns if c not in key]
+        old, new = (F.struct(*(F.col(f"{side}.{c}") for c in values)) for side in ("old", "new"))
+        same = [F.col(f"old.{c}") == F.col(f"new.{c}") for c in key]
+        pairs = touched.alias("old").join(fresh.alias("new"), same)
+        changed = pairs.where(~old.eqNullSafe(new)).select(f"new.{MONTH}").distinct()
+        changed_months = [r[0] for r in changed.collect()]
+        is_changed = F.col(MONTH).isin(changed_months)
+        unknown = fresh.where(~is_changed).join(touched.select(*key), key, "left_anti")
+        append_bars(spark, table, unknown, cols)
+        if not changed_months:
+            return
+        merged = upsert(touched.where(is_changed), fresh.where(is_changed), key)
+        rewritten = scratch.stage(_clustered(merged, cols), "merged")
+        setting = "spark.sql.sources.partitionOverwriteMode"
+        before = spark.conf.get(setting)
+        spark.conf.set(setting, "dynamic")
+        try:
+            rewritten.select(*stored.columns).write.mode("overwrite").insertInto(table)
+        finally:
+            spark.conf.set(setting, before)
 
 
 def replace_windows(

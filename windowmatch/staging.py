@@ -7,33 +7,34 @@ removes its files and a lost executor never loses staged data.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 NAMESPACE = "windowmatch_stage"
 
-_local_dirs: dict[str, str] = {}
+LOCAL_DIR = "/tmp/checkpoints"
+
 _staged: dict[str, list[str]] = {}
+_paths: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only for unconfigured local runs."""
+    """The folder in ``spark.checkpoint.dir``; one of its own only for a local run that names none."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="windowmatch-")
-    return _local_dirs[context.applicationId]
+    return f"{LOCAL_DIR}/{context.applicationId}"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/windowmatch/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/windowmatch/{label}-{uuid.uuid4().hex}"
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def fresh_table(spark: SparkSession, label: str) -> str:
@@ -55,7 +56,42 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.table(name)
 
 
+class Scratch:
+    """Staged tables that go when the block ends, also if it fails."""
+
+    def __enter__(self) -> Scratch:
+        self.names: list[tuple[SparkSession, str]] = []
+        return self
+
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        staged = stage(df, label)
+        spark = df.sparkSession
+        self.names.append((spark, _staged[spark.sparkContext.applicationId][-1]))
+        return staged
+
+    def __exit__(self, *failure) -> None:
+        for spark, name in self.names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            _staged[spark.sparkContext.applicationId].remove(name)
+
+
+def _placed(spark: SparkSession, path: str):
+    """A path for Hadoop, and its file system."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, system = _placed(spark, path)
+    return system.exists(place)
+
+
 def release(spark: SparkSession) -> None:
-    """Drop every table this application staged."""
-    for name in _staged.pop(spark.sparkContext.applicationId, []):
+    """Drop every table this application staged, and remove its other files."""
+    application = spark.sparkContext.applicationId
+    for name in _staged.pop(application, []):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for path in _paths.pop(application, []):
+        place, system = _placed(spark, path)
+        system.delete(place, True)
