@@ -37,15 +37,15 @@ FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_tables: dict[tuple, DataFrame] = {}
+_tables: dict[tuple, Any] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
-    """Bars and windows are loaded into tables once per application, then queried."""
+def _once(spark: SparkSession, key: tuple, make: Callable[[], Any]) -> Any:
+    """Bars, windows and files are written once per application, then queried."""
     key = (spark.sparkContext.applicationId, *key)
     if key not in _tables:
         _tables[key] = make()
@@ -194,13 +194,22 @@ def bulk_load(spark, sf_dir):
     return spark.table(table)
 
 
+def csv_files(spark, sf_dir) -> str:
+    """The folder of bar files that ``csv_ingest`` reads, written once per application."""
+
+    def write() -> str:
+        path = fresh_path(spark, "barfiles")
+        pre_close = F.when(F.col("volume") > 30, F.col("open"))
+        bars = _with_exchange(spark, sf_dir, bars_of(spark, sf_dir), pre_close)
+        bar_files.write_bar_files(bars, path, name_column="file")
+        return path
+
+    return _once(spark, (sf_dir, "csv"), write)
+
+
 def csv_ingest(spark, sf_dir):
-    path = fresh_path(spark, "barfiles")
-    pre_close = F.when(F.col("volume") > 30, F.col("open"))
-    bars = _with_exchange(spark, sf_dir, bars_of(spark, sf_dir), pre_close)
-    bar_files.write_bar_files(bars, path, name_column="file")
     header = ["datetime", *bar_files.VENDOR_NAMES]
-    raw = bar_files.read_bar_files(spark, path, header=header, name_column="file")
+    raw = bar_files.read_bar_files(spark, csv_files(spark, sf_dir), header=header, name_column="file")
     loaded, _ = bar_files.parse_bars(raw)
     return loaded.drop(bar_files.SEQ)
 
@@ -220,7 +229,7 @@ def csv_ingest_mixed(spark, sf_dir):
         some = text.where(F.crc32(F.col("datetime").cast("binary")) % 2 == half)
         write = some.select("file", *order).repartition("file").write.partitionBy("file")
         write.option("header", True).csv(f"{path}/{half}")
-    raw = bar_files.read_mixed_bar_files(spark, [f"{path}/0", f"{path}/1"])
+    raw = bar_files.read_mixed_bar_files(spark, path, nested=True)
     folder = F.url_decode(F.regexp_extract("_seq.file_path", "/file=([^/]*)/", 1))
     loaded, _ = bar_files.parse_bars(raw.withColumn("file_name", folder), time_format="%d/%m/%Y")
     return loaded.drop(bar_files.SEQ)

@@ -89,10 +89,16 @@ def read_bar_files(
 
 
 def read_mixed_bar_files(
-    spark: SparkSession, path: str | list[str], time_column: str = "datetime", sep: str = ","
+    spark: SparkSession,
+    path: str | list[str],
+    time_column: str = "datetime",
+    sep: str = ",",
+    nested: bool = False,
 ) -> DataFrame:
     """Like ``read_bar_files`` for files whose headers differ: each file follows its own.
 
+    ``nested`` reads the files of all folders below ``path`` too.
+
     The first line of a file that is not blank is its header, and files are told apart by their whole
     path. All files are read in one pass: every line is cut into as many cells as the widest header
     has, and the cells are looked up by the header of their own file. A name that a header lacks is
@@ -100,6 +106,7 @@ def read_mixed_bar_files(
     """
     lines = (
         spark.read.option("pathGlobFilter", "*.csv")
+        .option("recursiveFileLookup", nested)
         .text(path)
         .select("value", "_metadata.file_path", "_metadata.file_name", *_place())
         .where(F.trim("value") != "")
