@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windowmatch.llm.shared import by_hash
@@ -264,12 +264,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) <= LONGEST))
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sample = []
-    for row in rows.groupBy("lang").count().orderBy("lang").collect():
-        share = min(1.0, 2 * PER_LANGUAGE / row["count"])
-        some = rows.where((F.col("lang") == row["lang"]) & by_hash(F.col("id"), share))
-        sample += some.orderBy(F.xxhash64("id", "text")).limit(PER_LANGUAGE).select("text", "lang").collect()
-    return fit([(r["text"], r["lang"]) for r in sample])
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return fit([])
+    # one pass for all languages: a few more than wanted by a hash of the id, then the first ones
+    shares = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * PER_LANGUAGE / n))))
+    some = rows.where(by_hash(F.col("id"), F.element_at(shares, F.col("lang"))))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id", "text"))
+    sample = some.withColumn("place", F.row_number().over(first)).where(F.col("place") <= PER_LANGUAGE)
+    ordered = sample.select("lang", "place", "text").collect()
+    return fit([(r["text"], r["lang"]) for r in sorted(ordered, key=lambda r: (r["lang"], r["place"]))])
 
 
 def _blocks(lengths: list[int]):

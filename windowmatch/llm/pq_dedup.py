@@ -9,7 +9,8 @@ radius of the wanted cosine plus the member's own coding error; by the triangle
 no neighbour. Candidates are reranked by the exact cosine in double precision.
 
 What can be missed is a neighbour in a list that is not probed from either side. Lists grow with the
-square root of the table, probes with the lists; tests measure the recall against brute force.
+square root of the table, but are no finer than the radius, so that dense groups stay whole; probes
+grow with the lists. Tests measure the recall against brute force.
 
 Lists are cut into blocks of at most about ``BLOCK`` members and queries, so that a list with a third
 of all vectors is many tasks. A block returns one row per linked vector: how many vectors it links and
@@ -77,12 +78,25 @@ def fit(sample: np.ndarray, total: int, least: float = LEAST, seed: int = 5) ->
     rng = np.random.default_rng(seed)
     lists = int(min(MOST_LISTS, max(1, len(sample) // 16), max(16, np.sqrt(total) / 2)))
     x = _padded(sample)
-    centroids = _kmeans(x, lists, rng)
+    radius = float(np.sqrt(2 - 2 * least))
+    centroids = _apart(_kmeans(x, lists, rng), radius)
+    lists = len(centroids)
     residuals = x - centroids[_distances(x, centroids).argmin(1)]
     width = x.shape[1] // SUBSPACES
     words = min(CODEWORDS, len(x))
     codewords = np.stack([_kmeans(residuals[:, s * width : (s + 1) * width], words, rng) for s in range(SUBSPACES)])
-    return Quantiser(centroids, codewords, max(8, lists // 8), float(np.sqrt(2 - 2 * least)))
+    return Quantiser(centroids, codewords, max(8, lists // 8), radius)
+
+
+def _apart(centroids: np.ndarray, least: float) -> np.ndarray:
+    """Centroids without those nearer than ``least`` to one before: lists finer than the radius would
+    part the vectors of a dense group, of which each links with all others."""
+    near = _distances(centroids, centroids) < least**2
+    kept: list[int] = []
+    for i in range(len(centroids)):
+        if not near[i, kept].any():
+            kept.append(i)
+    return centroids[kept]
 
 
 def assign(model: Quantiser, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:

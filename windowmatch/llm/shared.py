@@ -43,9 +43,10 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def by_hash(key: Column, share: float) -> Column:
+def by_hash(key: Column, share: float | Column) -> Column:
     """Whether a row belongs to a fixed pseudo-random share of all rows."""
-    return F.pmod(F.xxhash64(key, F.lit("share")), F.lit(1_000_000)) < int(share * 1_000_000) + 1
+    place = F.pmod(F.xxhash64(key, F.lit("share")), F.lit(1_000_000_000))
+    return place < F.lit(share) * 1_000_000_000
 
 
 class Memo(dict):
