@@ -6,7 +6,8 @@ placeholders. Windows of five words of a benchmark item are looked up by the has
 A window found by its template alone counts only if the slots are consistent: along one alignment
 of item and document, every value of the item must always stand for one value of the document.
 That finds questions whose numbers or names were exchanged, and not other ones of the same shape.
-Templates with fewer than ``LEAST_WORDS`` words between the placeholders are not looked up.
+Templates with fewer than ``LEAST_WORDS`` words between the placeholders are not looked up, and their
+places do not count (unless an item has no other ones, which are then looked up as literal words).
 
 A document contains an item if windows of at least 0.8 of the item's places are found in it.
 Items and documents of fewer than five words have no window: they are never found.
@@ -14,7 +15,7 @@ Items and documents of fewer than five words have no window: they are never foun
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windowmatch.llm.shared import Staged
@@ -32,7 +33,7 @@ UNITS = (
     "km/h mph kmh km cm mm nm kg mg lb lbs oz ml cl kwh kw mw hz khz mhz ghz kb mb gb tb min mins hours hour "
     "days day weeks week months month years year seconds second minutes minute meters metres meter metre "
     "miles mile feet inches inch grams gram liters litres degrees percent dollars dollar euros euro cents "
-    "usd eur gbp m g l s h % € $ £ °c °f"
+    "usd eur gbp m g l s h"
 ).split()
 
 
@@ -47,7 +48,7 @@ def _template(text: Column) -> Column:
     numbers = F.when(
         names.rlike("[0-9]"), F.regexp_replace(names, r"(?<![\p{L}\p{N}])\p{N}+(?:[.,:/]\p{N}+)*", NUMBER)
     ).otherwise(names)
-    units = "|".join(u.replace("$", r"\$") for u in sorted(UNITS, key=len, reverse=True))
+    units = "|".join(sorted(UNITS, key=len, reverse=True))
     return F.when(
         F.contains(numbers, F.lit(NUMBER)),
         F.regexp_replace(numbers, rf"(?i)(?<={NUMBER}[ \t]?)(?:{units})(?![\p{{L}}\p{{N}}])", UNIT),
@@ -79,21 +80,26 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     """One row per place and form of the items: item_id, place, places, hash, literal, slots (values by
     position in the window, NULL where there is no placeholder)."""
     items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
-    items = _forms(items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()), "text")
-    items = items.withColumn("places", F.size("words") - (WORDS - 1)).where("places > 0")
-    literal = items.select("item_id", "places", F.posexplode(_hashes("words")).alias("place", "hash"))
-    shaped = items.where(F.col("shape").isNotNull())
-    shaped = shaped.select("item_id", "places", "words", "shape", F.posexplode(_hashes("shape")).alias("place", "hash"))
-    begin = F.col("place") + 1
-    shaped = shaped.withColumn("window", F.slice("shape", begin, F.lit(WORDS)))
-    shaped = shaped.where(_fixed(F.col("window")).between(LEAST_WORDS, WORDS - 1))
+    items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).dropDuplicates()
+    items = _forms(items, "text").withColumn("form", F.coalesce("shape", "words"))
+    both = F.arrays_zip(_hashes("words").alias("literal"), _hashes("form").alias("shaped"))
+    each = items.select("item_id", "text", "words", "form", F.posexplode(both).alias("place", "h"))
+    window, values = (F.slice(c, F.col("place") + 1, F.lit(WORDS)) for c in ("form", "words"))
+    each = each.withColumn("window", window).withColumn("values", values).withColumn("fixed", _fixed(F.col("window")))
+    # places that a template can be looked up for; where an item has none, all its places count
+    item = Window.partitionBy("item_id", "text")
+    open_places = F.count_if(F.col("fixed") >= LEAST_WORDS).over(item)
+    each = each.withColumn("open", open_places).withColumn("all", F.count("*").over(item))
+    each = each.where((F.col("fixed") >= LEAST_WORDS) | (F.col("open") == 0))
+    each = each.withColumn("places", F.when(F.col("open") == 0, F.col("all")).otherwise(F.col("open")).cast("int"))
     slots = F.transform(
-        F.arrays_zip("window", F.slice("words", begin, F.lit(WORDS)).alias("value")),
-        lambda p: F.when(p["window"].rlike(f"[{MARKS}]"), p["value"]),
+        F.arrays_zip("window", "values"), lambda p: F.when(p["window"].rlike(f"[{MARKS}]"), p["values"])
     )
-    columns = ["item_id", "places", "place", "hash"]
+    columns = ["item_id", "places", "place"]
     nothing = F.lit(None).cast("array<string>")
-    return literal.select(*columns, nothing.alias("slots")).union(shaped.select(*columns, slots.alias("slots")))
+    literal = each.select(*columns, F.col("h.literal").alias("hash"), nothing.alias("slots"))
+    shaped = each.where(F.col("fixed").between(LEAST_WORDS, WORDS - 1))
+    return literal.union(shaped.select(*columns, F.col("h.shaped").alias("hash"), slots.alias("slots")))
 
 
 def _document_hashes() -> Column:
