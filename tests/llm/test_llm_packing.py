@@ -60,7 +60,7 @@ def test_cut():
 def test_remembered_words_give_the_library_ids(path, spaced, text):
     own = ENCODERS.setdefault(path, Encoder(path, spaced, known=50))
     want = own.tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(own.encode(text), "<u4").tolist() == want
+    assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == want
 
 
 ENCODERS = {}

@@ -16,10 +16,12 @@ so that a length that a third of all pieces share is no single task.
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,18 +171,24 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     A NULL or empty text is its end id alone. Repeated rows give repeated pieces.
     """
 
-    def batch(texts: pd.Series) -> pd.Series:
-        encode = encoder(vocabulary, spaced=True).encode
-        end = np.array([END], "<u4").tobytes()
-        made = []
-        for text in texts:
-            ids = encode(text) + end
-            made.append([(i, s, n, crc(ids[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cut(len(ids) // 4, capacity))])
-        return pd.Series(made)
-
-    kind = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
-    found = docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(batch, kind)(F.col(text_col)).alias("p"))
-    return found.select("doc_id", F.explode("p").alias("p")).select("doc_id", "p.*")
+    rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.col(id_col).alias("doc_id"))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(vocabulary, spaced=True).encode, np.array([END], "<u4").tobytes()
+        for batch in batches:
+            owners, made = [], []
+            for row, text in enumerate(batch.column(0)):
+                ids = encode(text.as_py()) + end
+                for i, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
+                    owners.append(row)
+                    made.append((i, s, n, crc(ids[4 * s : 4 * (s + n)])))
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*made), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+            if made:
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(owners)), *columns], names=names)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(part, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:

@@ -146,7 +146,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
     number of ids in all files before. NULL ids come first and stay unnamed; NULL texts are empty;
     repeated rows are written as often as they come; an empty table gives no file.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     order = ["doc_id", F.xxhash64("text")]  # so that many rows of one id are many tasks
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 

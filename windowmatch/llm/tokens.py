@@ -9,19 +9,28 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
 from windowmatch.llm.shared import Memo
 
-KNOWN = 150_000
+#: Pieces and runs of letters that a worker remembers, of each generation.
+KNOWN, RUNS = 300_000, 60_000
 
+# White space that may run together across the places where texts are cut; most texts have none of it.
+_SUSPECT = (
+    b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", "\x85".encode(), "\xa0".encode(),
+    "\u1680".encode(), b"\xe2\x80", "\u205f".encode(), "\u3000".encode(),
+)
 _ODD = re.compile(r"\s\s")
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+# Latin letters without the two signs among them, then ASCII marks but the apostrophe.
+_SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def _byte_letters() -> dict[int, str]:
-    """The printable character that stands for each byte in a byte-level vocabulary."""
+    """The printable character that stands for each byte in a byte-level vocabulary, for translate()."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in plain]
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
@@ -37,51 +46,60 @@ class Encoder:
     without normaliser); otherwise white space is dropped and letters are lower-cased.
     """
 
-    def __init__(self, path: str, spaced: bool, known: int = KNOWN):
+    def __init__(self, path: str, spaced: bool, known: int = KNOWN, runs: int = RUNS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.spaced = spaced
-        self.runs = Memo(self._run, known)
-        self.first = Memo(lambda w: self._piece(w, b""), known)
-        self.rest = Memo(lambda w: self._piece(w, b" "), known)
+        self.runs = Memo(self._run, runs)
+        self.first = Memo(lambda w: self._piece(w, ""), runs if spaced else known)
+        self.rest = Memo(lambda w: self._piece(w, " "), known)
         self.line = self._whole("\n") if spaced else b""
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _run(self, run: str) -> bytes:
+    def _run(self, run: bytes) -> bytes:
         """A run that is one piece for the vocabulary."""
-        letters = "".join(_LETTER[b] for b in run.encode())
-        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        return _packed([token.id for token in self.tokenize(run.decode("latin-1").translate(_LETTER))])
 
-    def _piece(self, word: bytes, space: bytes) -> bytes:
-        text = word.decode()
-        simple = _SIMPLE.fullmatch(text)
+    def _piece(self, word: bytes, space: str) -> bytes:
+        simple = _SIMPLE.fullmatch(word)
         if not simple:
-            return self._whole(space.decode() + text)
+            return self._whole(space + word.decode())
         letters, marks = simple.groups()
         if not self.spaced:
-            letters = letters.lower()
-        return self.runs[space.decode() + letters] + (self.runs[marks] if marks else b"")
-
-    def encode(self, text: str | None) -> bytes:
+            letters = letters.decode().lower().encode()
+        elif space:
+            letters = b" " + letters
+        if not marks:
+            return self._run(letters)
+        return self.runs[letters] + self.runs[marks]
+
+    def encode(self, text: bytes | None) -> bytes:
+        """The ids of a text in UTF-8."""
         if not text:
             return b""
         if not self.spaced:
-            return b"".join(map(self.first.__getitem__, text.encode().split()))
-        if _ODD.search(text):
-            return self._whole(text)
+            return b"".join(map(self.first.__getitem__, text.split()))
+        if any(s in text for s in _SUSPECT) and _ODD.search(text.decode()):
+            return self._whole(text.decode())
         lines = []
-        for line in text.encode().split(b"\n"):
+        for line in text.split(b"\n"):
             head, *tail = line.split(b" ")
             lines.append((self.first[head] if head else b"") + b"".join(map(self.rest.__getitem__, tail)))
         return self.line.join(lines)
 
 
+def _packed(ids: list[int]) -> bytes:
+    if sys.byteorder == "little":
+        return array("I", ids).tobytes()
+    return np.array(ids, "<u4").tobytes()
+
+
 _encoders: dict[tuple, Encoder] = {}
 
 
