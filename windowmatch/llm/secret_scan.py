@@ -5,9 +5,12 @@ with a digit. A forest over their length, characters and transitions between kin
 coverage by words of the corpus, path signs and neighbouring words removes the false positives.
 
 The forest is trained on labelled findings: rows of candidates with their context and a label.
-``weak_labels`` makes them from documents (an assignment to a word for credentials is a secret, a
-candidate without such a word near it is none), a sample of at most ``LABELLED`` rows; ``examples``
-adds made-up ones of both kinds, so that a table without any labelled finding can be scanned too.
+``weak_labels`` makes them from documents, a sample of at most ``LABELLED`` rows: a value assigned to a
+word for credentials or in the format of a known kind of key is a secret; uuids, checksums beside their
+name, Luhn numbers, paths and names made of words of the corpus are none; all else has no label.
+``examples`` adds made-up ones of both kinds, so that a table without any labelled finding can be scanned
+too. In a part of the training rows the signs that the labels were made from are hidden (``masked``), so
+that the value itself has to tell. Plain hexadecimal is not masked: bare, a key and a checksum look alike.
 Scanning and the counts of the dictionary cover all texts.
 """
 
@@ -27,16 +30,27 @@ BEFORE, AFTER = 48, 16
 CANDIDATE = rf"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{{{SHORTEST},}}"
 CREDENTIAL = r"(?:token|secret|passw(?:or)?d|pwd|passphrase|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|bearer|credential)s?"
 IDENTIFIER = r"(?:commit|hash|checksum|digest|sha\d*|md5|uuid|guid|isbn|order|invoice|card|account|phone|tel|version|build|rev)"
+#: Kinds of keys that are known by their form.
+FORMAT = (
+    r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,}|glpat-[A-Za-z0-9_-]{20,}"
+    r"|xox[abeoprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{32,}|AIza[A-Za-z0-9_-]{35}"
+    r"|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{16,}.*)$"
+)
+UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+#: Share of the training rows, by value, whose context and format are hidden.
+MASKED = 0.5
 #: Bound of the labelled sample, and how often a word must occur to be in the dictionary.
 LABELLED = 20_000
 FREQUENT = 5
 TREES, DEPTH = 20, 6
 REDACTED = "[SECRET]"
+#: Words of made-up names.
+NAMES = "user order status handler config value update message request server build image table index session report".split()
 BROADCAST_RUNS = 500_000
 
 FEATURES = (
     "size digits upper lower hexadecimal kinds transitions distinct longest covered slashes after_slash "
-    "named assigned quoted identified padded"
+    "named assigned quoted identified padded formatted"
 ).split()
 
 
@@ -93,30 +107,65 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
         has("left", "[\"'`]$").alias("quoted"),
         has("left", rf"(?i)\b{IDENTIFIER}[^\p{{L}}\p{{N}}]{{0,8}}$").alias("identified"),
         has("value", "=$").alias("padded"),
+        has("value", FORMAT).alias("formatted"),
     )
     return rows
 
 
+def _rule() -> Column:
+    """1 for a known secret, 0 for what is positively something else, NULL for what is not known."""
+    plain = F.col("covered") >= 0.6
+    number = (F.col("digits") == 1) & F.call_function("luhn_check", F.col("value"))
+    checksum = (F.col("hexadecimal") == 1) & (F.col("identified") == 1)
+    path = (F.col("slashes") > 0) & (F.col("covered") >= 0.3) & (F.col("named") == 0)
+    other = F.col("value").rlike(UUID) | number | checksum | path | (plain & (F.col("named") == 0))
+    secret = (F.col("formatted") == 1) | ((F.col("named") == 1) & (F.col("assigned") == 1) & ~plain)
+    return F.when(secret & ~number, 1.0).when(other, 0.0)
+
+
+def masked(rows: DataFrame) -> DataFrame:
+    """Described findings with labels, and again a share ``MASKED`` of them without the signs beside and
+    of the format; for what is not plain hexadecimal."""
+    hidden = rows.where(by_hash(F.col("value"), MASKED) & (F.col("hexadecimal") < 1))
+    signs = {c: F.lit(0.0) for c in ("named", "assigned", "quoted", "formatted")}
+    return rows.union(hidden.withColumns(signs).select(*rows.columns))
+
+
 def weak_labels(features: DataFrame, most: int = LABELLED) -> DataFrame:
     """A sample of at most ``most`` described findings that a rule can label: ``label`` 1 or 0.
 
     The share is set by the number of findings; the limit holds where the hash is uneven.
     """
-    rule = F.when((F.col("named") == 1) & (F.col("assigned") == 1), 1.0).when(F.col("named") == 0, 0.0)
     distinct = features.dropDuplicates(["value"])
-    known = distinct.withColumn("label", rule).where("label IS NOT NULL").select(*FEATURES, "label", "value")
+    known = distinct.withColumn("label", _rule()).where("label IS NOT NULL").select(*FEATURES, "label", "value")
     share = min(1.0, most / max(1, features.count()))
-    return known.where(by_hash(F.col("value"), share)).orderBy(F.xxhash64("value")).limit(most).drop("value")
+    return known.where(by_hash(F.col("value"), share)).orderBy(F.xxhash64("value")).limit(most)
 
 
 def examples(spark: SparkSession, each: int = 300) -> DataFrame:
-    """Made-up findings (value, left, right, label): keys beside words for credentials, and numbers,
-    checksums, paths and versions beside other words."""
+    """Made-up findings (value, left, right, label): keys beside words for credentials, keys of known
+    formats and random base64 beside anything, and numbers, checksums, paths, versions and names beside
+    other words."""
     key = F.sha2(F.concat(F.lit("key"), F.col("id").cast("string")), 256)
     other = F.sha2(F.concat(F.lit("other"), F.col("id").cast("string")), 256)
     digits = F.regexp_replace(other, "[a-f]", "7")
     mixed = F.regexp_replace(F.base64(F.unhex(key)), "[^A-Za-z0-9+/=]", "")
+    letters = F.regexp_replace(mixed, "[^A-Za-z0-9]", "")
+    lefts = F.element_at(F.array(*map(F.lit, ["see ", "| ", "\n", "?k=", 'x = "', "(", "https://host/"])), (F.col("id") % 7 + 1).cast("int"))
+    words = F.array(*map(F.lit, NAMES))
+    pick = lambda i: F.element_at(words, F.pmod(F.xxhash64("id", F.lit(i)), F.lit(len(NAMES))).cast("int") + 1)
     kinds = [
+        (F.concat(F.lit("AKIA"), F.upper(F.substring(letters, 1, 16))), lefts, 1.0),
+        (F.concat(F.lit("ghp_"), F.rpad(letters, 36, "a9")), lefts, 1.0),
+        (F.concat(F.lit("xoxb-"), F.substring(digits, 1, 12), F.lit("-"), F.substring(letters, 1, 24)), lefts, 1.0),
+        (F.concat(F.lit("sk_live_"), F.substring(letters, 1, 24)), lefts, 1.0),
+        (F.concat(mixed, F.substring(mixed, 3, 20)), lefts, 1.0), (F.substring(letters, 1, 32), lefts, 1.0),
+        (F.concat_ws("_", pick(1), pick(2), pick(3), pick(4)), lefts, 0.0),
+        (F.concat_ws("-", pick(1), pick(2), pick(3), F.col("id").cast("string")), lefts, 0.0),
+        (F.concat(F.initcap(pick(1)), F.initcap(pick(2)), F.initcap(pick(3)), F.initcap(pick(4))), lefts, 0.0),
+        (F.concat(pick(1), pick(2), pick(3), pick(4)), lefts, 0.0),
+        (F.concat_ws("/", pick(1), pick(2), pick(3), F.concat(pick(4), F.col("id").cast("string"))), lefts, 0.0),
+        (F.upper(F.concat_ws("_", pick(1), pick(2), pick(3), F.col("id").cast("string"))), lefts, 0.0),
         (F.substring(key, 1, 40), 'token = "', 1.0), (F.upper(F.substring(key, 1, 40)), 'TOKEN = "', 1.0),
         (mixed, "secret: ", 1.0), (F.substring(key, 1, 32), "api_key='", 1.0),
         (F.substring(mixed, 1, 24), "password = ", 1.0), (F.substring(digits, 1, 16), "thon to ", 0.0),
@@ -126,7 +175,7 @@ def examples(spark: SparkSession, each: int = 300) -> DataFrame:
         (F.concat_ws("-", F.substring(other, 1, 8), F.substring(other, 9, 4), F.substring(other, 13, 12)), "uuid: ", 0.0),
     ]
     rows = spark.range(each)
-    made = [rows.select(v.alias("value"), F.lit(left).alias("left"), F.lit(" ").alias("right"), F.lit(y).alias("label")) for v, left, y in kinds]
+    made = [rows.select(v.alias("value"), (left if isinstance(left, Column) else F.lit(left)).alias("left"), F.lit(" ").alias("right"), F.lit(y).alias("label")) for v, left, y in kinds]
     frame = made[0]
     for more in made[1:]:
         frame = frame.union(more)
@@ -151,8 +200,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labell
     found = Staged(candidates(docs, id_col, text_col), "candidates").frame
     words = Staged(dictionary(docs, found, text_col), "dictionary").frame
     features = Staged(described(found, words), "findings").frame
-    made = described(examples(docs.sparkSession), words).select(*FEATURES, "label")
-    model = train(made.union((labelled if labelled is not None else weak_labels(features)).select(*FEATURES, "label")))
+    made = Staged(examples(docs.sparkSession).coalesce(2), "examples").frame
+    made = described(made, words).select(*FEATURES, "label", "value")
+    if labelled is None:
+        rows = masked(Staged(made.union(weak_labels(features)).coalesce(4), "labelled").frame).select(*FEATURES, "label")
+    else:
+        rows = Staged(masked(made).select(*FEATURES, "label").union(labelled.select(*FEATURES, "label")), "labelled").frame
+    model = train(rows)
     scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="__features").transform(features))
     scored = scored.withColumn("probability", vector_to_array("probability")[1])
     return scored.where("probability > 0.5").select(*KEY, "value", "start", "end", "probability")
