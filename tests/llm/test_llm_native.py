@@ -224,3 +224,15 @@ def test_keys_without_a_credential_word_are_found(spark):
     ]
     found = {r["doc_id"] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {1, 2, 3, 4}
+
+
+def test_short_values_behind_a_credential_word_are_found(spark):
+    values = ["hunter2!Aa", "S3cr3t!Pass", "Qz7.k%W2@x", "kTqZbWnXrLpVmYcH", "my9~key$"]
+    rows = [
+        (0, f'password = "{values[0]}" was set'), (1, f"pwd: {values[1]}"), (2, f"api_key='{values[2]}',"),
+        (3, f"my_application_secret_token = {values[3]}."), (4, f'{{"passwd": "{values[4]}"}}'),
+        (5, "a password is needed"), (6, "the update_message_handler is internationalization"), (7, "token = get_token()"),
+    ]
+    texts = dict(rows)
+    found = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in found} == set(enumerate(values))

@@ -1,7 +1,8 @@
 """Secret scan: candidate strings judged by a random forest, with DataFrame functions and Spark ML.
 
-Candidates are runs of at least ``SHORTEST`` characters of the alphabets that keys are written in,
-with a digit. A forest over their length, characters and transitions between kinds of characters,
+Candidates are runs of at least ``SHORTEST`` characters of the alphabets that keys are written in, and
+any value without blanks, however short, that is assigned or quoted behind a word for credentials. A
+forest over their length, characters and transitions between kinds of characters,
 coverage by words of the corpus, path signs and neighbouring words removes the false positives.
 
 The forest is trained on labelled findings: rows of candidates with their context and a label.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windowmatch.llm.shared import Staged, by_hash
@@ -27,8 +28,15 @@ from windowmatch.llm.spans import KEY, keyed, matches
 
 SHORTEST = 16
 BEFORE, AFTER = 48, 16
-CANDIDATE = rf"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{{{SHORTEST},}}"
 CREDENTIAL = r"(?:token|secret|passw(?:or)?d|pwd|passphrase|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|bearer|credential)s?"
+#: What stands between such a word and its value; bounded, as it is looked for behind.
+_ASSIGNED = rf"(?i:{CREDENTIAL})[\"'`\])]{{0,2}}\s{{0,3}}(?::|=|:=|=>)\s{{0,3}}"
+_QUOTED = rf"(?i:{CREDENTIAL})[\"'`\])]{{0,2}}\s{{0,3}}(?::|=|:=|=>)?\s{{0,3}}"
+VALUE = (
+    rf"(?<=\")(?<={_QUOTED}\")[^\s\"]+|(?<=')(?<={_QUOTED}')[^\s']+|(?<=`)(?<={_QUOTED}`)[^\s`]+"
+    rf"|(?<=[:=>\s])(?<={_ASSIGNED})[^\s\"'`:=>][^\s\"'`]*(?<![.,;])"
+)
+CANDIDATE = rf"{VALUE}|(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{{{SHORTEST},}}+(?:={{1,2}}(?![A-Za-z0-9_+/=\"'`-]))?"
 IDENTIFIER = r"(?:commit|hash|checksum|digest|sha\d*|md5|uuid|guid|isbn|order|invoice|card|account|phone|tel|version|build|rev)"
 #: Kinds of keys that are known by their form.
 FORMAT = (
@@ -50,13 +58,18 @@ BROADCAST_RUNS = 500_000
 
 FEATURES = (
     "size digits upper lower hexadecimal kinds transitions distinct longest covered slashes after_slash "
-    "named assigned quoted identified padded formatted"
+    "named assigned quoted identified padded formatted symbols syntax"
 ).split()
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Candidates of all texts with their places and context."""
-    return matches(keyed(docs, id_col, text_col), CANDIDATE, BEFORE, AFTER)
+    found = matches(keyed(docs, id_col, text_col), CANDIDATE, BEFORE, AFTER)
+    # a long name before a value is a candidate too, and is context of the value
+    order = Window.partitionBy(*KEY).orderBy("start")
+    touching = F.col("start") - F.lag("end").over(order) == F.length("left")
+    name = F.when(touching, F.lag("value").over(order))
+    return found.withColumn("left", F.right(F.concat(F.coalesce(name, F.lit("")), "left"), F.lit(BEFORE)))
 
 
 def dictionary(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
@@ -108,6 +121,8 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
         has("left", rf"(?i)\b{IDENTIFIER}[^\p{{L}}\p{{N}}]{{0,8}}$").alias("identified"),
         has("value", "=$").alias("padded"),
         has("value", FORMAT).alias("formatted"),
+        _share("[^A-Za-z0-9_+/=-]").alias("symbols"),
+        _share(r"[()\[\]{}<>]|\.(?=[A-Za-z])").alias("syntax"),
     )
     return rows
 
@@ -118,7 +133,7 @@ def _rule() -> Column:
     number = (F.col("digits") == 1) & F.call_function("luhn_check", F.col("value"))
     checksum = (F.col("hexadecimal") == 1) & (F.col("identified") == 1)
     path = (F.col("slashes") > 0) & (F.col("covered") >= 0.3) & (F.col("named") == 0)
-    other = F.col("value").rlike(UUID) | number | checksum | path | (plain & (F.col("named") == 0))
+    other = F.col("value").rlike(UUID) | number | checksum | path | (plain & (F.col("named") == 0)) | (F.col("covered") >= 0.9)
     secret = (F.col("formatted") == 1) | ((F.col("named") == 1) & (F.col("assigned") == 1) & ~plain)
     return F.when(secret & ~number, 1.0).when(other, 0.0)
 
@@ -160,6 +175,14 @@ def examples(spark: SparkSession, each: int = 300) -> DataFrame:
         (F.concat(F.lit("xoxb-"), F.substring(digits, 1, 12), F.lit("-"), F.substring(letters, 1, 24)), lefts, 1.0),
         (F.concat(F.lit("sk_live_"), F.substring(letters, 1, 24)), lefts, 1.0),
         (F.concat(mixed, F.substring(mixed, 3, 20)), lefts, 1.0), (F.substring(letters, 1, 32), lefts, 1.0),
+        (F.concat(F.initcap(pick(1)), F.substring(digits, 1, 2), F.lit("!"), F.substring(letters, 1, 2)), 'password = "', 1.0),
+        (F.concat(F.substring(letters, 1, 4), F.lit("."), F.substring(letters, 5, 3), F.lit("@"), F.substring(digits, 1, 3)), "pwd: ", 1.0),
+        (F.concat(pick(1), F.substring(digits, 1, 3)), "passwd=", 1.0), (F.substring(letters, 1, 10), "secret = '", 1.0),
+        (F.regexp_replace(letters, "[0-9]", ""), lefts, 1.0), (F.regexp_replace(F.substring(letters, 1, 20), "[0-9]", ""), 'api_key = "', 1.0),
+        (F.substring(key, 1, 12), "token: ", 1.0), (pick(1), "password: ", 0.0), (pick(2), "token = ", 0.0),
+        (F.concat(F.lit("get"), F.initcap(pick(1)), F.lit("()")), "token = ", 0.0),
+        (F.concat(pick(1), F.lit("."), pick(2), F.lit("["), pick(3), F.lit("]")), "password = ", 0.0),
+        (F.concat(F.lit("${"), F.upper(pick(1)), F.lit("}")), 'secret: "', 0.0),
         (F.concat_ws("_", pick(1), pick(2), pick(3), pick(4)), lefts, 0.0),
         (F.concat_ws("-", pick(1), pick(2), pick(3), F.col("id").cast("string")), lefts, 0.0),
         (F.concat(F.initcap(pick(1)), F.initcap(pick(2)), F.initcap(pick(3)), F.initcap(pick(4))), lefts, 0.0),
