@@ -10,7 +10,7 @@ from windowmatch.llm.shared import Staged, fold, table, vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with an identified language; those without a letter, or without any likely one, go."""
+    """Documents whose words have identified languages, one or several; those without a letter, or without any likely one, go."""
     return lang_crf.keep_identified(docs, lang_crf.train(docs.where(fold(F.col("doc_id")) != 0)))
 
 

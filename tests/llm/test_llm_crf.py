@@ -4,6 +4,7 @@ import zlib
 import cases
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from windowmatch.llm import html_crf, lang_crf
 from windowmatch.llm.shared import fold, table
@@ -75,6 +76,22 @@ def test_language_without_labels(spark):
     assert lang_crf.predict(one, ["a dog", "1"]) == [("en", 1.0), ("und", 0.0)]
 
 
+def test_texts_of_several_languages_are_kept(spark):
+    words = {lang: [f"{lang}{a}{b}" for a in "aeiou" for b in "lmnr"] for lang in ("qu", "zo", "wy", "xi")}
+    learned = [(" ".join(ws[i:] + ws[:i]), lang) for lang, ws in words.items() for i in range(20)]
+    crf = lang_crf.fit(learned)
+    mixed = " ".join(w for ws in words.values() for w in ws)
+    assert lang_crf.predict(crf, [mixed])[0][1] < 0.35
+    docs = cases.documents(spark, [(1, mixed, None), (2, "12 !", None)])
+    assert [r["doc_id"] for r in lang_crf.keep_identified(docs, crf).collect()] == [1]
+
+
+def test_texts_are_kept_if_nothing_was_learned(spark):
+    docs = cases.documents(spark)
+    kept = lang_crf.keep_identified(docs, lang_crf.train(docs.withColumn("lang", F.lit(None).cast("string"))))
+    assert kept.columns == docs.columns and kept.count() == len(cases.TEXTS) - 5
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     return table(spark, SF, "pages")

@@ -292,7 +292,13 @@ def _blocks(lengths: list[int]):
 
 def predict(model: Crf, texts: list[str | None]) -> list[tuple[str, float]]:
     """Language and mean marginal of every text; ('und', 0) without a letter."""
-    answers = [(UNKNOWN, 0.0)] * len(texts)
+    return [(lang, score) for lang, score, _ in judge(model, texts)]
+
+
+def judge(model: Crf, texts: list[str | None]) -> list[tuple[str, float, float]]:
+    """Like ``predict``, and how certain the words are: the mean of each word's greatest marginal. A text
+    of several languages has a low score and certain words."""
+    answers = [(UNKNOWN, 0.0, 0.0)] * len(texts)
     if not model.labels:
         return answers
     for group in _blocks([len(t) if t else 0 for t in texts]):
@@ -305,21 +311,23 @@ def predict(model: Crf, texts: list[str | None]) -> list[tuple[str, float]]:
             continue
         lengths = lengths[full]
         marginal, _, _ = forward_backward(emission, lengths, model.transition, model.start)
-        means = np.add.reduceat(marginal, np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
-        for i, mean in zip(full, means):
+        starts = np.cumsum(lengths) - lengths
+        means = np.add.reduceat(marginal, starts, axis=0) / lengths[:, None]
+        certain = np.add.reduceat(marginal.max(1), starts) / lengths
+        for i, mean, sure in zip(full, means, certain):
             best = int(mean.argmax())
-            answers[group[i]] = (model.labels[best], float(min(1.0, mean[best])))
+            answers[group[i]] = (model.labels[best], float(min(1.0, mean[best])), float(min(1.0, sure)))
     return answers
 
 
 def language_column(spark, model: Crf, text: Column) -> Column:
-    """A struct (lang, score) for a text column. The model has a fixed size and is broadcast."""
+    """A struct (lang, score, certain) for a text column. The model has a fixed size and is broadcast."""
     shared = spark.sparkContext.broadcast(model)
 
     def batch(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(predict(shared.value, texts.tolist()), columns=["lang", "score"])
+        return pd.DataFrame(judge(shared.value, texts.tolist()), columns=["lang", "score", "certain"])
 
-    return F.pandas_udf(batch, "lang string, score double")(text)
+    return F.pandas_udf(batch, "lang string, score double, certain double")(text)
 
 
 def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,7 +337,11 @@ def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
 
 
 def keep_identified(docs: DataFrame, model: Crf, text_col: str = "text", least: float = 0.35) -> DataFrame:
-    """``docs`` without texts that have no letter or no language with a score of at least ``least``."""
+    """``docs`` without texts that have no letter, or whose words have no certain language: the mean of
+    each word's greatest marginal is under ``least``. If nothing could be learned, all texts with a letter stay.
+    """
+    if not model.labels:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
     name = "__language"
     found = docs.withColumn(name, language_column(docs.sparkSession, model, F.col(text_col)))
-    return found.where((F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.score") >= least)).drop(name)
+    return found.where((F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.certain") >= least)).drop(name)
