@@ -185,3 +185,16 @@ def test_embeddings_of_defined_cases(spark):
     assert got == sorted(want, key=repr)
     assert pq_dedup.near_duplicates(frame.where("false")).count() == 0
     assert pq_dedup.near_duplicates(frame.where("vec_id = 4")).count() == 1
+
+
+def test_vectors_of_every_length_are_searched(spark):
+    rows = clusters(4, 700, 0.05)
+    rows += [(1000 + i, v, label) for i, v, label in clusters(5, 600, 0.05, 16)]
+    rows += [(2000 + i, v, label) for i, v, label in clusters(6, 60, 0.05, 8)] + [(3000, [1.0] * 30, 1)]
+    counts = Counter(x for n in (24, 16, 8, 30) for link in brute_force([r for r in rows if len(r[1]) == n]) for x in link)
+    got = {r["vec_id"]: r["n_links"] for r in pq_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert all(n <= counts[i] for i, n in got.items())
+    for low in (0, 1000, 2000):
+        mine = [i for i in got if low <= i < low + 1000]
+        assert sum(got[i] for i in mine) >= 0.9 * sum(counts[i] for i in mine) > 0
+    assert all(got[i] == counts[i] for i in got if i >= 2000)

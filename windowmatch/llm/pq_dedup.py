@@ -1,6 +1,7 @@
 """Near-duplicate embeddings by product quantisation.
 
-Vectors are compared within a label by cosine. Equal vectors are one class before anything is compared.
+Vectors are compared by cosine within a label and number of components; every number of components
+has its own quantiser, or is searched exactly if few vectors have it. Equal vectors are one class before anything is compared.
 A coarse quantiser deals the classes into inverted lists; the residual of a vector to its centroid is
 coded by the nearest codeword in each of ``SUBSPACES`` subspaces, and the norm of what the code misses
 is kept. A vector probes the lists nearest to it. In a list, distances come from table lookups of its
@@ -20,6 +21,7 @@ the smallest one it reaches within the block. No list of pairs is ever made.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,8 @@ SUBSPACES, CODEWORDS = 8, 256
 #: Bound of the training sample, and iterations of k-means.
 SAMPLE, ROUNDS = 20_000, 8
 MOST_LISTS = 4096
+#: Up to so many vectors of one number of components are compared without a quantiser.
+EXACT = 256
 BLOCK = 4096
 
 _ROWS = "rep long, n long, label long, home int, probes array<int>, codes binary, error double, vector array<double>"
@@ -198,13 +202,28 @@ def search_block(model: Quantiser, rows: pd.DataFrame, least: float = LEAST) ->
     return block.rows()
 
 
+def search_exact(rows: pd.DataFrame, least: float = LEAST) -> pd.DataFrame:
+    """Links between all vectors of one label and number of components."""
+    rep, size = rows["rep"].to_numpy(), rows["n"].to_numpy()
+    x = _unit(np.stack(rows["vector"].to_list()))
+    block = _Block(rep)
+    spots = block.place(rep)
+    for q in range(len(x)):
+        found = np.flatnonzero((rep > rep[q]) & (x @ x[q] >= least))
+        if len(found):
+            block.links[spots[q]] += size[found].sum()
+            np.add.at(block.links, spots[found], size[q])
+            block.link(spots[q], spots[found])
+    return block.rows()
+
+
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = LEAST
 ) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Defined cases: rows that cannot be compared (see ``usable``) link with nothing, nor do rows with a
-    NULL id; vectors with another number of components than the longest link with their copies alone;
+    NULL id; vectors with different numbers of components do not link;
     repeated rows are one vector and come back as often as they are given; an empty table gives an
     empty result.
     """
@@ -218,8 +237,15 @@ def near_duplicates(
         F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("n"), F.first("vector").alias("vector")
     )
     classes = Staged(classes, "vector_classes").frame
-    total, longest = classes.agg(F.count("*"), F.max(F.size("vector"))).first()
-    found = _search(classes.where(F.size("vector") == (longest or 0)), total, least) if total else None
+    width = F.size("vector")
+    totals = {r["width"]: r["count"] for r in classes.groupBy(width.alias("width")).count().collect()}
+    large = sorted(w for w, n in totals.items() if n > EXACT)
+    parts = [_search(classes.where(width == w), totals[w], least) for w in large]
+    if len(large) < len(totals):
+        few = classes.where(~width.isin(large)) if large else classes
+        few = few.select("rep", "n", "label", "vector", width.alias("width")).groupBy("label", "width")
+        parts.append(Staged(few.applyInPandas(lambda rows: search_exact(rows, least), _FOUND), "few_links").frame)
+    found = reduce(DataFrame.union, parts) if parts else None
     sizes = classes.select("label", "same", "rep", "n")
     if found is None:
         linked = sizes.withColumn("links", F.lit(0)).withColumn("component_id", F.col("rep"))
