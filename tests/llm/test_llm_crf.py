@@ -155,3 +155,15 @@ def test_pages_of_defined_cases(spark, field):
     assert all(t == "" and n == 0 for i, t, n in got if i in (2, 3))
     assert html_crf.extract(frame.where("false"), field, "html").count() == 0
     assert html_crf.main_text(html_crf.fit(html_crf.layouts([])), "<article><h1>A title</h1><p>Some text here.</p></article>")
+
+
+def test_hidden_elements_end_where_they_end():
+    def texts(page):
+        return [b.text for b in html_crf.parts(page)]
+
+    assert texts('<p>a <svg width="1"/> b</p><p>c</p>') == ["a b", "c"]
+    assert texts("<div>a<svg><path></div><p>b</p>") == ["a", "b"]
+    assert texts("<div>a<noscript>x</div><p>b</p>") == ["a", "b"]
+    assert texts("<p>a<template><p>x<template>y</template>z</p></template> b</p>") == ["a b"]
+    assert texts("<p>a<svg><svg><text>x</text></svg><text>y</text></svg> b</p>") == ["a b"]
+    assert texts("<svg><title>x</title><p>b</p>") == ["b"]

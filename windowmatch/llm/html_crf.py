@@ -29,7 +29,9 @@ from windowmatch.llm.shared import by_hash
 PAGES, LONGEST, LAYOUTS = 200, 200_000, 900
 ROUNDS, RATE, DECAY = 120, 0.3, 1e-5
 
-RAW = "script style noscript template textarea svg iframe title".split()
+RAW = "script style textarea iframe title".split()
+#: Elements without main text that can hold others; they end with their own end tag or an outer one.
+HIDDEN = {"svg", "noscript", "template"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption "
@@ -42,7 +44,7 @@ CLOSES = {
     "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"},
     "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
 }
-CONTAINERS = BLOCK - {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
+CONTAINERS = BLOCK - {"p", "li", "dt", "dd", "tr", "td", "th", "option"} | HIDDEN
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
@@ -91,7 +93,10 @@ def parts(page: str | None) -> list[Part]:
     found: list[Part] = []
     text: list[str] = []
     state = {"linked": 0, "tag": "", "around": ()}
-    links, fresh = 0, True
+    links, fresh, hidden = 0, True, -1
+
+    def outermost() -> int:
+        return next((i for i, (t, _) in enumerate(stack) if t in HIDDEN), -1)
 
     def flush() -> None:
         words = html.unescape("".join(text)).split()
@@ -104,7 +109,7 @@ def parts(page: str | None) -> list[Part]:
         raw, close, name, attributes = token.groups()
         if name is None:
             piece = token[0]
-            if raw or piece.startswith("<") and len(piece) > 1:
+            if raw or hidden >= 0 or piece.startswith("<") and len(piece) > 1:
                 continue
             if fresh:
                 state["tag"] = next((t for t, _ in reversed(stack) if t in BLOCK), "")
@@ -116,9 +121,18 @@ def parts(page: str | None) -> list[Part]:
             continue
         name = name.lower()
         if name == "br":
-            text.append(" ")
+            if hidden < 0:
+                text.append(" ")
             continue
-        if name in BLOCK:
+        if hidden >= 0:
+            inner = [t for t, _ in stack[hidden:]]
+            # HTML inside of svg ends it, as in browsers
+            if name in BLOCK and not close and "svg" in inner and "foreignobject" not in inner:
+                del stack[hidden + inner.index("svg") :]
+                hidden = outermost()
+            elif close and name in BLOCK and name not in inner and any(t == name for t, _ in stack):
+                hidden = -1
+        if name in BLOCK and hidden < 0:
             flush()
             fresh = True
         if close:
@@ -126,8 +140,9 @@ def parts(page: str | None) -> list[Part]:
                 if stack[i][0] == name:
                     del stack[i:]
                     break
-                if name not in BLOCK and stack[i][0] in CONTAINERS:
+                if name not in BLOCK | HIDDEN and stack[i][0] in CONTAINERS:
                     break
+            hidden = outermost()
             links = sum(t == "a" for t, _ in stack)
             continue
         closed = CLOSES.get(name, ())
@@ -143,6 +158,8 @@ def parts(page: str | None) -> list[Part]:
                     _elements.clear()
                 _elements[key] = _element(name, attributes)
             stack.append((name, _elements[key]))
+            if name in HIDDEN and hidden < 0:
+                hidden = len(stack) - 1
         links = sum(t == "a" for t, _ in stack)
     flush()
     return found
@@ -154,7 +171,7 @@ def text_features(part: Part, place: int, total: int) -> list[str]:
     n = len(words)
     size = min(n.bit_length(), 8)
     links = 0 if not part.linked else 1 + min(3, 4 * part.linked // (n + 1))
-    letters = sum(map(str.isalpha, part.text[:2000])) / min(2000, len(part.text))
+    letters = sum(map(str.isalpha, part.text)) / len(part.text)
     return [
         "bias", f"tag:{part.tag}", f"size:{size}", f"links:{links}", f"end:{part.text[-1] in '.!?…:;”»'}",
         f"commas:{min(2, part.text.count(','))}", f"letters:{int(4 * letters)}", f"phrase:{bool(_PHRASES.search(part.text))}",
