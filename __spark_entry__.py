@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from typing import Any
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -15,8 +16,8 @@ import oracle_statements
 from oracle_statements import N, SAMPLES, SEED
 from windowmatch.config import SearchColumns
 from windowmatch.functions import matrix
-from windowmatch.functions.times import parse_time
-from windowmatch.operators import range_join, scan, series, topk, upsert, windows
+from windowmatch.functions.times import micros, parse_time
+from windowmatch.operators import numbering, range_join, scan, series, topk, upsert, windows
 from windowmatch.operators.layout import TILE, lay_out
 from windowmatch.plans import search, similarity, steps
 from windowmatch.sources import bar_files, lines, tables
@@ -152,6 +153,11 @@ def sid_series(spark, sf_dir):
     return numbered.select("sid", F.col("pos").cast("long").alias("pos"), "datetime", *COLS.match)
 
 
+def bars_shuffled(spark, sf_dir):
+    bars = scan.project(bars_of(spark, sf_dir), COLS)
+    return numbering.shuffled(bars, ["sid", micros(bars, "datetime")], SEED)
+
+
 def bars_union(spark, sf_dir):
     return upsert.concat(
         [
@@ -474,6 +480,7 @@ def queries() -> dict[str, Query]:
         "distinct_sids": distinct_sids,
         "sid_list": sid_list,
         "sid_series": sid_series,
+        "bars_shuffled": bars_shuffled,
         "bars_union": bars_union,
         "bars_upsert": bars_upsert,
         "bars_table": bars_table,

@@ -171,6 +171,11 @@ merged AS (
         "sid_series": _with(BARS) + """
           SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY datetime) - 1 AS pos,
                  datetime, open, high, low, close FROM bars""",
+        "bars_shuffled": _with(BARS) + f"""
+          SELECT sid, datetime, open, high, low, close, row_number() OVER (ORDER BY
+                   ('0x' || substr(md5(concat_ws('|', sid, epoch_us(datetime), '{SEED}')), 1, 13))::BIGINT,
+                   sid, datetime) - 1 AS place
+          FROM bars""",
         "bars_union": _with(
             _bars("returned", "l_returnflag = 'R'"), _bars("kept", "l_returnflag <> 'R'")
         ) + "SELECT * FROM returned UNION ALL SELECT * FROM kept",

@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 
 from windowmatch.config import SearchColumns
 from windowmatch.functions.times import micros
+from windowmatch.operators.numbering import HASH_DIGITS, hash_number
 from windowmatch.operators.series import runs, starts
 from windowmatch.staging import stage
 
-# Fixed value: 13 hex digits of a hash are a whole number below 2^52.
-HASH_DIGITS = 13
-
 # Classes of the draws; at most so many counts come to the driver.
 DRAW_CLASSES = 10_000
 
@@ -29,13 +27,7 @@ def all_windows(bars: DataFrame, cols: SearchColumns, n: int) -> DataFrame:
 
 def hash_uniform(rows: DataFrame, cols: SearchColumns, seed: int) -> Column:
     """A number in (0, 1) that depends on the window start and the seed only."""
-    text = F.concat_ws(
-        "|",
-        F.col(cols.sid).cast("string"),
-        micros(rows, cols.begin).cast("string"),
-        F.lit(str(seed)),
-    )
-    whole = F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_DIGITS), 16, 10).cast("long")
+    whole = hash_number([F.col(cols.sid), micros(rows, cols.begin)], seed)
     return (whole + F.lit(0.5)) / F.lit(float(16**HASH_DIGITS))
 
 
