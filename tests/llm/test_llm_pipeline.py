@@ -44,5 +44,5 @@ def test_run_equals_the_stages(spark, stages):
 
 def test_every_operator_has_one_query():
     names = [n for n in registered.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in registered.queries()

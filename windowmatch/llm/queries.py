@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from windowmatch.llm import decontaminate, html_crf, lang_crf, packing, pq_dedup, sanitise, secret_scan, simhash, suffix_tree, token_frames
+from windowmatch.llm import (
+    chat, decontaminate, html_crf, lang_crf, merkle, packing, pq_dedup, resample, sanitise, secret_scan, simhash, sql,
+    suffix_tree, token_frames,
+)
 from windowmatch.llm.shared import fold, table, vocabulary
 
 
@@ -79,6 +82,28 @@ def op10_embeddings(spark, sf_dir):
     return pq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_resampling(spark, sf_dir):
+    """Weight, score and rank of every document, drawn towards the texts of the benchmark."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle(spark, sf_dir):
+    """Proof of every document, checked after a third of them were tampered with."""
+    return merkle.verify_tampering(table(spark, sf_dir, "documents"))
+
+
+def op13_chat(spark, sf_dir):
+    """Every conversation, and one of control strings alone, as read back from its formatted text."""
+    rows = table(spark, sf_dir, "conversations")
+    control = spark.range(2).select(
+        F.lit(sql.CONTROL_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(sql.CONTROL_TEXT).alias("text"),
+    )
+    found = chat.format_threads(rows.select(*control.columns).union(control))
+    back = chat.read_back(F.col("formatted"), F.col("mask")).alias("back")
+    return found.select(F.col("tree").alias("conv_id"), back).select("conv_id", "back.*")
+
+
 def queries():
     return {
         "op1_decontamination": op1_decontamination,
@@ -91,8 +116,12 @@ def queries():
         "op8_simhash": op8_simhash,
         "op9_token_frames": op9_token_frames,
         "op10_embeddings": op10_embeddings,
+        "op11_resampling": op11_resampling,
+        "op12_merkle": op12_merkle,
+        "op13_chat": op13_chat,
     }
 
 
 def oracle_sql():
-    return {}
+    """The other queries need XXH64, tokenizers or trained models, or are too slow in SQL on whole tables."""
+    return {"op11_resampling": sql.RESAMPLE, "op12_merkle": sql.MERKLE, "op13_chat": sql.CHAT}
