@@ -126,6 +126,6 @@ def test_texts_are_shuffled_once(spark):
     table = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
     found = chat.format_threads(table)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+    assert plan.count("Exchange hashpartitioning") == 1
     back = found.select(chat.read_back(F.col("formatted"), F.col("mask")).alias("b")).select("b.*").first()
     assert back["n_turns"] == 2 and back["loss_chars"] == 1
