@@ -140,15 +140,21 @@ def branches(links: DataFrame, most: int | None = 1) -> DataFrame:
     ranked = Staged(ranked.where(F.col("rank") <= most) if most else ranked, "leaves")
     # the only leaf of a tree: all nodes are on its branch, at their depth
     alone = leaves.groupBy("tree").agg(F.count("*").alias("n")).where("n = 1").select(F.col("tree").alias("t"))
+    alone = Staged(alone, "chains")
     same = F.col("tree").eqNullSafe(F.col("t"))
-    whole = ended.join(alone, same, "left_semi").select("tree", F.lit(1).alias("rank"), F.col("depth").alias("place"), "node")
-    found = ranked.frame.join(alone, same, "left_anti").select("tree", "rank", F.col("depth").alias("place"), "node")
-    for k, step in enumerate(steps[:-1]):
-        up = step.frame.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        higher = found.join(up, on).select("tree", "rank", (F.col("place") - 2**k).alias("place"), F.col("up").alias("node"))
-        found = found.unionByName(higher)
-    result = Staged(whole.unionByName(found), "branches")
-    for used in (links, ranked, *steps):
+    whole = ended.join(alone.frame, same, "left_semi").select("tree", F.lit(1).alias("rank"), F.col("depth").alias("place"), "node")
+    several = ranked.frame.join(alone.frame, same, "left_anti")
+    found = Staged(several.select("tree", "rank", F.col("depth").alias("place"), "node"), "found")
+    if found.frame.limit(1).count():
+        for k, step in enumerate(steps[:-1]):
+            up = step.frame.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+            own_place, higher = F.struct("place", "node"), F.struct((F.col("place") - 2**k).alias("place"), F.col("up").alias("node"))
+            both = F.when(F.col("up").isNull(), F.array(own_place)).otherwise(F.array(own_place, higher))
+            wider = found.frame.join(up, on, "left").select("tree", "rank", F.explode(both).alias("on")).select("tree", "rank", "on.*")
+            found, before = Staged(wider, "found"), found
+            before.drop()
+    result = Staged(whole.unionByName(found.frame), "branches")
+    for used in (links, ranked, alone, found, *steps):
         used.drop()
     return result.frame
 
