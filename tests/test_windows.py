@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from windowmatch.config import SearchColumns
 from windowmatch.operators import series, windows
-from windowmatch.operators.layout import TILE, lay_out, split_sids, tile_count
+from windowmatch.operators.layout import REACH, TILE, borders, lay_out, open_layout, split_sids, tile_count
 from windowmatch.plans.search import pattern_search
 from windowmatch.plans.similarity import similarity, similarity_of_all
+from windowmatch.staging import fresh_table
 
 COLS = SearchColumns()
 # Security 1 has more than half of all bars and spans many tiles; 9 is shorter than a window.
@@ -23,9 +24,12 @@ def rows():
     return fx.random_bars(COUNTS)
 
 
-@pytest.fixture(scope="module")
-def bars(spark, rows):
-    return lay_out(spark.createDataFrame(rows, fx.BARS), COLS, tiles=16).cache()
+@pytest.fixture(scope="module", params=["borders", "short borders", "no borders"])
+def bars(spark, rows, request):
+    """Tiles with a border table, with one that long windows reach beyond, and a frame derived from one."""
+    reach = 7 if request.param == "short borders" else REACH
+    tiled = lay_out(spark.createDataFrame(rows, fx.BARS), COLS, tiles=16, reach=reach)
+    return tiled.select("*").cache() if request.param == "no borders" else tiled
 
 
 def keys(frame):
@@ -55,10 +59,40 @@ def test_all_windows_across_tile_borders(bars, rows, n):
 
 def test_windows_need_no_shuffle_inside_tiles(spark, rows):
     bars = lay_out(spark.createDataFrame(rows, fx.BARS), COLS, tiles=16)
-    plan = windows.all_windows(bars, COLS, 5)._jdf.queryExecution().executedPlan().toString()
-    inside = plan[: plan.index("BroadcastHashJoin")]
-    # The only exchange above the border join is the one of the border bars.
-    assert inside.count("Exchange hashpartitioning") == 1
+    for found in (windows.all_windows(bars, COLS, 5), similarity_of_all(bars, [[1.0] * 4, [2.0] * 4], COLS)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Bucketed: true") == plan.count("FileScan") == 2
+    for found in (series.positions(bars, COLS), series.starts(bars, COLS, 5)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan
+
+
+def test_what_the_border_table_knows(spark, bars, rows):
+    known = borders(bars)
+    if known is None:
+        return
+    order = sorted(fx.by_sid(rows).items())
+    after = {(sid, r[2]): (sid, i, len(rs)) for sid, rs in order for i, r in enumerate(rs)}
+    found = known.rows.collect()
+    assert len(found) == bars.select(TILE).distinct().count()
+    tiles = bars.select("sid", TILE).distinct().groupBy("sid").count()
+    split = {r["sid"] for r in tiles.collect() if r["count"] > 1}
+    for r in found:
+        sid, i, _ = after[r["lo"]["sid"], r["lo"]["time"]]
+        assert r["lo_before"] == i and r["lo_total"] == (len(dict(order)[sid]) if sid in split else None)
+        sid, i, total = after[r["hi"]["sid"], r["hi"]["time"]]
+        behind = [b["datetime"] for b in r["after"] or []]
+        assert behind == [b[2] for b in dict(order)[sid][i + 1 : i + 1 + known.reach]]
+
+
+def test_a_kept_layout_is_opened_with_its_borders(spark, rows):
+    name = fresh_table(spark, "kept")
+    written = lay_out(spark.createDataFrame(rows, fx.BARS), COLS, tiles=5, table=name)
+    again = open_layout(spark, name)
+    assert borders(again) and borders(again).reach == borders(written).reach
+    assert borders(again).buckets == borders(written).buckets
+    assert keys(windows.all_windows(again, COLS, 30)) == keys(windows.all_windows(written, COLS, 30))
+    assert borders(again.where("sid = 1")) is None
 
 
 @pytest.mark.parametrize("n", [4, 30])
@@ -207,6 +241,7 @@ def test_several_exchanges_at_one_time(spark, tiles):
                 want[sid, begin] = end
     found = windows.all_windows(bars, COLS, n)
     assert keys(found) == sorted((s, b, e) for (s, b), e in want.items())
+    assert keys(windows.all_windows(bars.select("*"), COLS, n)) == keys(found)
     pattern = [list(r[3:]) for r in fx.by_sid(rows)[2][3 : 3 + n]]
     swept = similarity_of_all(bars, pattern, COLS).collect()
     joined = similarity(bars, found, pattern, COLS).collect()

@@ -8,7 +8,7 @@ are cut by the bytes of their arrays; a window too long for that is a block of i
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +92,14 @@ def _blocks(
     return pa.array(out, mask=~np.isfinite(out))
 
 
+def scorer(
+    pattern: Sequence[Sequence[float]], match: Sequence[str], normalize: str = "mean", passes: int = 2
+) -> Callable[[np.ndarray], pa.Array]:
+    """Similarities of (windows, bars, columns) to ``pattern``; NULL where undefined."""
+    centred, block = _checked(pattern, len(match), normalize, passes)
+    return lambda x: _blocks(x, centred, block, normalize, passes)
+
+
 def score(
     bars: Column,
     pattern: Sequence[Sequence[float]],

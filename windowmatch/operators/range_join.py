@@ -1,6 +1,6 @@
 """Join of windows with the bars they cover: same security, closed time interval.
 
-The join is an equality join on (sid, cell), a cell being a stretch of time. A bar
+The bars of a laid-out table stay in their tiles (``tile_join``). For any other bars the join is an equality join on (sid, cell), a cell being a stretch of time. A bar
 only meets windows near it, and a security with very many bars is spread over its
 cells. Cells are about as wide as most windows; the few much longer windows enter
 once per cell they touch, so they do not make the cells wide, and a bar is repeated
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from windowmatch.config import SearchColumns
 from windowmatch.functions.times import micros
+from windowmatch.operators.tile_join import fits, tile_bars
 from windowmatch.staging import stage
 
 # Spans are counted in classes, each this many times wider than the one before.
@@ -146,9 +147,11 @@ def window_bars(
 
     The matches are found once and staged, with the bars in the tasks that found them: a window may
     cover any number of bars. Only the keys of the matches are looked at again, for the windows
-    without any.
+    without any. In a laid-out table all is done in the tiles, and ``grouped`` makes no difference.
     """
     windows = windows.select(*(c for c in (*cols.window_key, cols.period) if c in windows.columns))
+    if fits(bars, windows, cols):
+        return tile_bars(bars, windows, cols)
     found = stage(matched_bars(bars, windows, cols, grouped), "matches")
     keys = found.select(*cols.window_key).distinct()
     empty = windows.join(keys, [*cols.window_key], "left_anti")

@@ -1,7 +1,8 @@
 """Operators on the ordered bars of a security, over a laid-out table.
 
-Work inside a tile needs no shuffle. What crosses tile borders is brought together
-from the ``n - 1`` bars next to each border only.
+Work inside a tile needs no shuffle. What crosses tile borders is read off the border table of
+the layout, where the tile lies; for runs longer than its reach, or frames without borders, it is brought
+together from the ``n - 1`` bars next to each border only.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from windowmatch.config import SearchColumns
-from windowmatch.operators.layout import TILE, split_sids
+from windowmatch.operators.layout import HALO, TILE, borders, split_sids, with_halo
 
 FIRST, LAST = "_first", "_last"
 
@@ -34,15 +35,16 @@ def _run_columns(
 def with_edges(bars: DataFrame, cols: SearchColumns) -> DataFrame:
     """Flags the first and the last bar of each (sid, time): two only with several exchanges.
 
-    Bars of one security and time are always in one tile.
+    Bars of one security and time are always in one tile. No run starts at a bar from behind the border.
     """
+    own = ~F.col(HALO) if HALO in bars.columns else F.lit(True)
     if cols.exchange not in bars.columns:
-        return bars.select("*", F.lit(True).alias(FIRST), F.lit(True).alias(LAST))
-    in_tile = Window.partitionBy(cols.sid, TILE).orderBy(*cols.time_order(bars))
+        return bars.select("*", own.alias(FIRST), F.lit(True).alias(LAST))
+    in_tile = Window.partitionBy(TILE, cols.sid).orderBy(*cols.time_order(bars))
     time = F.col(cols.time)
     before, after = F.lag(cols.time).over(in_tile), F.lead(cols.time).over(in_tile)
     first, last = ~before.eqNullSafe(time), ~after.eqNullSafe(time)
-    return bars.select("*", first.alias(FIRST), last.alias(LAST))
+    return bars.select("*", (own & first).alias(FIRST), last.alias(LAST))
 
 
 def border_runs(
@@ -87,19 +89,20 @@ def runs(
     """
     if n < 1:
         raise ValueError("a window has at least one bar")
-    in_tile = Window.partitionBy(cols.sid, TILE).orderBy(*cols.time_order(bars))
-    inside = with_edges(bars, cols).select(
+    in_tile = Window.partitionBy(TILE, cols.sid).orderBy(*cols.time_order(bars))
+    wide = with_halo(bars, cols, n)
+    inside = with_edges(bars if wide is None else wide, cols).select(
         *_start(cols), FIRST, *_run_columns(cols, n, in_tile, extra)
     )
     found = inside.where(F.col(FIRST) & F.col(cols.end).isNotNull()).drop(FIRST)
-    if n > 1:
+    if n > 1 and wide is None:
         found = found.unionByName(border_runs(bars, cols, n, extra))
     return found.withColumn(cols.period, F.lit(n))
 
 
 def places(bars: DataFrame, cols: SearchColumns, name: str) -> DataFrame:
     """Number the bars of each (sid, tile) from 1 on; the rows come in that order."""
-    in_tile = Window.partitionBy(cols.sid, TILE).orderBy(*cols.time_order(bars))
+    in_tile = Window.partitionBy(TILE, cols.sid).orderBy(*cols.time_order(bars))
     return bars.withColumn(name, F.row_number().over(in_tile))
 
 
@@ -141,6 +144,11 @@ def split_counts(bars: DataFrame, cols: SearchColumns) -> DataFrame:
 def positions(bars: DataFrame, cols: SearchColumns) -> DataFrame:
     """The ordered sequence of each security: rows numbered from 0 on in ``pos``."""
     numbered = places(bars, cols, "_place")
+    known = borders(bars)
+    if known:
+        before = known.rows.select(TILE, F.col("lo.sid").alias("_lo"), "lo_before")
+        earlier = F.when(F.col(cols.sid) == F.col("_lo"), F.col("lo_before")).otherwise(0)
+        return numbered.join(before, TILE).select(*bars.columns, (earlier + F.col("_place") - 1).alias("pos"))
     before = split_counts(bars, cols).select(cols.sid, TILE, "_n_before")
     return (
         numbered.join(before, [cols.sid, TILE], "left")
@@ -151,11 +159,23 @@ def positions(bars: DataFrame, cols: SearchColumns) -> DataFrame:
 
 def starts(bars: DataFrame, cols: SearchColumns, n: int) -> DataFrame:
     """All windows of ``n`` bars with the length of their series in ``n_bars``."""
-    alone = F.count(F.lit(1))
-    in_tile = {"_n_tile": lambda over: alone.over(Window.partitionBy(cols.sid, TILE))}
+    known = borders(bars)
+
+    def in_tile(over: WindowSpec) -> Column:
+        own = F.when(~F.col(HALO), 1) if known and n <= known.reach else F.lit(1)
+        return F.count(own).over(Window.partitionBy(TILE, cols.sid))
+
+    found = runs(bars, cols, n, {"_n_tile": in_tile})
+    if known:
+        of_tile = known.rows.select(
+            TILE, F.col("lo.sid").alias("_lo"), "lo_total", F.col("hi.sid").alias("_hi"), "hi_total"
+        )
+        sid = F.col(cols.sid)
+        total = F.when(sid == F.col("_lo"), F.col("lo_total")).when(sid == F.col("_hi"), F.col("hi_total"))
+        found = found.join(of_tile, TILE).withColumn("n_bars", F.coalesce(total, F.col("_n_tile")))
+        return found.drop("_n_tile", "_lo", "lo_total", "_hi", "hi_total")
     return (
-        runs(bars, cols, n, in_tile)
-        .join(split_counts(bars, cols), [cols.sid, TILE], "left")
+        found.join(split_counts(bars, cols), [cols.sid, TILE], "left")
         .withColumn("n_bars", F.coalesce(F.col("_n_sid"), F.col("_n_tile")))
         .drop("_n_tile", "_n_before", "_n_sid")
     )

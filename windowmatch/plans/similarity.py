@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from windowmatch.config import SearchColumns
 from windowmatch.functions import kernel
+from windowmatch.operators.layout import with_halo
 from windowmatch.operators.range_join import window_matrices
+from windowmatch.operators.tile_join import fits, tile_scores
 from windowmatch.operators.series import (
     FIRST,
     LAST,
@@ -48,9 +50,14 @@ def similarity(
 
     Every row of ``windows`` comes back, with NULL where the score is undefined.
     ``passes=2`` measures distances between the rows of the distance matrix;
-    ``passes=1`` is the textbook distance correlation. ``grouped`` sends the windows to
-    the bars instead of leaving the join to Spark.
+    ``passes=1`` is the textbook distance correlation. The bars of a laid-out table stay in their tiles, where
+    the windows are scored off them; for other bars ``grouped`` drops the securities without a window
+    before the join.
     """
+    n = len(pattern)
+    if fits(bars, windows, cols, n):
+        scorer = kernel.scorer(pattern, cols.match, normalize, passes)
+        return tile_scores(bars, windows, cols, n, "similarity", scorer)
     filled = window_matrices(bars, windows, cols, len(pattern), grouped)
     scored = score_windows(filled, pattern, cols, normalize, passes)
     return windows.select(*cols.window_key).join(scored, [*cols.window_key], "left")
@@ -66,13 +73,16 @@ def similarity_of_all(
     """Score every window of the pattern's length in a laid-out table.
 
     The windows overlap, so they are read off the ordered bars: nothing is joined, and
-    a bar is not copied once per window. Only windows across a tile border are put
-    together as arrays.
+    a bar is not copied once per window. Only windows across a tile border that reach further than
+    the border table are put together as arrays.
     """
     n = len(pattern)
     options = {"normalize": normalize, "passes": passes}
-    placed = places(with_edges(bars, cols), cols, "_place")
+    wide = with_halo(bars, cols, n)
+    placed = places(with_edges(bars if wide is None else wide, cols), cols, "_place")
     inside = kernel.score_runs(placed, "_place", FIRST, LAST, pattern, cols, **options)
+    if wide is not None:
+        return inside
     across = border_runs(bars, cols, n, {"bars": run_bars(cols, n)})
     return inside.unionByName(score_windows(across, pattern, cols, **options))
 
@@ -84,7 +94,7 @@ def similarity_grouped(
     cols: SearchColumns = SearchColumns(),
     **options,
 ) -> DataFrame:
-    """``similarity`` by the plan that sends the windows to the bars."""
+    """``similarity`` by the plan for windows of few securities."""
     return similarity(bars, windows, pattern, cols, grouped=True, **options)
 
 
