@@ -251,6 +251,10 @@ TIME_FORMATS = (
     ("%Y-%m-%d", "MMMM d, yyyy HH:mm"),
     ("%Y-%m-%d", "yyyyMMdd HHmm"),
     ("%Y-%m-%d", "yyyy.MM.dd"),
+    ("%Y-%j", "yyyy-DDD"),
+    ("%Y-%m-%d", "MMM d HH:mm:ss yyyy"),
+    ("%Y-%m-%d", "yyyyMMddHHmmss"),
+    ("%Y-%m-%d", "yyyy-MM-dd hha"),
 )
 
 

@@ -194,7 +194,7 @@ merged AS (
                  CASE WHEN volume > 30 THEN open END AS pre_close, volume
           FROM bars b JOIN supplier ON s_suppkey = b.sid JOIN nation ON n_nationkey = s_nationkey""",
         "time_parse": "SELECT l_orderkey, l_linenumber, "
-        + ", ".join(f"l_shipdate::TIMESTAMP AS t{i}" for i in range(8)) + " FROM lineitem",
+        + ", ".join(f"l_shipdate::TIMESTAMP AS t{i}" for i in range(12)) + " FROM lineitem",
         **dict.fromkeys(("bars_import", "bars_bulk_load"), _with(BARS) + """
           SELECT b.sid::INTEGER AS sid, n_name AS "exchangeCD", datetime, open, high, low, close,
                  open AS pre_close, volume

@@ -277,6 +277,24 @@ TIMES = [
     ("%Y-%m-%d %H:%M:%S.%f", "2020-01-05 10:00:00.000007", (2020, 1, 5, 10, 0, 0, 7)),
     ("%b %d %Y %I:%M %p", "mar 5 2020 12:30 pm", (2020, 3, 5, 12, 30)),
     ("%Y%j", "2020366", (2020, 12, 31)),
+    ("%Y-%j", "2021-366", None),
+    ("%Y-%j", "2021-365", (2021, 12, 31)),
+    ("%Y-%j", "2021-60", (2021, 3, 1)),
+    ("%Y-%j", "31/12/2020", (2020, 12, 31)),
+    ("%Y-%j", "3/12/2020", (2020, 3, 12)),
+    ("%Y-%m-%d %H:%M:%S", "Sun Jan 5 10:00:00 2020", (2020, 1, 5, 10)),
+    ("%Y-%m-%d %H:%M:%S", "Sun Jan  5 23:59:58 2020", (2020, 1, 5, 23, 59, 58)),
+    ("%Y-%m-%d %H:%M:%S", "2020-01-05 10am", (2020, 1, 5, 10)),
+    ("%Y-%m-%d %H:%M:%S", "2020-01-05 12 pm", (2020, 1, 5, 12)),
+    ("%Y-%m-%d %H:%M:%S", "20200105100000", (2020, 1, 5, 10)),
+    ("%Y-%m-%d %H:%M:%S", "20200105 100001", (2020, 1, 5, 10, 0, 1)),
+    ("%Y-%m-%d %H:%M:%S", "Jan 2020", (2020, 1, 1)),
+    ("%Y-%m-%d %H:%M:%S", "2020-Jan", (2020, 1, 1)),
+    ("%Y-%m-%d %H:%M:%S", "Sunday, 5th January 2020 1:02", (2020, 1, 5, 1, 2)),
+    ("%Y-%m-%d %H:%M:%S", "31/12/2020", None),
+    ("%Y-%m-%d %H:%M:%S", "2020-01-05 10:00:00\n", (2020, 1, 5, 10)),
+    ("%Y-%m-%d", "2020-01-05 25:00", None),
+    ("%Y-%m-%d", "2020-01-05 10", None),
     ("%Y-%m-%dT%H:%M:%S%z", "2020-01-05T10:00:00-0530", (2020, 1, 5, 15, 30)),
     ("%Y-%m-%d", "2020-02-30", None),
     ("%Y-%m-%d", "rubbish", None),
