@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracle_statements
-from oracle_statements import N, SAMPLES, SEED
+from oracle_statements import LONG_N, N, SAMPLES, SEED
 from windowmatch.config import SearchColumns
 from windowmatch.functions import matrix
 from windowmatch.functions.times import micros, parse_time
@@ -130,8 +131,20 @@ def bars_by_sid(spark, sf_dir):
     return scan.project(scan.by_sid(bars_of(spark, sf_dir), COLS, 7), COLS)
 
 
+def stored_bars(spark, sf_dir) -> DataFrame:
+    """The same bars in a bars table, which is split by month."""
+
+    def write() -> str:
+        table = fresh_table(spark, "stored")
+        tables.create_bars_table(spark, table)
+        tables.append_bars(spark, table, _with_exchange(spark, sf_dir, bars_of(spark, sf_dir), F.col("open")), COLS)
+        return table
+
+    return tables.read_bars(spark, _once(spark, (sf_dir, "stored"), write))
+
+
 def bars_time_range(spark, sf_dir):
-    bars = scan.by_time(bars_of(spark, sf_dir), COLS, "1996-01-01", "1997-06-01")
+    bars = scan.by_time(stored_bars(spark, sf_dir), COLS, "1996-01-01", "1997-06-01")
     return scan.project(bars, COLS)
 
 
@@ -305,6 +318,20 @@ def windows_table(spark, sf_dir):
     return spark.table(name)
 
 
+def namespace_windows(spark, sf_dir):
+    """A windows table in a namespace that is dropped with what it holds and created again."""
+    name = f"windowmatch_reset_{uuid.uuid4().hex}"
+    place = fresh_path(spark, name)
+    try:
+        for rows in (windows_of(spark, sf_dir).limit(1), windows_of(spark, sf_dir)):
+            tables.reset_namespace(spark, name, place)
+            tables.create_windows_table(spark, "found")
+            rows.select(*(F.col(f.name).cast(f.dataType) for f in tables.WINDOWS_SCHEMA)).write.insertInto("found")
+    finally:
+        spark.sql("USE default")
+    return spark.table(f"{name}.found")
+
+
 def windows_limit(spark, sf_dir):
     return spark.sql(
         "SELECT * FROM {windows} ORDER BY sid, begintime, endtime LIMIT 500",
@@ -441,6 +468,32 @@ def similarity_all(spark, sf_dir):
     return _scored(similarity.similarity_of_all(bars, _pattern(spark, sf_dir), COLS))
 
 
+def similarity_samples(spark, sf_dir):
+    """Scores of samples that have places, in the order of the places."""
+    bars, samples = bars_of(spark, sf_dir), windows_indexed(spark, sf_dir)
+    found = similarity.similarity_in_order(bars, samples, _pattern(spark, sf_dir), COLS)
+    return found.select("sample_id", r6(F.col("similarity"), "similarity"))
+
+
+def similarity_long_pattern(spark, sf_dir):
+    """Windows of five years, against the first one."""
+    bars = bars_of(spark, sf_dir)
+    found = stage(windows.all_windows(bars, COLS, LONG_N), "long")
+    first = windows.first_window(found, COLS).first()
+    if first is None:
+        return _scored(found.withColumn("similarity", F.lit(None).cast("double")))
+    pattern = search.pattern_matrix(bars, COLS, *(first[c] for c in COLS.window_key))
+    return _scored(similarity.similarity(bars, found, pattern, COLS, passes=1))
+
+
+def similarity_close_only(spark, sf_dir):
+    """Another configuration: windows are compared by their closing prices alone."""
+    cols, bars = COLS.with_match("close"), bars_of(spark, sf_dir)
+    first = windows.first_window(windows_of(spark, sf_dir), cols).first()
+    pattern = search.pattern_matrix(bars, cols, *(first[c] for c in cols.window_key))
+    return _scored(similarity.similarity(bars, windows_of(spark, sf_dir), pattern, cols))
+
+
 def top_hits(spark, sf_dir):
     scored = similarity.similarity_of_all(bars_of(spark, sf_dir), _pattern(spark, sf_dir), COLS)
     hits = topk.top_k(scored, COLS, k=25)
@@ -452,6 +505,13 @@ def pattern_search(spark, sf_dir):
     return hits.select("rank", r6(F.col("similarity"), "similarity"), *COLS.window_key)
 
 
+def pattern_search_every(spark, sf_dir):
+    """The same search over windows that are known to be all windows of the bars."""
+    bars, found = bars_of(spark, sf_dir), windows_of(spark, sf_dir)
+    hits = search.pattern_search(bars, found, COLS, every_window=True)
+    return hits.select("rank", r6(F.col("similarity"), "similarity"), *COLS.window_key)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The ten windows most similar to the first one."""
     return pattern_search(spark, FLAGSHIP_DIR)
@@ -496,6 +556,7 @@ def queries() -> dict[str, Query]:
         "bars_bulk_load": bars_bulk_load,
         "windows_all": windows_all,
         "windows_table": windows_table,
+        "namespace_windows": namespace_windows,
         "windows_limit": windows_limit,
         "windows_indexed": windows_indexed,
         "windows_sample": windows_sample,
@@ -515,8 +576,12 @@ def queries() -> dict[str, Query]:
         "similarity": similarity_joined,
         "similarity_grouped": similarity_grouped,
         "similarity_all": similarity_all,
+        "similarity_samples": similarity_samples,
+        "similarity_long_pattern": similarity_long_pattern,
+        "similarity_close_only": similarity_close_only,
         "topk": top_hits,
         "pattern_search": pattern_search,
+        "pattern_search_every": pattern_search_every,
         **(_llm_queries() if llm else {}),
     }
 

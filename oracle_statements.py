@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 N = 10
+LONG_N = 60
 SAMPLES = 100
 SEED = 42
 PRICES = ("open", "high", "low", "close")
@@ -26,14 +27,18 @@ def _bars(name: str = "bars", where: str = "true", unit: str = "month") -> str:
 
 BARS = _bars()
 
-WINDOWS = f"""windows AS (
+def _windows(n: int = N) -> str:
+    return f"""windows AS (
   SELECT * FROM (
     SELECT sid, datetime AS begintime,
-           lead(datetime, {N - 1}) OVER (PARTITION BY sid ORDER BY datetime) AS endtime,
-           {N}::INTEGER AS period
+           lead(datetime, {n - 1}) OVER (PARTITION BY sid ORDER BY datetime) AS endtime,
+           {n}::INTEGER AS period
     FROM bars) s
   WHERE endtime IS NOT NULL)"""
 
+
+WINDOWS = _windows()
+
 SAMPLE = f"""sample AS (
   SELECT w.* FROM windows w JOIN (SELECT sid, count(*) AS len FROM bars GROUP BY sid) c USING (sid)
   ORDER BY -ln((('0x' || substr(md5(concat_ws('|', w.sid,
@@ -48,19 +53,23 @@ PAIRS = """pairs AS (
     ON b.sid = w.sid AND b.datetime >= w.begintime AND b.datetime <= w.endtime)"""
 
 
-def _scaled(normalize: str) -> str:
+def _scaled(normalize: str, prices: tuple[str, ...] = PRICES) -> str:
     if normalize == "mean":
-        cells = [f"{c} / nullif(avg({c}) OVER (PARTITION BY sid, begintime), 0) AS {c}" for c in PRICES]
+        cells = [f"{c} / nullif(avg({c}) OVER (PARTITION BY sid, begintime), 0) AS {c}" for c in prices]
     else:
-        cells = list(PRICES)
+        cells = list(prices)
     return f"scaled AS (SELECT sid, begintime, endtime, i, {', '.join(cells)} FROM pairs)"
 
 
-DISTANCE1 = f"""distance1 AS (
+def _distance1(prices: tuple[str, ...] = PRICES) -> str:
+    return f"""distance1 AS (
   SELECT a.sid, a.begintime, a.endtime, a.i, b.i AS j,
-         sqrt({' + '.join(f'(a.{c} - b.{c}) * (a.{c} - b.{c})' for c in PRICES)}) AS d
+         sqrt({' + '.join(f'(a.{c} - b.{c}) * (a.{c} - b.{c})' for c in prices)}) AS d
   FROM scaled a JOIN scaled b ON a.sid = b.sid AND a.begintime = b.begintime)"""
 
+
+DISTANCE1 = _distance1()
+
 DISTANCE2 = """distance2 AS (
   SELECT a.sid, a.begintime, a.endtime, a.i, b.i AS j,
          sqrt(sum((a.d - b.d) * (a.d - b.d))) AS d
@@ -80,12 +89,13 @@ def _centred(passes: int) -> str:
 
 FIRST = "first AS (SELECT sid, begintime FROM windows ORDER BY sid, begintime LIMIT 1)"
 
-COVS = f"""pattern AS (SELECT c.i, c.j, c.c FROM centred c JOIN first f USING (sid, begintime)),
-pattern_cov AS (SELECT sqrt(greatest(sum(c * c), 0)) / {N} AS cov_bb FROM pattern),
+def _covs(n: int = N) -> str:
+    return f"""pattern AS (SELECT c.i, c.j, c.c FROM centred c JOIN first f USING (sid, begintime)),
+pattern_cov AS (SELECT sqrt(greatest(sum(c * c), 0)) / {n} AS cov_bb FROM pattern),
 covs AS (
   SELECT c.sid, c.begintime, c.endtime,
-         sqrt(greatest(sum(c.c * p.c), 0)) / {N} AS cov_ab,
-         sqrt(greatest(sum(c.c * c.c), 0)) / {N} AS cov_aa
+         sqrt(greatest(sum(c.c * p.c), 0)) / {n} AS cov_ab,
+         sqrt(greatest(sum(c.c * c.c), 0)) / {n} AS cov_aa
   FROM centred c JOIN pattern p USING (i, j) GROUP BY 1, 2, 3),
 scores AS (
   SELECT sid, begintime, endtime, cov_ab, cov_aa, cov_bb,
@@ -97,13 +107,13 @@ def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def _steps(normalize: str = "mean", passes: int = 2) -> list[str]:
-    distances = [DISTANCE1, DISTANCE2][:passes]
-    return [BARS, WINDOWS, PAIRS, _scaled(normalize), *distances, _centred(passes)]
+def _steps(normalize: str = "mean", passes: int = 2, n: int = N, prices: tuple[str, ...] = PRICES) -> list[str]:
+    distances = [_distance1(prices), DISTANCE2][:passes]
+    return [BARS, _windows(n), PAIRS, _scaled(normalize, prices), *distances, _centred(passes)]
 
 
-def _scores(normalize: str = "mean", passes: int = 2) -> str:
-    return _with(*_steps(normalize, passes), FIRST, COVS)
+def _scores(normalize: str = "mean", passes: int = 2, n: int = N, prices: tuple[str, ...] = PRICES) -> str:
+    return _with(*_steps(normalize, passes, n, prices), FIRST, _covs(n))
 
 
 def _wide(table: str, value: str, prefix: str) -> str:
@@ -128,8 +138,8 @@ def statements() -> dict[str, str]:
         FROM scores WHERE similarity IS NOT NULL AND NOT isnan(similarity) AND {exclude}) t
       WHERE rank <= {k}"""
 
-    def corr(normalize: str = "mean", passes: int = 2) -> str:
-        return _scores(normalize, passes) + (
+    def corr(normalize: str = "mean", passes: int = 2, **options) -> str:
+        return _scores(normalize, passes, **options) + (
             f"SELECT sid, begintime, endtime, {_r6('similarity', 'similarity')} FROM scores"
         )
 
@@ -159,7 +169,9 @@ merged AS (
         ),
         "bars_scan": _with(BARS) + "SELECT sid, datetime, open, high, low, close, volume FROM bars",
         "bars_by_sid": _with(BARS) + "SELECT sid, datetime, open, high, low, close FROM bars WHERE sid = 7",
-        "bars_time_range": _with(BARS) + """SELECT sid, datetime, open, high, low, close FROM bars
+        "bars_time_range": _with(BARS) + """
+          SELECT sid::INTEGER AS sid, n_name AS "exchangeCD", datetime, open, high, low, close
+          FROM bars JOIN supplier ON s_suppkey = sid JOIN nation ON n_nationkey = s_nationkey
           WHERE datetime >= TIMESTAMP '1996-01-01' AND datetime <= TIMESTAMP '1997-06-01'""",
         "bars_semi_sids": _with(BARS, WINDOWS, SAMPLE) + """
           SELECT sid, datetime, open, high, low, close FROM bars
@@ -201,6 +213,8 @@ merged AS (
           FROM bars b JOIN supplier ON s_suppkey = b.sid JOIN nation ON n_nationkey = s_nationkey"""),
         "windows_all": _with(BARS, WINDOWS) + "SELECT sid, begintime, endtime, period FROM windows",
         "windows_table": _with(BARS, WINDOWS) + "SELECT sid, begintime, endtime, period FROM windows",
+        "namespace_windows": _with(BARS, WINDOWS)
+        + "SELECT sid::INTEGER AS sid, begintime, endtime, period FROM windows",
         "windows_limit": _with(BARS, WINDOWS) + """
           SELECT sid, begintime, endtime, period FROM windows ORDER BY sid, begintime, endtime LIMIT 500""",
         "windows_indexed": _with(BARS, WINDOWS) + """
@@ -234,6 +248,14 @@ merged AS (
         "similarity": similarity,
         "similarity_grouped": similarity,
         "similarity_all": similarity,
+        "similarity_samples": _scores() + f"""
+          SELECT row_number() OVER (ORDER BY sid, begintime) - 1 AS sample_id, {_r6('similarity', 'similarity')}
+          FROM scores""",
+        "similarity_long_pattern": corr(passes=1, n=LONG_N),
+        "similarity_close_only": corr(prices=("close",)),
         "topk": hits("true", 25),
-        "pattern_search": hits("(sid, begintime) <> (SELECT (sid, begintime) FROM first)", 10),
+        **dict.fromkeys(
+            ("pattern_search", "pattern_search_every"),
+            hits("(sid, begintime) <> (SELECT (sid, begintime) FROM first)", 10),
+        ),
     }

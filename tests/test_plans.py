@@ -4,6 +4,7 @@ import pytest
 from test_queries import own
 
 import __spark_entry__ as registered
+from windowmatch.operators import range_join, scan
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -22,6 +23,8 @@ def test_filters_and_columns_reach_the_scan(spark):
     text = plan(spark, "bars_time_range")
     assert "GreaterThanOrEqual(datetime,1996-01-01" in text
     assert "LessThanOrEqual(datetime,1997-06-01" in text
+    months = next(line for line in text.splitlines() if line.startswith("PartitionFilters"))
+    assert "bar_month" in months and ">= 199601" in months and "<= 199706" in months
     text = plan(spark, "row_count")
     assert "ReadSchema: struct<>" in text
 
@@ -45,3 +48,16 @@ def test_rows_stay_where_they_are(spark, name):
     assert text.count("Exchange hashpartitioning") <= 2
     if name in ("bars_scan", "bars_by_sid", "line_scan"):
         assert "Exchange" not in text
+
+
+def test_only_the_months_of_the_windows_are_read(spark):
+    """The bars of a pattern, and a join with windows, name the months of their range to the scan."""
+    bars = registered.stored_bars(spark, SF_DIR)
+    found = registered.windows_of(spark, SF_DIR).where("endtime < timestamp_ntz'1997-01-01'")
+    joined = range_join.matched_bars(bars, found, registered.COLS)
+    text = joined._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bar_month" in text and "<= 199612)" in text
+    near = scan.by_sid(scan.by_time(bars, registered.COLS, "1996-01-01", "1996-09-30"), registered.COLS, 3)
+    assert "bar_month" in near._jdf.queryExecution().executedPlan().toString()
+    assert near.columns == bars.columns
+    assert near.count() == bars.where("sid = 3 AND datetime BETWEEN '1996-01-01' AND '1996-09-30'").count()

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from windowmatch.config import SearchColumns
 from windowmatch.functions.times import micros
+from windowmatch.operators.scan import by_time
 from windowmatch.operators.tile_join import fits, tile_bars
 from windowmatch.staging import stage
 
@@ -102,11 +103,7 @@ def _window_cells(windows: DataFrame, cols: SearchColumns, cells: Cells) -> Data
 
 def _bar_cells(bars: DataFrame, cols: SearchColumns, cells: Cells) -> DataFrame:
     """The bars in reach of any window, once for each cell width in use."""
-    kind = bars.schema[cols.time].dataType
-    near = bars.where(
-        F.col(cols.sid).between(*(F.lit(v) for v in cells.sids))
-        & F.col(cols.time).between(*(F.lit(v).cast(kind) for v in cells.times))
-    )
+    near = by_time(bars, cols, *cells.times).where(F.col(cols.sid).between(*(F.lit(v) for v in cells.sids)))
     timed = near.withColumn("_time", micros(near, cols.time))
     widths = [F.lit(width).cast("long") for _, width in cells.widths]
     width = widths[0] if len(widths) == 1 else F.explode(F.array(*widths))
@@ -123,10 +120,11 @@ def matched_bars(
     still too large when it runs. ``grouped`` is the plan for windows of few securities: it drops the
     bars of all others before they are shuffled.
     """
-    order = cols.time_order(bars)
-    bars = bars.select(*dict.fromkeys((cols.sid, *order, *cols.match)))
-    fields = [c for c in bars.columns if c != cols.sid]
     cells = measure(windows, cols)
+    if cells.widths:
+        bars = by_time(bars, cols, *cells.times)
+    bars = bars.select(*dict.fromkeys((cols.sid, *cols.time_order(bars), *cols.match)))
+    fields = [c for c in bars.columns if c != cols.sid]
     if not cells.widths:
         return windows.join(bars, cols.sid).where("false")
     left = _window_cells(windows, cols, cells)

@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from weakref import WeakSet
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windowmatch.config import SearchColumns
 
 
+# The column a bars table is split by: 100 times the year and the month.
+MONTH = "bar_month"
+# Frames as read_bars returns them: the column is behind them, though not among theirs.
+_by_month: WeakSet[DataFrame] = WeakSet()
+
+
+def month_of(time: Column) -> Column:
+    return F.year(time) * 100 + F.month(time)
+
+
+def stored_by_month(bars: DataFrame) -> DataFrame:
+    """Tells that filters on the time of ``bars`` can name the month, too."""
+    _by_month.add(bars)
+    return bars
+
+
 def project(bars: DataFrame, cols: SearchColumns, *extra: str) -> DataFrame:
     """Key and match columns only, so the scan reads nothing else."""
     return bars.select(*dict.fromkeys((*cols.bar_key(bars), *cols.match, *extra)))
@@ -18,9 +36,16 @@ def by_sid(bars: DataFrame, cols: SearchColumns, sid: int) -> DataFrame:
 
 
 def by_time(bars: DataFrame, cols: SearchColumns, begin, end) -> DataFrame:
-    """Bars of a closed time range. Bounds take the type of the time column."""
+    """Bars of a closed time range. Bounds take the type of the time column.
+
+    Of a table split by month, only the months of the range are read.
+    """
     kind = bars.schema[cols.time].dataType
-    return bars.where(F.col(cols.time).between(F.lit(begin).cast(kind), F.lit(end).cast(kind)))
+    bounds = [F.lit(bound).cast(kind) for bound in (begin, end)]
+    found = bars.where(F.col(cols.time).between(*bounds))
+    if bars in _by_month or MONTH in bars.columns:
+        found = found.where(F.col(MONTH).between(*map(month_of, bounds)))
+    return found
 
 
 def of_sampled_sids(bars: DataFrame, windows: DataFrame, cols: SearchColumns) -> DataFrame:

@@ -199,12 +199,12 @@ def tile_bars(bars: DataFrame, windows: DataFrame, cols: SearchColumns) -> DataF
 def tile_scores(
     bars: DataFrame, windows: DataFrame, cols: SearchColumns, n: int, name: str, score: Callable[[np.ndarray], pa.Array]
 ) -> DataFrame:
-    """The key of every window with the score of its bars, NULL for one with another number than ``n``.
+    """Every window with the score of its bars, NULL for one with another number than ``n``.
 
     ``score`` takes (windows, bars, match columns) and gives a value for each window.
     """
-    known, key = borders(bars), list(cols.window_key)
-    routed = route(windows.select(*key), cols, known, overlap=False).repartition(known.buckets, TILE)
+    known, key = borders(bars), list(windows.columns)
+    routed = route(windows, cols, known, overlap=False).repartition(known.buckets, TILE)
     own = with_halo(bars, cols, n).select(cols.sid, TILE, *dict.fromkeys((*cols.time_order(bars), *cols.match)))
     met, order = _met(own, routed, cols)
     names = list(cols.match)

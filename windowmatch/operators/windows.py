@@ -42,8 +42,9 @@ def draw_windows(
     ``-ln(u) / weight`` (Efraimidis and Spirakis 2006).
 
     Draws below a cutoff that a few more than m are expected to pass are written once; should fewer
-    pass, all of them are. A histogram of them shows in which of ``DRAW_CLASSES`` classes the m-th lies:
-    those below it are taken where they are, and only the class itself is put in order.
+    pass, all of them are. One histogram of them tells how many there are, and in which of
+    ``DRAW_CLASSES`` classes the m-th lies: those below it are taken where they are, and only the class
+    itself is put in order.
     """
     found = starts(bars, cols, n)
     weight = F.col("n_bars") / (F.col("n_bars") - (n - 1))
@@ -54,19 +55,20 @@ def draw_windows(
     free = F.greatest(F.col("n") - (n - 1), F.lit(0))
     available = lengths.agg(F.coalesce(F.sum(free), F.lit(0))).first()[0]
     share = (m + CUTOFF_SIGMAS * math.sqrt(m)) / max(available, 1)
-    # Weights are at least 1, so a draw passes at least as often as -ln(u) does.
-    passed = stage(keyed.where(F.col("_draw") <= -math.log1p(-share)) if share < 1 else keyed, "draws")
-    if share < 1 and passed.count() < m:
-        passed = stage(keyed, "draws")
-    top = passed.agg(F.max("_draw")).first()[0]
-    if top is None or passed.count() <= m:
-        return passed.drop("_draw")
-    place = F.floor(F.col("_draw") / F.lit(top) * DRAW_CLASSES)
+    # Weights are at least 1, so a draw passes at least as often as -ln(u) does; the largest -ln(u) is below 37.
+    for cutoff in (-math.log1p(-share), 37.0) if share < 1 else (37.0,):
+        passed = stage(keyed.where(F.col("_draw") <= cutoff) if cutoff < 37 else keyed, "draws")
+        place = F.floor(F.col("_draw") / F.lit(cutoff) * DRAW_CLASSES)
+        classes = sorted(passed.groupBy(place.alias("c")).count().collect())
+        if sum(count for _, count in classes) >= m:
+            break
     below, cut = 0, 0
-    for cut, count in passed.groupBy(place.alias("c")).count().orderBy("c").collect():
+    for cut, count in classes:
         if below + count >= m:
             break
         below += count
+    else:
+        return passed.drop("_draw")
     last = passed.where(place == cut).orderBy("_draw", *cols.window_key).limit(m - below)
     return passed.where(place < cut).unionByName(last).drop("_draw")
 

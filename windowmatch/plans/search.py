@@ -20,7 +20,7 @@ def pattern_matrix(
     """The prices of one window, a row per bar in time order. The one window goes to every task."""
     order = cols.time_order(bars)
     rows = (
-        by_time(by_sid(bars, cols, sid), cols, begin, end)
+        by_sid(by_time(bars, cols, begin, end), cols, sid)
         .select(*dict.fromkeys((*order, *cols.match)))
         .orderBy(*order)
         .collect()

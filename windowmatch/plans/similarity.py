@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +59,7 @@ def similarity(
     n = len(pattern)
     if fits(bars, windows, cols, n):
         scorer = kernel.scorer(pattern, cols.match, normalize, passes)
-        return tile_scores(bars, windows, cols, n, "similarity", scorer)
+        return tile_scores(bars, windows.select(*cols.window_key), cols, n, "similarity", scorer)
     filled = window_matrices(bars, windows, cols, len(pattern), grouped)
     scored = score_windows(filled, pattern, cols, normalize, passes)
     return windows.select(*cols.window_key).join(scored, [*cols.window_key], "left")
@@ -98,6 +100,33 @@ def similarity_grouped(
     return similarity(bars, windows, pattern, cols, grouped=True, **options)
 
 
+def similarity_in_order(
+    bars: DataFrame,
+    samples: DataFrame,
+    pattern: Matrix,
+    cols: SearchColumns = SearchColumns(),
+    place: str = "sample_id",
+    normalize: str = "mean",
+    passes: int = 2,
+) -> DataFrame:
+    """(place, window key, similarity) of every sample, the rows in the order of their places.
+
+    The places go through the join with their windows, and the rows are put in order by ranges of them,
+    so no list of samples ever is in one task or on the driver.
+    """
+    n, key = len(pattern), list(cols.window_key)
+    samples = samples.select(place, *key)
+    if fits(bars, samples, cols, n):
+        scorer = kernel.scorer(pattern, cols.match, normalize, passes)
+        scored = tile_scores(bars, samples, cols, n, "similarity", scorer)
+    else:
+        distinct = samples.select(*key).distinct()
+        found = similarity(bars, distinct, pattern, cols, normalize, passes).withColumnsRenamed({c: f"_{c}" for c in key})
+        same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key))
+        scored = samples.join(found, same, "left").select(*samples.columns, "similarity")
+    return scored.orderBy(place)
+
+
 def similarities(
     bars: DataFrame,
     samples: Sequence[tuple],
@@ -106,7 +135,6 @@ def similarities(
     **options,
 ) -> list[float | None]:
     """Scores of windows the caller lists as (sid, begin, end), in the order of the list."""
-    spark = bars.sparkSession
     sid, time = bars.schema[cols.sid].dataType, bars.schema[cols.time].dataType
     schema = T.StructType(
         [
@@ -116,7 +144,6 @@ def similarities(
             T.StructField("_sample", T.LongType()),
         ]
     )
-    listed = spark.createDataFrame([(*s, i) for i, s in enumerate(samples)], schema)
-    scored = similarity(bars, listed.drop("_sample").distinct(), pattern, cols, **options)
-    placed = listed.join(scored, [*cols.window_key]).orderBy("_sample")
-    return [row["similarity"] for row in placed.select("similarity").collect()]
+    listed = bars.sparkSession.createDataFrame([(*s, i) for i, s in enumerate(samples)], schema)
+    scored = similarity_in_order(bars, listed, pattern, cols, "_sample", **options)
+    return [row["similarity"] for row in scored.select("similarity").collect()]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windowmatch.config import SearchColumns
+from windowmatch.operators.scan import MONTH, month_of, stored_by_month
 from windowmatch.operators.upsert import latest, upsert
 from windowmatch.sources.bar_files import BARS_SCHEMA, SEQ, placed
 from windowmatch.staging import Scratch, exists
@@ -31,8 +32,6 @@ BARS_FILE_ORDER = (
 
 BARS_KEY = ("sid", "datetime", "exchangeCD")
 
-MONTH = "bar_month"
-
 
 def reset_namespace(spark: SparkSession, name: str, location: str | None = None) -> None:
     """Drop a namespace with all its tables, create it again and use it."""
@@ -77,17 +76,20 @@ def bars_folder(spark: SparkSession, path: str) -> str:
 
 
 def read_bars(spark: SparkSession, table: str, begin=None, end=None) -> DataFrame:
-    """The bars of a table; with a closed time range, only the months it touches are read."""
+    """The bars of a table; with a closed time range, only the months it touches are read.
+
+    Filters by ``scan.by_time``, and joins with windows, read only the months of their range anyway.
+    """
     bars = spark.table(table)
     if begin is not None:
         bars = bars.where(F.col(MONTH) >= begin.year * 100 + begin.month)
     if end is not None:
         bars = bars.where(F.col(MONTH) <= end.year * 100 + end.month)
-    return bars.drop(MONTH)
+    return stored_by_month(bars.drop(MONTH))
 
 
 def _with_month(bars: DataFrame, cols: SearchColumns) -> DataFrame:
-    return bars.withColumn(MONTH, F.year(cols.time) * 100 + F.month(cols.time))
+    return bars.withColumn(MONTH, month_of(F.col(cols.time)))
 
 
 def _clustered(bars: DataFrame, cols: SearchColumns) -> DataFrame:
