@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from windowmatch.llm import packing
 from windowmatch.llm.shared import vocabulary
@@ -14,6 +15,18 @@ from windowmatch.llm.tokens import Encoder
 BYTES, WORDS = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
 
 
+@pytest.mark.parametrize("path,spaced", [(BYTES, True), (WORDS, False)])
+def test_ids_are_those_of_the_library_as_it_is(path, spaced):
+    plain = Tokenizer.from_file(path)
+    special = ["<|endoftext|>", "<|startoftext|>", "<|endoftext", "endoftext|>"]
+    texts = [f"{a}{s}{b}" for s in special for a in ("", "a ", "a", "a\n", "  ") for b in ("", " b", "b", "\tb", "!? c")]
+    texts += [" ".join(special), "<|endoftext|><|endoftext|>", "<|EndOfText|> x", cases.LONG, ""]
+    encoder = Encoder(path, spaced)
+    for text in texts:
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == want, text
+
+
 def fill(entries):
     bins, counts = {}, {}
     for e in entries:
