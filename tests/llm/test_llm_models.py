@@ -198,3 +198,11 @@ def test_vectors_of_every_length_are_searched(spark):
         mine = [i for i in got if low <= i < low + 1000]
         assert sum(got[i] for i in mine) >= 0.9 * sum(counts[i] for i in mine) > 0
     assert all(got[i] == counts[i] for i in got if i >= 2000)
+
+
+def test_links_do_not_depend_on_the_lengths_of_vectors(spark):
+    lengths = [1e-200, 1e200, 1.0, 5e-320, 1e-160]
+    rows = [(i, [n, n * 0.05], "a") for i, n in enumerate(lengths)] + [(9, [1e200, 1e200], "a"), (10, [1.0, 0.05], "b")]
+    got = {r["vec_id"]: r for r in pq_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert [got[i]["n_links"] for i in range(5)] == [4] * 5 and got[4]["component_id"] == 0
+    assert got[9]["n_links"] == got[10]["n_links"] == 0

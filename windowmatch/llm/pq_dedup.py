@@ -40,7 +40,7 @@ MOST_LISTS = 4096
 EXACT = 256
 BLOCK = 4096
 
-_ROWS = "rep long, n long, label long, home int, probes array<int>, codes binary, error double, vector array<double>"
+_ROWS = "rep long, n long, label string, home int, probes array<int>, codes binary, error double, vector array<double>"
 _FOUND = "rep long, root long, links long"
 
 
@@ -128,7 +128,9 @@ def assign(model: Quantiser, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.sqrt((vectors**2).sum(1))[:, None]
+    """Vectors of length 1. The greatest component goes first, so that no square over- or underflows."""
+    scaled = vectors / np.abs(vectors).max(1)[:, None]
+    return scaled / np.sqrt((scaled**2).sum(1))[:, None]
 
 
 def usable(vector: str, label: str):
@@ -227,7 +229,7 @@ def near_duplicates(
     repeated rows are one vector and come back as often as they are given; an empty table gives an
     empty result.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), F.col(label_col).cast("long").alias("label"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), F.col(label_col).cast("string").alias("label"))
     rows = rows.withColumn("able", usable("vector", "label") & F.col("vec_id").isNotNull())
     rows = rows.withColumn("vector", F.col("vector").cast("array<double>"))
     same = F.when(F.col("able"), F.struct(F.xxhash64("vector", "label"), F.hash("vector")).cast("string"))
