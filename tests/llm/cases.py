@@ -21,7 +21,7 @@ TEXTS = [
     (10, "Ab​c \x1f \x85 ﬁ İ ẞ 漢字 é \U0001f600", None),
 ]
 
-EXTRA = "score key n count fp row text_key spans value start end label probability word item_id hash __index".split()
+EXTRA = "score key n count fp row text_key spans value start end label probability word item_id hash __index __id __key __spans __fp __language gone_id secret_id leak".split()
 
 SCHEMA = T.StructType(
     [

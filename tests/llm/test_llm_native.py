@@ -236,3 +236,13 @@ def test_short_values_behind_a_credential_word_are_found(spark):
     texts = dict(rows)
     found = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in found} == set(enumerate(values))
+
+
+def test_leaking_rows_go_whatever_their_id(spark):
+    item = "How many apples does the old farmer sell if each of 12 boxes holds 30 apples and 5 are lost today"
+    clean = "A clean text about the weather in the north of the country in the months of spring and summer"
+    docs = cases.documents(spark, [(None, f"{clean} {item}", None), (None, clean, None), (1, item, None), (1, clean, None), (2, None, None)])
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.decontaminate(docs, benchmark)
+    assert kept.columns == cases.SCHEMA.names
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(None, clean), (1, clean), (2, None)], key=repr)

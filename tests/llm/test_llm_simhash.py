@@ -69,6 +69,13 @@ def test_near_duplicates_of_defined_cases(spark):
     assert simhash.near_duplicates(cases.empty(spark)).count() == 0
 
 
+def test_a_unique_text_stays_though_its_id_has_a_duplicate(spark):
+    other = "an entirely different text about ships and the sea and the wind of the north"
+    same = "the cat sat on the mat and the dog ran to the house of the man"
+    kept = simhash.deduplicate(cases.documents(spark, [(1, same, None), (2, same, None), (2, other, None), (2, other, None)]))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, same), (2, other)]
+
+
 def test_one_document_of_each_group_stays(spark):
     kept = simhash.deduplicate(cases.documents(spark))
     assert kept.columns == cases.SCHEMA.names

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windowmatch.llm.shared import Staged
+from windowmatch.llm.shared import Staged, free_name
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -157,7 +157,12 @@ def _inconsistent(matches: DataFrame) -> DataFrame:
     return pairs.join(several, [*along, "value"], "left_semi").select(*along, "place").distinct()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that contain an item. Rows with a NULL id or text stay."""
-    gone = Staged(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__id")).distinct(), "leaks").frame
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text contains an item. Texts are told apart by their XXH64, so ids do
+    not matter: rows without an id are looked at, too, and clean texts stay that share their id with a
+    leaking one. Rows with a NULL text stay."""
+    text, name = F.col(text_col), free_name(docs, "leak")
+    texts = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("key"), text.alias("text"))
+    gone = contaminated(texts, benchmark, "key", "text").select(F.col("doc_id").alias(name)).distinct()
+    gone = Staged(gone, "leaks").frame
+    return docs.join(gone, text.isNotNull() & (F.xxhash64(text) == F.col(name)), "left_anti")

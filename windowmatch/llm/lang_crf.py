@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windowmatch.llm.shared import by_hash
+from windowmatch.llm.shared import by_hash, free_name
 
 #: Bounds of the training sample.
 PER_LANGUAGE = 250
@@ -342,6 +342,6 @@ def keep_identified(docs: DataFrame, model: Crf, text_col: str = "text", least:
     """
     if not model.labels:
         return docs.where(F.col(text_col).rlike(r"\p{L}"))
-    name = "__language"
+    name = free_name(docs, "language_found")
     found = docs.withColumn(name, language_column(docs.sparkSession, model, F.col(text_col)))
     return found.where((F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.certain") >= least)).drop(name)

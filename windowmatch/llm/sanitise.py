@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windowmatch.llm.shared import Staged
+from windowmatch.llm.shared import Staged, free_name
 from windowmatch.llm.spans import KEY, keyed, matches, same_row
 
 CONTEXT = 80
@@ -177,10 +177,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` with base spans generalised to [KIND] and revealing terms removed. Spans of two base kinds
     that overlap are replaced as one, by the first kind. All rows and columns stay; a NULL text stays."""
     spans = Staged(all_spans(docs, id_col, text_col), "spans").frame
-    listed = F.array_sort(F.collect_set(F.struct("start", "end", "place", "kind"))).alias("__spans")
-    by_row = spans.groupBy(*KEY).agg(listed).toDF("__id", "__key", "__spans")
+    listed = F.array_sort(F.collect_set(F.struct("start", "end", "place", "kind")))
+    row_id, row_key, row_spans = (free_name(docs, f"span_{c}") for c in ("id", "key", "list"))
+    by_row = spans.groupBy(*KEY).agg(listed).toDF(row_id, row_key, row_spans)
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.join(by_row, F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left")
+    joined = docs.join(by_row, F.col(id_col).eqNullSafe(F.col(row_id)) & (key == F.col(row_key)), "left")
 
     def step(state: Column, s: Column) -> Column:
         label = F.when(s["kind"] == TERM, F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
@@ -192,5 +193,5 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         )
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
-    rest = F.aggregate("__spans", start, step, lambda s: F.concat(s["text"], F.substring(F.col(text_col), s["at"].cast("int") + 1, F.length(text_col))))
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(rest)).select(*docs.columns)
+    rest = F.aggregate(row_spans, start, step, lambda s: F.concat(s["text"], F.substring(F.col(text_col), s["at"].cast("int") + 1, F.length(text_col))))
+    return joined.withColumn(text_col, F.when(F.col(row_spans).isNull(), F.col(text_col)).otherwise(rest)).select(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windowmatch.llm.shared import Staged, by_hash
+from windowmatch.llm.shared import Staged, by_hash, free_name
 from windowmatch.llm.spans import KEY, keyed, matches
 
 SHORTEST = 16
@@ -238,14 +238,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labell
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every secret replaced by ``REDACTED``; all rows and columns stay."""
     spans = F.reverse(F.array_sort(F.collect_set(F.struct("start", F.length("value").alias("size")))))
-    found = scan(docs, id_col, text_col).groupBy(*KEY).agg(spans.alias("__spans"))
-    found = Staged(found, "secrets").frame.toDF("__id", "__key", "__spans")
+    found = scan(docs, id_col, text_col).groupBy(*KEY).agg(spans.alias("spans"))
+    row_id, row_key, row_spans = (free_name(docs, f"secret_{c}") for c in ("id", "key", "spans"))
+    found = Staged(found, "secrets").frame.toDF(row_id, row_key, row_spans)
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left")
+    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(row_id)) & (key == F.col(row_key)), "left")
     clean = F.aggregate(
-        "__spans",
+        row_spans,
         F.col(text_col),
         lambda text, s: F.overlay(text, F.lit(REDACTED), s["start"].cast("int") + 1, s["size"]),
     )
-    clean = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(clean)
+    clean = F.when(F.col(row_spans).isNull(), F.col(text_col)).otherwise(clean)
     return joined.withColumn(text_col, clean).select(*docs.columns)

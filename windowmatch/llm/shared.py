@@ -38,6 +38,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name near ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; an id that is NULL counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

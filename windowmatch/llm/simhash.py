@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from windowmatch.llm.components import components
-from windowmatch.llm.shared import Staged
+from windowmatch.llm.shared import Staged, free_name
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -103,39 +103,51 @@ def fingerprint_links(fingerprints: DataFrame) -> DataFrame:
     return left.join(right, (left.key == right.key) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, fingerprint ``fp`` (long) and the smallest id of its class.
-
-    Defined cases: a NULL or empty text has fingerprint 0 and links with others of that kind; a NULL
-    id never names a class (a class without any other id has class id NULL); repeated rows stay; an
-    empty table gives an empty result; other columns are not read.
-    """
-    fps = Staged(
-        docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), "fingerprints"
-    ).frame
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of ``docs``: doc_id, key (XXH64 of the text), fp, root (names the class), component_id."""
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), fingerprint_column(text).alias("fp"))
+    fps = Staged(rows, "fingerprints").frame
     # one row per fingerprint from here on
     distinct = Staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct").frame
     roots = components(fingerprint_links(distinct.select("fp"))).frame
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = placed.join(least, "root").select("fp", "component_id")
+    linked = placed.join(least, "root").select("fp", "root", "component_id")
     copies = distinct.where("n > 1").join(roots, F.col("node") == F.col("fp"), "left_anti")
-    classes = linked.union(copies.select("fp", F.col("first").alias("component_id")))
+    classes = linked.union(copies.select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id")))
     return fps.join(classes, "fp", "left").select(
-        "doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+        "doc_id", "key", "fp", F.coalesce("root", "fp").alias("root"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+    )
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, fingerprint ``fp`` (long) and the smallest id of its class.
+
+    Defined cases: a NULL or empty text has fingerprint 0 and links with others of that kind; a NULL
+    id never names a class (a class without any other id has class id NULL); repeated rows stay; an
+    empty table gives an empty result; other columns are not read.
+    """
+    return _classes(docs, id_col, text_col).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the near-duplicates: of each class the document with the smallest id stays.
+    """``docs`` without the near-duplicates: of each class one row stays, that with the smallest id, and of
+    several texts under that id the one with the smallest XXH64.
 
-    Rows without an id stay. Of repeated rows of a document that stays, one stays.
+    A row is known by its id and its text, so a text stays although another one under its id goes. Rows
+    without an id stay.
     """
-    found = Staged(near_duplicates(docs, id_col, text_col), "classes").frame
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
-    repeated = found.where("doc_id = component_id").groupBy("doc_id", "fp").count().where("count > 1").limit(1)
-    if repeated.count():
-        named = kept.where(F.col(id_col).isNotNull()).withColumn("__fp", fingerprint_column(F.col(text_col)))
-        kept = named.dropDuplicates([id_col, "__fp"]).drop("__fp").union(kept.where(F.col(id_col).isNull()))
+    found = Staged(_classes(docs, id_col, text_col).where("doc_id IS NOT NULL"), "classes").frame
+    keepers = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("kept"))
+    rows = found.groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    told = Staged(rows.join(keepers, "root").withColumn("stays", F.struct("doc_id", "key") == F.col("kept")), "told").frame
+    row_id, row_key = free_name(docs, "gone_id"), free_name(docs, "gone_key")
+    gone = told.where("NOT stays").select(F.col("doc_id").alias(row_id), F.col("key").alias(row_key)).distinct()
+    same = (F.col(id_col) == F.col(row_id)) & (F.xxhash64(F.col(text_col)) == F.col(row_key))
+    kept = docs.join(gone, same, "left_anti")
+    if told.where("stays AND n > 1").limit(1).count():
+        named = kept.where(F.col(id_col).isNotNull()).withColumn(row_key, F.xxhash64(F.col(text_col)))
+        kept = named.dropDuplicates([id_col, row_key]).drop(row_key).union(kept.where(F.col(id_col).isNull()))
     return kept
