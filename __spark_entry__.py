@@ -423,12 +423,12 @@ def normalize(spark, sf_dir):
 
 
 def pair_distance(spark, sf_dir):
-    distance = matrix.pair_distance(matrix.scale_by_mean(F.col("x"), WIDTH))
+    distance = matrix.pair_distance(matrix.scale_by_mean(F.col("x"), WIDTH), WIDTH)
     return _matrix_rows(_matrices(spark, sf_dir), distance, [f"d{j}" for j in range(N)])
 
 
 def center_distance(spark, sf_dir):
-    centred = matrix.centred_distances(F.col("x"), WIDTH)
+    centred = matrix.centred_distances(F.col("x"), WIDTH, n=N)
     return _matrix_rows(_matrices(spark, sf_dir), centred, [f"c{j}" for j in range(N)])
 
 

@@ -9,6 +9,8 @@ of the score available by itself; scoring many windows uses the Arrow kernel in
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,15 +67,35 @@ def scale_by_mean(x: Column, width: int) -> Column:
     )
 
 
-def pair_distance(x: Column) -> Column:
-    """Euclidean distance between all rows of ``x``, from the differences themselves."""
+# Differences of rows up to this wide are written out, cell by cell.
+WRITTEN_OUT = 16
+
+
+def pair_distance(x: Column, width: int | None = None) -> Column:
+    """Euclidean distance between all rows of ``x``, from the differences themselves.
+
+    Every pair is measured once: a packed triangle holds the distances of each row to itself and to
+    those below it, and the matrix is read off that. ``width``: the number of columns, if it is known.
+    """
 
     def distance(r: Column, s: Column) -> Column:
+        if width and width <= WRITTEN_OUT:
+            return F.sqrt(reduce(add, ((r[c] - s[c]) * (r[c] - s[c]) for c in range(width))))
         return F.sqrt(_sum(F.zip_with(r, s, lambda u, v: (u - v) * (u - v))))
 
-    return _let(
-        x, lambda m: F.transform(m, lambda r: F.transform(m, lambda s: distance(r, s)))
-    )
+    def triangle(m: Column) -> Column:
+        below = lambda r, i: F.transform(F.slice(m, i + 1, F.size(m)), lambda s: distance(r, s))
+        return F.flatten(F.transform(m, below))
+
+    def cell(packed: Column, i: Column, j: Column, n: Column) -> Column:
+        upper, lower = F.least(i, j), F.greatest(i, j)
+        return F.get(packed, upper * n - F.shiftright(upper * (upper - 1), 1) + lower - upper)
+
+    def whole(m: Column, packed: Column) -> Column:
+        n = F.size(m)
+        return F.transform(m, lambda _r, i: F.transform(m, lambda _s, j: cell(packed, i, j, n)))
+
+    return _let(x, lambda m: _let(triangle(m), lambda packed: whole(m, packed)))
 
 
 def center(d: Column) -> Column:
@@ -94,12 +116,12 @@ def center(d: Column) -> Column:
 
 
 def centred_distances(
-    x: Column, width: int, normalize: str = "mean", passes: int = 2
+    x: Column, width: int, normalize: str = "mean", passes: int = 2, n: int | None = None
 ) -> Column:
-    """All steps from the window matrix to its centred distance matrix."""
+    """All steps from the window matrix to its centred distance matrix; ``n``: the number of bars, if known."""
     d = scale_by_mean(x, width) if normalize == "mean" else x
-    for _ in range(passes):
-        d = pair_distance(d)
+    for columns in (width, n)[:passes]:
+        d = pair_distance(d, columns)
     return center(d)
 
 

@@ -31,12 +31,12 @@ def correlation_steps(
     width = len(cols.match)
     rows = [([[float(v) for v in row] for row in pattern],)]
     given = filled.sparkSession.createDataFrame(rows, "m array<array<double>>")
-    one = given.select(M.centred_distances(F.col("m"), width, normalize, passes).alias("p"))
+    one = given.select(M.centred_distances(F.col("m"), width, normalize, passes, len(pattern)).alias("p"))
     one = one.select(F.struct("p", M.distance_variance(F.col("p")).alias("var")).alias("pattern"))
     same = with_matrix(filled.where(F.size("bars") == len(pattern)), cols)
     centred = same.select(
         *cols.window_key,
-        M.centred_distances(F.col("x"), width, normalize, passes).alias("centred"),
+        M.centred_distances(F.col("x"), width, normalize, passes, len(pattern)).alias("centred"),
     )
     known = centred.withColumn("pattern", one.scalar())
     covs = known.select(
