@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import re
 
 import cases
@@ -246,3 +247,68 @@ def test_leaking_rows_go_whatever_their_id(spark):
     kept = decontaminate.decontaminate(docs, benchmark)
     assert kept.columns == cases.SCHEMA.names
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(None, clean), (1, clean), (2, None)], key=repr)
+
+
+def test_names_behind_line_feeds_and_opening_marks(spark):
+    for mark, end in (("\n", ""), (' "', '"'), (" (", ")")):
+        same = SAME.replace(" Carla", f"{mark}Carla{end}").replace(" Lisbon", f"{mark}Lisbon{end}")
+        assert found_in(spark, same, MIXED) == {0}
+
+
+def test_short_items_are_found_word_for_word(spark):
+    items = ("What is 2 + 2?", "Paris is nice", "Yes", "so it")
+    texts = ("Well, what is 2 + 2? Four.", "They say Paris is nice.", "Paris is big and nice", "yes so it is", "What is 2 + 3?")
+    assert found_in(spark, *texts, items=items) == {0, 1}
+
+
+def plain_shape(text):
+    """The template by a loop over the words, for texts of plain words, numbers and full stops."""
+    out, after_number, before = [], False, "."
+    for raw in text.split():
+        word = raw.strip(".?")
+        inside, before = before[-1].isalnum(), raw
+        if inside and word[0].isupper() and any(c.islower() for c in word):
+            out.append("NAME")
+        elif word.isdigit():
+            out.append("NUMBER")
+        else:
+            out.append("UNIT" if after_number and word.lower() in decontaminate.UNITS else word.lower())
+        after_number = word.isdigit()
+    return out
+
+
+def plain_contains(doc, item):
+    """Whether 0.8 of the item's places that count are found, templates with slots consistent along a shift."""
+    words = lambda t: t.replace(".", "").replace("?", "").lower().split()
+    d, s, di, si = words(doc), plain_shape(doc), words(item), plain_shape(item)
+    marks = {"NAME", "NUMBER", "UNIT"}
+    places = [p for p in range(len(di) - 4) if sum(w not in marks for w in si[p : p + 5]) >= 3] or list(range(len(di) - 4))
+    counted = [p for p in places if sum(w not in marks for w in si[p : p + 5]) >= 3]
+    found = {p for p in places if any(d[a : a + 5] == di[p : p + 5] for a in range(len(d) - 4))}
+    for shift in range(-len(di), len(d)):
+        hits = [p for p in counted if set(si[p : p + 5]) & marks and 0 <= p + shift <= len(d) - 5 and s[p + shift : p + shift + 5] == si[p : p + 5]]
+        stands = {}
+        for p in hits:
+            for k in range(p, p + 5):
+                if si[k] in marks:
+                    stands.setdefault(di[k], set()).add(d[k + shift])
+        found |= {p for p in hits if all(len(stands[di[k]]) == 1 for k in range(p, p + 5) if si[k] in marks)}
+    return bool(places) and len(found) >= 0.8 * len(places)
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(8)
+    names, things = ["Tom", "Anna", "Ben", "Carla"], ["apples", "km", "cows", "hours"]
+
+    def sentence():
+        form = rng.choice(["{n} has {d} {t} in the old house.", "How many {t} does {n} give to {m} after {d} days?", "The {t} of {n} cost {d} euros and {m} pays {e} of them.",
+            "Today {n} and {m} sell {d} {t} near the river for {e} euros."])
+        return form.format(n=rng.choice(names), m=rng.choice(names), d=rng.randint(1, 4), e=rng.randint(1, 4), t=rng.choice(things))
+
+    items = [" ".join(sentence() for _ in range(rng.randint(1, 3))) for _ in range(40)]
+    texts = [" ".join(sentence() for _ in range(rng.randint(1, 5))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    want = {(i, j) for i, doc in enumerate(texts) for j, item in enumerate(items) if plain_contains(doc, item)}
+    assert got == want and len(want) > 50

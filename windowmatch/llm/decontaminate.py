@@ -9,8 +9,8 @@ That finds questions whose numbers or names were exchanged, and not other ones o
 Templates with fewer than ``LEAST_WORDS`` words between the placeholders are not looked up, and their
 places do not count (unless an item has no other ones, which are then looked up as literal words).
 
-A document contains an item if windows of at least 0.8 of the item's places are found in it.
-Items and documents of fewer than five words have no window: they are never found.
+A document contains an item if windows of at least 0.8 of the item's places are found in it. An item of
+three or four words is one window of its own length, found word for word; of fewer words, it is never found.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from windowmatch.llm.shared import Staged, free_name
 WORDS = 5
 SIMILARITY = 0.8
 LEAST_WORDS = 3
+#: Numbers of words of items that are one short window.
+SHORT = (3, 4)
 #: Benchmark windows that may be broadcast (24 bytes each); beyond, the join shuffles.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -44,14 +46,14 @@ def _literal(text: Column) -> Column:
 
 def _template(text: Column) -> Column:
     """``text`` with placeholders; every word stays one word."""
-    names = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;][ \t])\p{Lu}[\p{L}'’-]*\p{Ll}[\p{L}'’-]*", NAME)
+    names = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;]\s[\"'(\[„“«]?)\p{Lu}[\p{L}'’-]*\p{Ll}[\p{L}'’-]*", NAME)
     numbers = F.when(
         names.rlike("[0-9]"), F.regexp_replace(names, r"(?<![\p{L}\p{N}])\p{N}+(?:[.,:/]\p{N}+)*", NUMBER)
     ).otherwise(names)
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     return F.when(
         F.contains(numbers, F.lit(NUMBER)),
-        F.regexp_replace(numbers, rf"(?i)(?<={NUMBER}[ \t]?)(?:{units})(?![\p{{L}}\p{{N}}])", UNIT),
+        F.regexp_replace(numbers, rf"(?i)(?<={NUMBER}[\s(\[]?)(?:{units})(?![\p{{L}}\p{{N}}])", UNIT),
     ).otherwise(numbers)
 
 
@@ -63,12 +65,12 @@ def _forms(rows: DataFrame, text: str) -> DataFrame:
     return split.withColumn("shape", F.when(has, F.split(_literal(marked), " ")))
 
 
-def _hashes(words: str) -> Column:
-    """The hash of the window that begins at each place (the last four places have none)."""
+def _hashes(words: str, width: int = WORDS) -> Column:
+    """The hash of the window that begins at each place; the last ``width - 1`` places have none."""
     w = F.col(words)
-    at = F.sequence(F.lit(0), F.size(w) - WORDS)
-    hashes = F.transform(at, lambda i: F.xxhash64(*(w[i + k] for k in range(WORDS))))
-    return F.when(F.size(w) >= WORDS, hashes).otherwise(F.array().cast("array<bigint>"))
+    at = F.sequence(F.lit(0), F.size(w) - width)
+    hashes = F.transform(at, lambda i: F.xxhash64(*(w[i + k] for k in range(width))))
+    return F.when(F.size(w) >= width, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
 def _fixed(window: Column) -> Column:
@@ -99,12 +101,23 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     nothing = F.lit(None).cast("array<string>")
     literal = each.select(*columns, F.col("h.literal").alias("hash"), nothing.alias("slots"))
     shaped = each.where(F.col("fixed").between(LEAST_WORDS, WORDS - 1))
-    return literal.union(shaped.select(*columns, F.col("h.shaped").alias("hash"), slots.alias("slots")))
+    found = literal.union(shaped.select(*columns, F.col("h.shaped").alias("hash"), slots.alias("slots")))
+    for width in SHORT:
+        short = items.where(F.size("words") == width)
+        one = F.lit(1).alias("places"), F.lit(0).alias("place"), _hashes("words", width)[0].alias("hash"), nothing.alias("slots")
+        found = found.union(short.select("item_id", *one))
+    return found
 
 
-def _document_hashes() -> Column:
+def _literal_hashes(short: list[int]) -> Column:
+    """Hashes of the literal windows, and of those of the ``short`` widths."""
+    return F.concat(_hashes("words"), *(_hashes("words", width) for width in short))
+
+
+def _document_hashes(short: list[int]) -> Column:
     """Hashes of all windows of both forms."""
-    return F.when(F.col("shape").isNull(), _hashes("words")).otherwise(F.concat(_hashes("words"), _hashes("shape")))
+    literal = _literal_hashes(short)
+    return F.when(F.col("shape").isNull(), literal).otherwise(F.concat(literal, _hashes("shape")))
 
 
 def contaminated(
@@ -118,16 +131,19 @@ def contaminated(
     """
     windows = Staged(benchmark_windows(benchmark), "benchmark_windows").frame
     small = windows.count() <= BROADCAST_WINDOWS
+    # short windows of documents are looked up only if there are such items
+    sizes = benchmark.select(F.size(F.split(_literal(F.col("text")), " ")).alias("n")).where(F.col("n").isin(*SHORT))
+    short = sorted(r["n"] for r in sizes.distinct().collect())
     hint = F.broadcast if small else lambda df: df
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     # first pass: documents with any window in common; windows carry nothing but the id
-    keys = _forms(rows, "text").select("doc_id", F.explode(_document_hashes()).alias("hash"))
+    keys = _forms(rows, "text").select("doc_id", F.explode(_document_hashes(short)).alias("hash"))
     touched = keys.join(hint(windows.select("hash").distinct()), "hash", "left_semi").select("doc_id").distinct()
     touched = Staged(touched, "touched").frame
     # second pass over those documents: places, slots and alignment
     some = _forms(rows.join(touched, "doc_id", "left_semi"), "text").withColumn("doc_key", F.xxhash64("text"))
-    literal = some.select("doc_id", "doc_key", F.posexplode(_hashes("words")).alias("at", "hash"))
+    literal = some.select("doc_id", F.explode(_literal_hashes(short)).alias("hash"))
     plain = windows.where(F.col("slots").isNull()).drop("slots")
     by_words = literal.join(hint(plain), "hash").select("doc_id", "item_id", "places", "place")
     shaped = some.where(F.col("shape").isNotNull())
