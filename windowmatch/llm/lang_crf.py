@@ -35,7 +35,7 @@ LEXICON = 1500
 SEQUENCES, SWITCHES = 2000, 4
 ROUNDS, RATE, DECAY = 40, 0.15, 1e-4
 #: Words of one block of forward-backward, and known words kept by a worker.
-BLOCK, KNOWN = 400_000, 300_000
+BLOCK, KNOWN = 400_000, 200_000
 #: Longer words are handled one by one.
 LONG_WORD = 32
 
