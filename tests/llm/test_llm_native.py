@@ -167,6 +167,49 @@ def test_terms_that_give_an_entity_away(spark):
     assert "Zorblax" not in clean[60] and "[EMAIL]" in clean[60] and clean[64] == other[0] and clean[3] == filler[3]
 
 
+def revealed(texts):
+    """Spans of terms by the definition, over all pairs of an entity and a term."""
+    import math
+
+    found = {t: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_](?:[^\W\d_]|['’-])*", t)] for t in set(texts)}
+    terms = {t: {w for _, _, w in found[t] if len(w) >= 3} for t in found}
+    entities = {t: {t[a:b].lower() for k, a, b in base(t) if k == "email"} for t in found}
+    n_term = {w: sum(w in have for have in terms.values()) for have in terms.values() for w in have}
+    n_entity = {c: sum(c in have for have in entities.values()) for have in entities.values() for c in have}
+    gone = {}
+    for c, n in n_entity.items():
+        p = n / len(found)
+        for w in set().union(*(terms[t] for t in found if c in entities[t])):
+            both = sum(c in entities[t] and w in terms[t] for t in found)
+            given = (both + sanitise.PRIOR * p) / (n_term[w] + sanitise.PRIOR)
+            if p < 1 and math.log(given / p) / math.log(1 / p) >= sanitise.THRESHOLD:
+                gone.setdefault(c, set()).add(w)
+    return {
+        t: [(a, b) for a, b, w in found[t] if any(w in gone.get(c, ()) for c in entities[t]) and not any(a < e and b > s for _, s, e in base(t))]
+        for t in found
+    }
+
+
+def test_added_spans_equal_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in "ab cd ef gh ij ann--m o'b é-x".split() for b in "kin lor mus nat ped".split()]
+    names = {f"n{i}@h{i}.org": f"Name{chr(97 + i)}x" for i in range(12)}
+    texts = []
+    for _ in range(150):
+        text = rng.choices(words, k=rng.randint(0, 30))
+        for mail, name in rng.sample(sorted(names.items()), rng.choice([0, 0, 0, 1, 2])):
+            text += [mail, name] if rng.random() < 0.9 else [name]
+        rng.shuffle(text)
+        texts.append(rng.choice([" ", ", ", " -", "\n'"]).join(text))
+    texts += texts[:20] + ["Opens the text, m1@h.org; Ends", "list: " + " ".join(f"q{i}@list.org" for i in range(50)) + " directoryword"]
+    want = revealed(texts)
+    got = sanitise.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "term"] == want[texts[r["doc_id"]]], texts[r["doc_id"]]
+    assert sum(map(len, want.values())) > 50 and len(want[texts[-2]]) >= 2
+
+
 def test_sanitisation_of_defined_cases(spark):
     got = sanitise.find(cases.documents(spark)).collect()
     assert len(got) == len(cases.TEXTS) and not any(r["spans"] for r in got)

@@ -2,15 +2,20 @@
 
 Protected entities are the e-mail, IP, card and phone values found in the texts (the base spans).
 A term reveals an entity as far as it occurs with it more often than by chance. Over all distinct
-texts, with ``t`` a term and ``c`` an entity,
+texts, with ``t`` a term and ``c`` an entity, n(t), n(c) and n(t, c) the texts that hold t, c and both,
+and N all texts, let p(c) = n(c) / N and
 
-    PMI(t; c) = log(N * n(t, c) / (n(t) * n(c)))        IC(c) = log(N / n(c))
+    p(c | t) = (n(t, c) + A p(c)) / (n(t) + A)        disclosure = log(p(c | t) / p(c)) / log(1 / p(c))
 
-n(t, c) counts the texts in which t stands within ``CONTEXT`` characters of c, n(t) and n(c) those that
-hold t or c, and N all texts. The disclosure PMI / IC is 1 if t is never seen without c. Terms with a
-disclosure of at least ``THRESHOLD``, backed by ``SUPPORT`` different texts, give the entity away: in every
-document that holds the entity, their occurrences become spans, besides the base spans. Copies of a
-text count once, so that repetition alone is no evidence.
+A = ``PRIOR`` texts of no information hold back what few texts show: a term of one text alone gives away
+less than one of many texts that all hold the entity, and little in a small corpus. In every document
+that holds an entity, the occurrences of terms with a disclosure of at least ``THRESHOLD`` for it become
+spans, besides the base spans. Copies of a text count once, so that repetition alone is no evidence.
+
+Entities that occur in the same texts have the same disclosures and are one class, so a list of many
+addresses that stand nowhere else is one class. A term is paired with the classes of a text only where it is
+rare enough to reveal them: the number of different remainders of the keys of its texts, which is found by
+one pass over all texts, is a lower bound of n(t). What is left is counted exactly.
 
 ``sanitise`` replaces base spans by their kind (generalised) and removes revealing terms.
 """
@@ -23,11 +28,12 @@ from pyspark.sql import functions as F
 from windowmatch.llm.shared import Staged, free_name
 from windowmatch.llm.spans import KEY, keyed, matches, same_row
 
-CONTEXT = 80
-SUPPORT = 3
+PRIOR = 0.25
 THRESHOLD = 0.9
-#: Candidate terms that may be broadcast; beyond, the join shuffles.
-BROADCAST_TERMS = 500_000
+#: Terms or keys of texts that may be broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
+#: Parts in which the texts of one entity are looked up.
+SALTS = 16
 
 #: The base patterns by kind, in the order of the digest. A run that a match must begin with is only
 #: entered at its start or where the match before ended, so long runs take one pass.
@@ -39,6 +45,8 @@ KINDS = {
 }
 TERM = "term"
 TERMS = r"\p{L}[\p{L}'’-]*+"
+#: What lies between terms.
+BETWEEN = r"[^\p{L}'’-]++['’-]*+|^['’-]++"
 SHORTEST_TERM = 3
 
 
@@ -75,57 +83,74 @@ def _entity(kind: str) -> Column:
 
 
 def base_spans(rows: DataFrame) -> DataFrame:
-    """Base spans of keyed rows: key, kind, place of the kind, start, end, entity, left, right."""
+    """Base spans of keyed rows: key, kind, place of the kind, start, end, entity."""
     found = None
     for place, kind in enumerate(KINDS):
-        some = matches(rows, KINDS[kind], CONTEXT, CONTEXT).where(_valid(kind))
-        some = some.select(
-            *KEY, F.lit(kind).alias("kind"), F.lit(place).alias("place"), "start", "end", _entity(kind).alias("entity"), "left", "right"
-        )
+        some = matches(rows, KINDS[kind]).where(_valid(kind))
+        some = some.select(*KEY, F.lit(kind).alias("kind"), F.lit(place).alias("place"), "start", "end", _entity(kind).alias("entity"))
         found = some if found is None else found.union(some)
     return found
 
 
-def _terms(text: Column) -> Column:
-    """The different terms of a text in lower case."""
-    return F.array_distinct(
-        F.filter(F.regexp_extract_all(F.lower(text), F.lit(TERMS), F.lit(0)), lambda t: F.length(t) >= SHORTEST_TERM)
-    )
+def _few(df: DataFrame) -> DataFrame:
+    """``df`` for a join: broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def revealing_terms(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Pairs (entity, term) with their disclosure, at least ``THRESHOLD``."""
-    around = F.concat_ws(" ", F.regexp_replace("left", r"^\S*", ""), F.regexp_replace("right", r"\S*$", ""))
-    beside = spans.select("entity", "text_key", F.explode(_terms(around)).alias("term"))
-    together = beside.groupBy("entity", "term").agg(F.countDistinct("text_key").alias("n_both"))
-    together = Staged(together.where(F.col("n_both") >= SUPPORT), "together").frame
-    with_entity = spans.groupBy("entity").agg(F.countDistinct("text_key").alias("n_entity"))
-    wanted = together.select("term").distinct()
-    hint = F.broadcast if wanted.count() <= BROADCAST_TERMS else lambda df: df
-    words = rows.select("text_key", F.explode(_words("text")).alias("term"))
-    with_term = words.join(hint(wanted), "term", "left_semi").groupBy("term").agg(F.countDistinct("text_key").alias("n_term"))
-    total = rows.select("text_key").distinct().count()
-    information = F.log(F.lit(float(total)) / F.col("n_entity"))
-    pmi = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    pairs = together.join(with_entity, "entity").join(with_term, "term")
-    pairs = pairs.withColumn("disclosure", F.when(information > 0, F.least(F.lit(1.0), pmi / information)))
-    return pairs.where(F.col("disclosure") >= THRESHOLD).select("entity", "term", "disclosure")
+def _words(rows: DataFrame) -> DataFrame:
+    """text_key and term of every term in the rows, repeats included; splitting is cheaper than extraction."""
+    words = rows.select("text_key", F.explode(F.split("text", BETWEEN)).alias("term"))
+    return words.select("text_key", F.lower("term").alias("term")).where(F.length("term") >= SHORTEST_TERM)
+
 
+def _disclosure(n_both: Column, n_term: Column, n_entity: Column, total: int) -> Column:
+    """The share of an entity's information that a term gives away; NULL if all texts hold the entity."""
+    p = n_entity / F.lit(float(total))
+    given = (n_both + PRIOR * p) / (n_term + F.lit(PRIOR))
+    return F.when(p < 1, F.least(F.lit(1.0), F.log(given / p) / -F.log(p)))
 
-def _words(text: str) -> Column:
-    """The terms of a text, repeats included, by a split that is cheaper than extraction."""
-    return F.split(F.lower(F.col(text)), r"(?:[^\p{L}'’-]|(?<!\p{L})['’-])+")
+
+def entity_classes(spans: DataFrame) -> DataFrame:
+    """text_key, class, n_entity: the classes of entities of every text that holds one. A class is known by
+    the number of its texts and two hashes of their keys."""
+    held = Staged(spans.select("entity", "text_key").distinct(), "held").frame
+    texts = [F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("text_key")).alias("one"), F.bit_xor(F.xxhash64("text_key", F.lit(2))).alias("two")]
+    classes = held.groupBy("entity").agg(*texts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = held.withColumn("salt", F.pmod("text_key", F.lit(SALTS)).cast("int"))
+    joined = salted.join(classes, ["entity", "salt"])
+    return joined.select("text_key", F.struct("n_entity", "one", "two").alias("class"), "n_entity").distinct()
+
+
+def revealing_terms(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """Pairs (text_key, term): the terms to go in every text that holds an entity."""
+    total = rows.select("text_key").distinct().count()
+    classes = Staged(entity_classes(spans), "classes").frame
+    holders = rows.join(_few(classes.select("text_key").distinct()), "text_key", "left_semi")
+    near = Staged(_words(holders).distinct(), "near").frame
+    # remainders of the keys of a term's texts as bits: no more than n(t), and one number a term to shuffle
+    bits = F.bit_or(F.expr("shiftleft(1L, cast(pmod(text_key, 64) as int))"))
+    seen = _words(rows).join(_few(near.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.bit_count(bits).alias("least"))
+    enough = _disclosure(F.col("n_entity"), F.col("least"), F.col("n_entity"), total) >= THRESHOLD
+    most = classes.agg(F.max("n_entity").alias("n_entity"))
+    # the largest class allows the most texts of a term: others need not be joined
+    rare = Staged(seen.join(F.broadcast(most)).where(enough).drop("n_entity"), "rare").frame
+    pairs = near.join(_few(rare), "term").join(classes, "text_key").where(enough)
+    pairs = Staged(pairs.select("text_key", "term", "class", "n_entity", "least"), "pairs").frame
+    both = pairs.groupBy("class", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("least").alias("least"))
+    likely = _disclosure(F.col("n_both"), F.col("least"), F.col("n_entity"), total) >= THRESHOLD
+    both = Staged(both.where(likely).drop("least"), "both").frame
+    with_term = _words(rows).join(_few(both.select("term").distinct()), "term", "left_semi").distinct()
+    with_term = with_term.groupBy("term").agg(F.count("*").alias("n_term"))
+    disclosure = _disclosure(F.col("n_both"), F.col("n_term"), F.col("n_entity"), total)
+    revealing = Staged(both.join(with_term, "term").where(disclosure >= THRESHOLD).select("class", "term"), "revealing").frame
+    return pairs.join(_few(revealing), ["class", "term"], "left_semi").select("text_key", "term").distinct()
 
 
 def term_spans(rows: DataFrame, spans: DataFrame, revealing: DataFrame) -> DataFrame:
-    """Occurrences of revealing terms in the rows that hold their entity, outside base spans."""
-    doomed = spans.join(revealing, "entity").select(*KEY, "term").distinct()
-    doomed = Staged(doomed, "doomed").frame
-    holders = doomed.select(*KEY).distinct()
-    some = rows.join(holders, same_row(rows, holders), "left_semi")
-    words = matches(some, TERMS).withColumn("term", F.lower("value")).where(F.length("value") >= SHORTEST_TERM)
-    same = same_row(words, doomed) & (words.term == doomed.term)
-    found = words.join(doomed, same, "left_semi").select(*KEY, "start", "end")
+    """Occurrences of the revealing terms of each text, outside base spans: key, start, end."""
+    some = rows.join(_few(revealing.select("text_key").distinct()), "text_key", "left_semi").select(*KEY, "text")
+    words = matches(some, TERMS).withColumn("term", F.lower("value"))
+    found = words.join(_few(revealing), ["text_key", "term"], "left_semi").select(*KEY, "start", "end")
     covers = spans.select(*KEY, F.col("start").alias("from"), F.col("end").alias("to"))
     inside = same_row(found, covers) & (F.col("start") < F.col("to")) & (F.col("end") > F.col("from"))
     return found.join(covers, inside, "left_anti")
