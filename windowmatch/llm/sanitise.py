@@ -97,10 +97,10 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _words(rows: DataFrame) -> DataFrame:
+def _words(rows: DataFrame, *also: str) -> DataFrame:
     """text_key and term of every term in the rows, repeats included; splitting is cheaper than extraction."""
-    words = rows.select("text_key", F.explode(F.split("text", BETWEEN)).alias("term"))
-    return words.select("text_key", F.lower("term").alias("term")).where(F.length("term") >= SHORTEST_TERM)
+    words = rows.select("text_key", *also, F.explode(F.split("text", BETWEEN)).alias("term"))
+    return words.select("text_key", *also, F.lower("term").alias("term")).where(F.length("term") >= SHORTEST_TERM)
 
 
 def _disclosure(n_both: Column, n_term: Column, n_entity: Column, total: int) -> Column:
@@ -125,16 +125,17 @@ def revealing_terms(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """Pairs (text_key, term): the terms to go in every text that holds an entity."""
     total = rows.select("text_key").distinct().count()
     classes = Staged(entity_classes(spans), "classes").frame
-    holders = rows.join(_few(classes.select("text_key").distinct()), "text_key", "left_semi")
-    near = Staged(_words(holders).distinct(), "near").frame
+    # the largest class of a text allows the most texts of a term
+    largest = classes.groupBy("text_key").agg(F.max("n_entity").alias("n_entity"))
+    holders = rows.join(_few(largest), "text_key")
+    near = Staged(_words(holders, "n_entity").distinct(), "near").frame
     # remainders of the keys of a term's texts as bits: no more than n(t), and one number a term to shuffle
     bits = F.bit_or(F.expr("shiftleft(1L, cast(pmod(text_key, 64) as int))"))
     seen = _words(rows).join(_few(near.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.bit_count(bits).alias("least"))
+    seen = Staged(seen, "seen").frame
     enough = _disclosure(F.col("n_entity"), F.col("least"), F.col("n_entity"), total) >= THRESHOLD
-    most = classes.agg(F.max("n_entity").alias("n_entity"))
-    # the largest class allows the most texts of a term: others need not be joined
-    rare = Staged(seen.join(F.broadcast(most)).where(enough).drop("n_entity"), "rare").frame
-    pairs = near.join(_few(rare), "term").join(classes, "text_key").where(enough)
+    rare = near.join(_few(seen), "term").where(enough).drop("n_entity")
+    pairs = rare.join(classes, "text_key").where(enough)
     pairs = Staged(pairs.select("text_key", "term", "class", "n_entity", "least"), "pairs").frame
     both = pairs.groupBy("class", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("least").alias("least"))
     likely = _disclosure(F.col("n_both"), F.col("least"), F.col("n_entity"), total) >= THRESHOLD
