@@ -157,6 +157,26 @@ def test_pages_of_defined_cases(spark, field):
     assert html_crf.main_text(html_crf.fit(html_crf.layouts([])), "<article><h1>A title</h1><p>Some text here.</p></article>")
 
 
+def test_unclosed_markup_takes_one_pass():
+    import time
+
+    odd = ["<b><i>x", "<div>x", "<a ", "<a \"'>", "<! ", "<script ", "<b><p>x</p>", "</q <", "<li><b>", '<a href=">', "<svg><p>", "<a x='<"]
+    for text in odd:
+        start = time.perf_counter()
+        html_crf.parts(text * 8000)
+        html_crf.parts(text * 8000 + ">")
+        assert time.perf_counter() - start < 2, text
+
+
+def test_markup_inside_of_attributes():
+    def texts(page):
+        return [b.text for b in html_crf.parts(page)]
+
+    assert texts('<p title="<b>no</b> > no">a</p><p>b') == ["a", "b"]
+    assert texts("<p title='a<\"'>a</p><a \"'>b</a> c < d") == ["a", "b c < d"]
+    assert texts('<p title="no end>a</p><p>b</p>') == ["a", "b"]
+
+
 def test_hidden_elements_end_where_they_end():
     def texts(page):
         return [b.text for b in html_crf.parts(page)]

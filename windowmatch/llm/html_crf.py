@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -46,11 +48,15 @@ CLOSES = {
 }
 CONTAINERS = BLOCK - {"p", "li", "dt", "dd", "tr", "td", "th", "option"} | HIDDEN
 
+#: Tokens of a page. None looks beyond the next "<" in vain, so that unclosed markup costs one pass; a "<"
+#: that begins none of them is looked at by ``_Page.odd``.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>|[^<]+|<",
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})\b[^<>]*>.*?(?:</\1\s*>|\Z)|<[!?][^<>]*>"
+    r"|<(/?)([a-z][a-z0-9:-]*+)((?:[^<>\"']++|\"[^<\"]*+\"|'[^<']*+')*+)>|[^<]+|<",
     re.S | re.I,
 )
+_START = re.compile(rf"<(?:({'|'.join(RAW)})\b|[!?]|(/?)([a-z][a-z0-9:-]*+))", re.I)
+_LIMITS = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PHRASES = re.compile(
@@ -87,16 +93,138 @@ def _element(tag: str, attributes: str) -> frozenset[str]:
 _elements: dict[tuple[str, str], frozenset[str]] = {}
 
 
+class _Page:
+    """The tokens of a page: (piece of text or "", name of a raw element, "/" of an end tag, name, attributes)."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.limits, self.ends = page, page.rfind(">"), None, []
+
+    def __iter__(self):
+        page, at, end = self.page, 0, len(self.page)
+        while at < end:
+            token = _TOKEN.match(page, at)
+            if token[0] == "<" and at < self.last:
+                at, found = self.odd(at)
+                yield found
+                continue
+            raw, close, name, attributes = token.groups()
+            piece = "" if raw or name or token.end() - at > 1 and page[at] == "<" else token[0]
+            yield piece, raw, close, name, attributes
+            at = token.end()
+
+    def odd(self, at: int):
+        """The token at a "<" before the last ">" whose markup holds another "<" or a quote without an end."""
+        page = self.page
+        start = _START.match(page, at)
+        if not start:
+            return at + 1, ("<", None, None, None, None)
+        raw, close, name = start.groups()
+        if not name:
+            end = page.find(">", at) + 1
+            if raw:
+                after = re.compile(rf"</{raw}\s*>", re.I).search(page, end)
+                end = after.end() if after else len(page)
+            return end, ("", raw, None, None, None)
+        end = self.quoted_end(start.end())
+        if end < 0:
+            end = page.find(">", start.end())
+        return end + 1, ("", None, close, name, page[start.end() : end])
+
+    def quoted_end(self, at: int) -> int:
+        """The first ">" from ``at`` on that no quotes hold, or -1. One pass from the end of the page finds it for
+        all places, as there are but three states: outside of quotes, inside of double ones, of single ones."""
+        if self.limits is None:
+            self.limits = [m.start() for m in _LIMITS.finditer(self.page)]
+            outside = double = single = -1
+            for place in reversed(self.limits):
+                sign = self.page[place]
+                if sign == ">":
+                    outside = place
+                elif sign == '"':
+                    outside, double = double, outside
+                else:
+                    outside, single = single, outside
+                self.ends.append(outside)
+            self.ends.reverse()
+        i = bisect_left(self.limits, at)
+        return self.ends[i] if i < len(self.ends) else -1
+
+
+@dataclass
+class _Open:
+    """An open element: its name and features, the nearest block around it, and once asked for all features
+    around its text, as a set and in order."""
+
+    name: str
+    features: frozenset[str]
+    block: str
+    around: tuple[frozenset[str], tuple[str, ...]] | None = None
+
+
+class _Stack:
+    """Open elements with the places of every name, so that no step walks over all of them."""
+
+    def __init__(self):
+        self.open: list[_Open] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.containers: list[int] = []
+
+    def push(self, name: str, features: frozenset[str]) -> None:
+        self.places[name].append(len(self.open))
+        if name in CONTAINERS:
+            self.containers.append(len(self.open))
+        self.open.append(_Open(name, features, name if name in BLOCK else self.block()))
+
+    def cut(self, size: int) -> None:
+        while len(self.open) > size:
+            name = self.open.pop().name
+            self.places[name].pop()
+            if name in CONTAINERS:
+                self.containers.pop()
+
+    def first(self, name: str, start: int = 0) -> int:
+        """The outermost open element of a name from place ``start`` on, or -1."""
+        places = self.places.get(name, ())
+        i = bisect_left(places, start)
+        return places[i] if i < len(places) else -1
+
+    def last(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    def container(self) -> int:
+        return self.containers[-1] if self.containers else -1
+
+    def hidden(self) -> int:
+        """The outermost element without main text, or -1."""
+        return min((i for i in map(self.first, HIDDEN) if i >= 0), default=-1)
+
+    def block(self) -> str:
+        return self.open[-1].block if self.open else ""
+
+    def around(self) -> tuple[str, ...]:
+        """All features of the open elements in order. Elements that add none share those of the one around."""
+        known = len(self.open)
+        while known and self.open[known - 1].around is None:
+            known -= 1
+        have = self.open[known - 1].around if known else (frozenset(), ())
+        for element in self.open[known:]:
+            if not element.features <= have[0]:
+                have = (have[0] | element.features, None)
+            element.around = have
+        if have[1] is None:
+            have = (have[0], tuple(sorted(have[0])))
+            self.open[-1].around = have
+        return have[1]
+
+
 def parts(page: str | None) -> list[Part]:
     """The leaf blocks of a page in order. Unclosed and stray tags are taken as browsers do, roughly."""
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack = _Stack()
     found: list[Part] = []
     text: list[str] = []
     state = {"linked": 0, "tag": "", "around": ()}
-    links, fresh, hidden = 0, True, -1
-
-    def outermost() -> int:
-        return next((i for i, (t, _) in enumerate(stack) if t in HIDDEN), -1)
+    links, fresh, hidden = False, True, -1
 
     def flush() -> None:
         words = html.unescape("".join(text)).split()
@@ -105,15 +233,12 @@ def parts(page: str | None) -> list[Part]:
         text.clear()
         state["linked"] = 0
 
-    for token in _TOKEN.finditer(page or ""):
-        raw, close, name, attributes = token.groups()
+    for piece, raw, close, name, attributes in _Page(page or ""):
         if name is None:
-            piece = token[0]
-            if raw or hidden >= 0 or piece.startswith("<") and len(piece) > 1:
+            if raw or hidden >= 0 or not piece:
                 continue
             if fresh:
-                state["tag"] = next((t for t, _ in reversed(stack) if t in BLOCK), "")
-                state["around"] = tuple(sorted(frozenset().union(*(f for _, f in stack))))
+                state["tag"], state["around"] = stack.block(), stack.around()
             text.append(piece)
             fresh = fresh and piece.isspace()
             if links:
@@ -125,42 +250,37 @@ def parts(page: str | None) -> list[Part]:
                 text.append(" ")
             continue
         if hidden >= 0:
-            inner = [t for t, _ in stack[hidden:]]
+            drawing = stack.first("svg", hidden)
             # HTML inside of svg ends it, as in browsers
-            if name in BLOCK and not close and "svg" in inner and "foreignobject" not in inner:
-                del stack[hidden + inner.index("svg") :]
-                hidden = outermost()
-            elif close and name in BLOCK and name not in inner and any(t == name for t, _ in stack):
+            if name in BLOCK and not close and drawing >= 0 and stack.last("foreignobject") < hidden:
+                stack.cut(drawing)
+                hidden = stack.hidden()
+            elif close and name in BLOCK and 0 <= stack.last(name) < hidden:
                 hidden = -1
         if name in BLOCK and hidden < 0:
             flush()
             fresh = True
         if close:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if name not in BLOCK | HIDDEN and stack[i][0] in CONTAINERS:
-                    break
-            hidden = outermost()
-            links = sum(t == "a" for t, _ in stack)
+            place = stack.last(name)
+            if place >= 0 and (name in BLOCK or name in HIDDEN or place > stack.container()):
+                stack.cut(place)
+            hidden = stack.hidden()
+            links = stack.last("a") >= 0
             continue
-        closed = CLOSES.get(name, ())
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in closed:
-                del stack[i:]
-            elif stack[i][0] in CONTAINERS:
-                break
+        for other in CLOSES.get(name, ()):
+            place = stack.first(other, stack.container() + 1)
+            if place >= 0:
+                stack.cut(place)
         if name not in VOID and not attributes.endswith("/"):
             key = (name, attributes)
             if key not in _elements:
                 if len(_elements) > 50_000:
                     _elements.clear()
                 _elements[key] = _element(name, attributes)
-            stack.append((name, _elements[key]))
+            stack.push(name, _elements[key])
             if name in HIDDEN and hidden < 0:
-                hidden = len(stack) - 1
-        links = sum(t == "a" for t, _ in stack)
+                hidden = len(stack.open) - 1
+        links = stack.last("a") >= 0
     flush()
     return found
 
