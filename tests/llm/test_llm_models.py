@@ -74,12 +74,17 @@ def reference_tree(texts):
     return grams[0], log_p, states
 
 
-def test_scores_equal_the_definition(spark):
+@pytest.mark.parametrize("largest", [suffix_tree.LARGEST, 10, 0])
+def test_scores_equal_the_definition(spark, monkeypatch, largest):
+    """Broadcast, too large at a later level, and too large at once."""
+    monkeypatch.setattr(suffix_tree, "LARGEST", largest)
+    monkeypatch.setattr(suffix_tree, "BLOCK", 2_000)
     texts = corpus()
     counts, log_p, states = reference_tree(texts)
     assert {len(s) for s in states} == {1, 2}
     learned = spark.createDataFrame([(None if t is None else bytearray(t.encode()),) for t in texts], "text binary")
     tree, words_table = suffix_tree.train(learned)
+    assert isinstance(tree, suffix_tree.Tree) == (largest > 10)
     docs = spark.createDataFrame(list(enumerate([*texts, "w3 w24 w5 unknown w7", "Unknown THINGS"])), "doc_id long, text string")
     got = {r["doc_id"]: r for r in suffix_tree.score(docs, tree, words_table.frame).collect()}
     total, size = sum(counts.values()), len(counts)
@@ -104,7 +109,9 @@ def test_held_out_text_gains(spark):
     assert row[0] > row[1] + 0.02 * abs(row[1])
 
 
-def test_scores_of_defined_cases(spark):
+@pytest.mark.parametrize("largest", [suffix_tree.LARGEST, -1])
+def test_scores_of_defined_cases(spark, monkeypatch, largest):
+    monkeypatch.setattr(suffix_tree, "LARGEST", largest)
     docs = cases.documents(spark)
     tree, counts = suffix_tree.train(docs.selectExpr("CAST(text AS BINARY) AS text"))
     got = suffix_tree.score(docs, tree, counts.frame).collect()
