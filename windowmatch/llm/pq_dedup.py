@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by product quantisation.
 
 Vectors are compared by cosine within a label and number of components; every number of components
-has its own quantiser, or is searched exactly if few vectors have it. Equal vectors are one class before anything is compared.
+has its own quantiser; that of a number which few vectors have is fitted and searched within one task. Equal vectors are one class before anything is compared.
 A coarse quantiser deals the classes into inverted lists; the residual of a vector to its centroid is
 coded by the nearest codeword in each of ``SUBSPACES`` subspaces, and the norm of what the code misses
 is kept. A vector probes the lists nearest to it. In a list, distances come from table lookups of its
@@ -20,7 +20,7 @@ the smallest one it reaches within the block. No list of pairs is ever made.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -36,8 +36,8 @@ SUBSPACES, CODEWORDS = 8, 256
 #: Bound of the training sample, and iterations of k-means.
 SAMPLE, ROUNDS = 20_000, 8
 MOST_LISTS = 4096
-#: Up to so many vectors of one number of components are compared without a quantiser.
-EXACT = 256
+#: Up to so many vectors of one number of components are one task instead of jobs of their own.
+FEW = 256
 BLOCK = 4096
 
 _ROWS = "rep long, n long, label string, home int, probes array<int>, codes binary, error double, vector array<double>"
@@ -204,19 +204,18 @@ def search_block(model: Quantiser, rows: pd.DataFrame, least: float = LEAST) ->
     return block.rows()
 
 
-def search_exact(rows: pd.DataFrame, least: float = LEAST) -> pd.DataFrame:
-    """Links between all vectors of one label and number of components."""
-    rep, size = rows["rep"].to_numpy(), rows["n"].to_numpy()
+def search_few(rows: pd.DataFrame, least: float = LEAST) -> pd.DataFrame:
+    """Links between the few vectors of one number of components, by a quantiser of their own. Every list
+    is probed that may hold a neighbour, so none is missed."""
     x = _unit(np.stack(rows["vector"].to_list()))
-    block = _Block(rep)
-    spots = block.place(rep)
-    for q in range(len(x)):
-        found = np.flatnonzero((rep > rep[q]) & (x @ x[q] >= least))
-        if len(found):
-            block.links[spots[q]] += size[found].sum()
-            np.add.at(block.links, spots[found], size[q])
-            block.link(spots[q], spots[found])
-    return block.rows()
+    model = fit(x, len(x), least)
+    model = replace(model, probes=len(model.centroids))
+    home, probes, codes, error = assign(model, x)
+    placed = rows.assign(home=home, probes=probes, codes=[c.tobytes() for c in codes], error=error, vector=list(x))
+    members = placed.assign(list=placed["home"], query=False)
+    queries = placed.assign(list=placed["probes"], query=True).explode("list").astype({"list": "int64"})
+    both = pd.concat([members, queries], ignore_index=True)
+    return pd.concat([search_block(model, block, least) for _, block in both.groupby(["label", "list"])])
 
 
 def near_duplicates(
@@ -241,12 +240,12 @@ def near_duplicates(
     classes = Staged(classes, "vector_classes").frame
     width = F.size("vector")
     totals = {r["width"]: r["count"] for r in classes.groupBy(width.alias("width")).count().collect()}
-    large = sorted(w for w, n in totals.items() if n > EXACT)
+    large = sorted(w for w, n in totals.items() if n > FEW)
     parts = [_search(classes.where(width == w), totals[w], least) for w in large]
     if len(large) < len(totals):
         few = classes.where(~width.isin(large)) if large else classes
-        few = few.select("rep", "n", "label", "vector", width.alias("width")).groupBy("label", "width")
-        parts.append(Staged(few.applyInPandas(lambda rows: search_exact(rows, least), _FOUND), "few_links").frame)
+        few = few.select("rep", "n", "label", "vector", width.alias("width")).groupBy("width")
+        parts.append(Staged(few.applyInPandas(lambda rows: search_few(rows, least), _FOUND), "few_links").frame)
     found = reduce(DataFrame.union, parts) if parts else None
     sizes = classes.select("label", "same", "rep", "n")
     if found is None:
