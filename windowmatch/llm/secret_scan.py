@@ -1,14 +1,14 @@
 """Secret scan: candidate strings judged by a random forest, with DataFrame functions and Spark ML.
 
 Candidates are runs of at least ``SHORTEST`` characters of the alphabets that keys are written in, and
-any value without blanks, however short, that is assigned or quoted behind a word for credentials. A
-forest over their length, characters and transitions between kinds of characters,
+any value without blanks, however short, that is assigned or quoted behind a word for credentials, or is the
+password of a URL. A forest over their length, characters and transitions between kinds of characters,
 coverage by words of the corpus, path signs and neighbouring words removes the false positives.
 
 The forest is trained on labelled findings: rows of candidates with their context and a label.
 ``weak_labels`` makes them from documents, a sample of at most ``LABELLED`` rows: a value assigned to a
-word for credentials or in the format of a known kind of key is a secret; uuids, checksums beside their
-name, Luhn numbers, paths and names made of words of the corpus are none; all else has no label.
+word for credentials, the password of a URL or a known kind of key is a secret; uuids, checksums beside their
+name, Luhn numbers, public keys, paths and names made of words of the corpus are none; all else has no label.
 ``examples`` adds made-up ones of both kinds, so that a table without any labelled finding can be scanned
 too. In a part of the training rows the signs that the labels were made from are hidden (``masked``), so
 that the value itself has to tell. Plain hexadecimal is not masked: bare, a key and a checksum look alike.
@@ -36,7 +36,10 @@ VALUE = (
     rf"(?<=\")(?<={_QUOTED}\")[^\s\"]+|(?<=')(?<={_QUOTED}')[^\s']+|(?<=`)(?<={_QUOTED}`)[^\s`]+"
     rf"|(?<=[:=>\s])(?<={_ASSIGNED})[^\s\"'`:=>][^\s\"'`]*(?<![.,;])"
 )
-CANDIDATE = rf"{VALUE}|(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{{{SHORTEST},}}+(?:={{1,2}}(?![A-Za-z0-9_+/=\"'`-]))?"
+#: What stands before the password of a URL.
+USER = r"[A-Za-z][A-Za-z0-9+.-]{1,16}://[^\s:/@]{0,64}:"
+PASSWORD = rf"(?<=:)(?<={USER})[^\s/@\"'`<>]+(?=@[A-Za-z0-9\[])"
+CANDIDATE = rf"{VALUE}|{PASSWORD}|(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{{{SHORTEST},}}+(?:={{1,2}}(?![A-Za-z0-9_+/=\"'`-]))?"
 IDENTIFIER = r"(?:commit|hash|checksum|digest|sha\d*|md5|uuid|guid|isbn|order|invoice|card|account|phone|tel|version|build|rev)"
 #: Kinds of keys that are known by their form.
 FORMAT = (
@@ -44,6 +47,8 @@ FORMAT = (
     r"|xox[abeoprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{32,}|AIza[A-Za-z0-9_-]{35}"
     r"|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{16,}.*)$"
 )
+#: How the base64 form of public keys of SSH begins.
+PUBLIC = "^AAAA[BCE][0-9A-Za-z]{2,}"
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 #: Share of the training rows, by value, whose context and format are hidden.
 MASKED = 0.5
@@ -55,10 +60,12 @@ REDACTED = "[SECRET]"
 #: Words of made-up names.
 NAMES = "user order status handler config value update message request server build image table index session report".split()
 BROADCAST_RUNS = 500_000
+#: Parts of the rows of one value.
+PARTS = 32
 
 FEATURES = (
     "size digits upper lower hexadecimal kinds transitions distinct longest covered slashes after_slash "
-    "named assigned quoted identified padded formatted symbols syntax"
+    "named assigned quoted identified padded formatted symbols syntax userinfo public"
 ).split()
 
 
@@ -92,13 +99,15 @@ def _share(pattern: str) -> Column:
 
 def described(found: DataFrame, words: DataFrame) -> DataFrame:
     """Candidates with the features of the forest; ``words`` is the dictionary."""
-    distinct = found.select("value").distinct()
-    runs = distinct.select("value", F.explode(_runs()).alias("run"))
-    covered = runs.join(words, "run").groupBy("value").agg(F.sum(F.length("run")).alias("known"))
+    # a frequent value is looked up in some parts, so that no task has all of its rows
+    part = F.pmod(F.xxhash64(*found.columns), F.lit(PARTS)).alias("part")
+    parted = found.select("*", part)
+    runs = parted.select("value", "part").distinct().select("value", "part", F.explode(_runs()).alias("run"))
+    covered = runs.join(words, "run").groupBy("value", "part").agg(F.sum(F.length("run")).alias("known"))
     turns = r"(?<=[0-9])(?=[^0-9])|(?<=[^0-9])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"
     has = lambda column, pattern: F.col(column).rlike(pattern).cast("double")
     kinds = sum((has("value", p) for p in ("[0-9]", "[a-z]", "[A-Z]", "[_+/=-]")), F.lit(0.0))
-    rows = found.join(covered, "value", "left").select(
+    rows = parted.join(covered, ["value", "part"], "left").select(
         *found.columns,
         F.length("value").cast("double").alias("size"),
         _share("[0-9]").alias("digits"),
@@ -123,6 +132,8 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
         has("value", FORMAT).alias("formatted"),
         _share("[^A-Za-z0-9_+/=-]").alias("symbols"),
         _share(r"[()\[\]{}<>]|\.(?=[A-Za-z])").alias("syntax"),
+        has("left", rf"{USER}$").alias("userinfo"),
+        has("value", PUBLIC).alias("public"),
     )
     return rows
 
@@ -133,8 +144,9 @@ def _rule() -> Column:
     number = (F.col("digits") == 1) & F.call_function("luhn_check", F.col("value"))
     checksum = (F.col("hexadecimal") == 1) & (F.col("identified") == 1)
     path = (F.col("slashes") > 0) & (F.col("covered") >= 0.3) & (F.col("named") == 0)
-    other = F.col("value").rlike(UUID) | number | checksum | path | (plain & (F.col("named") == 0)) | (F.col("covered") >= 0.9)
-    secret = (F.col("formatted") == 1) | ((F.col("named") == 1) & (F.col("assigned") == 1) & ~plain)
+    other = F.col("value").rlike(UUID) | (F.col("public") == 1) | number | checksum | path | (plain & (F.col("named") == 0)) | (F.col("covered") >= 0.9)
+    given = ((F.col("named") == 1) & (F.col("assigned") == 1)) | (F.col("userinfo") == 1)
+    secret = (F.col("formatted") == 1) | (given & ~plain & (F.col("public") == 0))
     return F.when(secret & ~number, 1.0).when(other, 0.0)
 
 
@@ -192,6 +204,11 @@ def examples(spark: SparkSession, each: int = 300) -> DataFrame:
         (F.substring(key, 1, 40), 'token = "', 1.0), (F.upper(F.substring(key, 1, 40)), 'TOKEN = "', 1.0),
         (mixed, "secret: ", 1.0), (F.substring(key, 1, 32), "api_key='", 1.0),
         (F.substring(mixed, 1, 24), "password = ", 1.0), (F.substring(digits, 1, 16), "thon to ", 0.0),
+        (F.concat(F.substring(letters, 1, 10)), "see postgres://bob:", 1.0), (F.concat(pick(1), F.substring(digits, 1, 4)), "https://user:", 1.0),
+        (pick(1), "amqp://user:", 0.0), (F.concat(F.lit("${"), F.upper(pick(1)), F.lit("}")), "mysql://root:", 0.0),
+        (F.concat(F.lit("AAAAB3NzaC1yc2E"), mixed, F.substring(mixed, 3, 40)), "ssh-rsa ", 0.0),
+        (F.concat(F.lit("AAAAC3NzaC1lZDI1NTE5"), mixed), "ssh-ed25519 ", 0.0),
+        (F.substring(other, 1, 40), lefts, 0.0), (other, lefts, 0.0),
         (F.substring(digits, 1, 16), "card ", 0.0), (F.substring(other, 1, 40), "commit ", 0.0),
         (F.concat(F.lit("static/images/photo-"), F.substring(digits, 1, 6)), "see /", 0.0),
         (F.concat(F.lit("release_candidate_"), F.substring(digits, 1, 3)), "the ", 0.0),
