@@ -338,3 +338,12 @@ def test_config():
         COLS.with_match()
     with pytest.raises(ValueError):
         COLS.qualified_table
+
+
+def test_times_of_several_columns_are_parsed_once_in_one_pass(spark):
+    rows = spark.createDataFrame([("2020-01-05 10:00:00", "5 January 2020"), ("x", "y")], "a string, b string")
+    times = rows.select(parse_time(F.col("a"), "%Y-%m-%d %H:%M:%S").alias("a"), parse_time(F.col("b"), "%d/%m/%Y").alias("b"))
+    found = times.where("a is not null or b is not null")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and "regexp" not in plan
+    assert [tuple(r) for r in found.collect()] == [(dt.datetime(2020, 1, 5, 10), dt.datetime(2020, 1, 5))]
