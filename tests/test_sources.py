@@ -347,3 +347,14 @@ def test_times_of_several_columns_are_parsed_once_in_one_pass(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [") == 1 and "regexp" not in plan
     assert [tuple(r) for r in found.collect()] == [(dt.datetime(2020, 1, 5, 10), dt.datetime(2020, 1, 5))]
+
+
+def test_lines_of_mixed_files_are_cut_once(spark, tmp_path):
+    (tmp_path / "1.a.csv").write_text("datetime,OPEN,HIGH\n2020-01-05,1,2\n")
+    (tmp_path / "2.a.csv").write_text("HIGH,datetime\n4,2020-01-06\n")
+    raw = bar_files.read_mixed_bar_files(spark, str(tmp_path))
+    plan = raw._jdf.queryExecution().optimizedPlan().toString()
+    # the value and the header of each line; the headers themselves were found before
+    assert plan.count("from_csv") == 2 and "min_by" not in plan
+    rows = raw.select("file_name", "datetime", "OPEN", "HIGH").orderBy("file_name").collect()
+    assert [tuple(r) for r in rows] == [("1.a.csv", "2020-01-05", "1", "2"), ("2.a.csv", "2020-01-06", None, "4")]

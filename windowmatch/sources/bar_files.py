@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windowmatch.functions.times import parse_time
+from windowmatch.staging import stage
 
 # Fixed value: the format of the vendor files.
 DEFAULT_TIME_FORMAT = "%Y-%m-%d %H:%M:%S"
@@ -100,9 +101,9 @@ def read_mixed_bar_files(
     ``nested`` reads the files of all folders below ``path`` too.
 
     The first line of a file that is not blank is its header, and files are told apart by their whole
-    path. All files are read in one pass: every line is cut into as many cells as the widest header
-    has, and the cells are looked up by the header of their own file. A name that a header lacks is
-    NULL, so the rows of a file without ``time_column`` are rejected when they are parsed.
+    path. The headers are found in one pass and staged; in a second one every line is cut into as many cells
+    as the widest header has, and the cells are looked up by the header of their own file. A name that a header
+    lacks is NULL, so the rows of a file without ``time_column`` are rejected when they are parsed.
     """
     lines = (
         spark.read.option("pathGlobFilter", "*.csv")
@@ -111,13 +112,14 @@ def read_mixed_bar_files(
         .select("value", "_metadata.file_path", "_metadata.file_name", *_place())
         .where(F.trim("value") != "")
     )
-    first = lines.groupBy("file_path").agg(F.min_by("value", F.struct(*PLACE)).alias("header"))
+    first = stage(lines.groupBy("file_path").agg(F.min_by("value", F.struct(*PLACE)).alias("header")), "headers")
     width = first.agg(F.max(F.size(F.split("header", f"\\Q{sep}\\E")))).first()[0]
     schema = ", ".join(f"_{i} STRING" for i in range(max(width or 1, 1)))
 
     def cells(line: str) -> Column:
-        parsed = F.from_csv(line, schema, {"sep": sep})
-        return F.array(*(parsed[f"_{i}"] for i in range(max(width or 1, 1))))
+        # inside a function of an array a line is cut once, not once a cell
+        cut = F.array(F.from_csv(line, schema, {"sep": sep}))
+        return F.transform(cut, lambda c: F.array(*(c[f"_{i}"] for i in range(max(width or 1, 1)))))[0]
 
     names = F.filter(cells("header"), lambda name: name.isNotNull())
     headers = first.select("file_path", "header", F.array_distinct(names).alias("names"))
