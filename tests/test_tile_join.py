@@ -126,3 +126,13 @@ def test_spans_by_binary_search():
     upto = tile_join._before(sids, times, sid, time, "right")
     assert before.tolist() == [sum(p < (s, t) for p in pairs) for s, t in zip(sid, time)]
     assert upto.tolist() == [sum(p <= (s, t) for p in pairs) for s, t in zip(sid, time)]
+
+
+def test_matrices_equal_brute_force(spark, bars, rows):
+    wanted = odd_windows(rows) + [(*w, 6) for w in fx.windows_of(rows, 6)]
+    found = range_join.window_matrices(bars, spark.createDataFrame(wanted, WINDOWS), COLS, 6)
+    assert "_cell" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {tuple(r)[:3]: [tuple(b) for b in r["bars"]] for r in found.collect()}
+    want = {w[:3]: [(r[2], r[1], *r[3:]) for r in inside(rows, *w[:3])] for w in wanted}
+    assert got == {key: covered for key, covered in want.items() if len(covered) == 6}
+

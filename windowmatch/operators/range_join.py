@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from windowmatch.config import SearchColumns
 from windowmatch.functions.times import micros
 from windowmatch.operators.scan import by_time
-from windowmatch.operators.tile_join import fits, tile_bars
+from windowmatch.operators.tile_join import fits, tile_bars, tile_matrices
 from windowmatch.staging import stage
 
 # Spans are counted in classes, each this many times wider than the one before.
@@ -163,10 +163,13 @@ def window_matrices(
 
     No more than ``n + 1`` bars per window leave the task that found them: that many
     already show that a window has too many, so a window over a huge stretch of bars
-    costs no more than any other.
+    costs no more than any other. In a laid-out table the arrays are read off the tiles, no bar leaves its
+    own, and ``grouped`` makes no difference.
     """
     order = cols.time_order(bars)
     keys = windows.select(*cols.window_key).distinct()
+    if fits(bars, keys, cols, n):
+        return tile_matrices(bars, keys, cols, n)
     pairs = matched_bars(bars, keys, cols, grouped)
     by_time = Window.partitionBy(*cols.window_key).orderBy(*order)
     entry = F.struct(*(F.col(c) for c in (*order, *cols.match)))

@@ -4,9 +4,9 @@ The border table says which bars a tile holds, so each window is sent to its til
 a tile the bars are an index: sorted by security and time, they are read once, and the windows, which
 follow in Arrow batches, find their first and last bar by binary search.
 
-Two things are done with a match. ``tile_bars`` gives every bar: a window goes to all tiles it overlaps, and
-what it covers of one is found there. ``tile_scores`` scores the bars of whole windows: a window goes to
-the tile with its first bar alone, which also knows the bars behind its border.
+Three things are done with a match. ``tile_bars`` gives every bar: a window goes to all tiles it overlaps, and
+what it covers of one is found there. ``tile_scores`` scores the bars of whole windows, ``tile_matrices`` lists
+them: a window goes to the tile with its first bar alone, which also knows the bars behind its border.
 
 A task holds the bars of one tile; windows pass by in batches, however many they are.
 """
@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from windowmatch.config import SearchColumns
 from windowmatch.functions.times import micros
 from windowmatch.operators.layout import TILE, Borders, beside, borders, with_halo
+from windowmatch.operators.scan import by_time
 
 # Executors get these functions with the task and need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -151,6 +152,7 @@ def _per_tile(
             if index is None:
                 # bars come first: they are complete now
                 bars = pa.Table.from_batches(kept, batch.schema).combine_chunks()
+                kept.clear()
                 index = Ranks(bars[sid].combine_chunks(), bars[FROM].to_numpy())
             begin, end = _numbers(windows.column(FROM)), _numbers(windows.column(TO))
             first, count = index.spans(windows.column(sid), begin, end)
@@ -214,9 +216,42 @@ def tile_scores(
 
     def matched(bars: pa.Table, windows: pa.RecordBatch, first: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
         whole = count == n
-        prices = np.stack([pc.cast(bars[c], pa.float64()).to_numpy(zero_copy_only=False) for c in names], axis=-1)
-        found = score(prices[first[whole][:, None] + np.arange(n)])
+        # windows come in order: the prices of a batch are a stretch of those of the tile
+        begin = first[whole] if whole.any() else np.zeros(0, np.int64)
+        low, stop = (int(begin.min()), int(begin.max()) + n) if len(begin) else (0, 0)
+        near = bars.slice(low, stop - low)
+        prices = np.stack([pc.cast(near[c], pa.float64()).to_numpy(zero_copy_only=False) for c in names], axis=-1)
+        found = score(prices[(begin - low)[:, None] + np.arange(n)])
         scores = pc.replace_with_mask(pa.nulls(len(whole), pa.float64()), pa.array(whole), found)
         yield pa.RecordBatch.from_arrays([*(windows.column(c) for c in key), scores], names=[*key, name])
 
     return _per_tile(met, order, cols, known.buckets, matched, schema)
+
+
+def tile_matrices(bars: DataFrame, windows: DataFrame, cols: SearchColumns, n: int) -> DataFrame:
+    """The bars of each window with exactly ``n`` bars, as one array in time order; other windows have no row.
+
+    The range of all windows reaches the scan of the bars.
+    """
+    known, key = borders(bars), list(windows.columns)
+    fields = list(dict.fromkeys((*cols.time_order(bars), *cols.match)))
+    reach = windows.agg(F.min(cols.begin), F.max(cols.end)).first()
+    own = with_halo(bars, cols, n).select(cols.sid, TILE, *fields)
+    if None not in reach:
+        own = by_time(own, cols, *reach)
+    routed = route(windows, cols, known, overlap=False).repartition(known.buckets, TILE)
+    met, order = _met(own, routed, cols)
+    # bars of one time are put in the order of their prices
+    order += [c for c in fields if c not in order]
+    listed = T.ArrayType(T.StructType([bars.schema[f] for f in fields]))
+    schema = T.StructType([*(T.StructField(c, windows.schema[c].dataType) for c in key), T.StructField("bars", listed)])
+
+    def matched(bars: pa.Table, windows: pa.RecordBatch, first: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        whole = count == n
+        place = pa.array((first[whole][:, None] + np.arange(n)).ravel())
+        cells = pa.StructArray.from_arrays([bars[f].combine_chunks().take(place) for f in fields], names=fields)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(cells) + 1, n, dtype=np.int32)), cells)
+        found = windows.filter(pa.array(whole))
+        yield pa.RecordBatch.from_arrays([*(found.column(c) for c in key), lists], names=[*key, "bars"])
+
+    return _per_tile(met, order, cols, known.buckets, matched, schema)
