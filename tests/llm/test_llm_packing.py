@@ -3,9 +3,11 @@ import zlib
 
 import cases
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from windowmatch.llm import packing
@@ -99,3 +101,17 @@ def test_packed_documents(spark):
             at += length
         assert at <= 512
     assert packing.pack(cases.empty(spark), BYTES).count() == 0
+
+
+def test_a_worker_forgets_its_pieces_when_another_operator_begins(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(64)], "doc_id long, text string").repartition(8)
+    assert packing.pieces(docs, BYTES).count() == 64
+
+    @F.pandas_udf("long")
+    def kept(ids: pd.Series) -> pd.Series:
+        import gc
+
+        found = [o for o in gc.get_objects() if type(o).__name__ == "Encoder" and type(o).__module__ == "windowmatch.llm.tokens"]
+        return ids * 0 + len(found)
+
+    assert spark.range(0, 64, 1, 8).agg(F.max(kept("id"))).first()[0] == 0

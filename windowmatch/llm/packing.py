@@ -172,9 +172,10 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     """
 
     rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.col(id_col).alias("doc_id"))
+    shared = encoder(docs.sparkSession, vocabulary, spaced=True)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary, spaced=True).encode, np.array([END], "<u4").tobytes()
+        encode, end = shared.value.encode, np.array([END], "<u4").tobytes()
         for batch in batches:
             owners, made = [], []
             for row, text in enumerate(batch.column(0)):

@@ -149,11 +149,12 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     order = ["doc_id", F.xxhash64("text")]  # so that many rows of one id are many tasks
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    shared = encoder(docs.sparkSession, vocabulary, spaced=False)
 
     def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = encoder(vocabulary, spaced=False).encode, np.array([END], "<u4").tobytes()
+        encode, end = shared.value.encode, np.array([END], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         path = f"{folder}/{part:06d}-{uuid.uuid4().hex}.zst"
         writer = out = None

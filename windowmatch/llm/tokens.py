@@ -2,7 +2,7 @@
 
 Both vocabularies cut a text into pieces before they merge bytes, and never across the white space
 handled here, so a text's ids are those of its pieces, one after the other. Every piece is encoded
-by the library; a worker remembers the pieces it has met, up to a bound.
+by the library; a worker remembers the pieces it has met, up to a bound, while it works for the operator.
 """
 
 from __future__ import annotations
@@ -10,9 +10,11 @@ from __future__ import annotations
 import os
 import re
 import sys
+import weakref
 from array import array
 
 import numpy as np
+from pyspark import Broadcast
 
 from windowmatch.llm.shared import Memo
 
@@ -53,9 +55,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.spaced = spaced
-        self.runs = Memo(self._run, runs)
-        self.first = Memo(lambda w: self._piece(w, ""), runs if spaced else known)
-        self.rest = Memo(lambda w: self._piece(w, " "), known)
+        # the memories refer to it weakly, so that they go at once when it goes
+        own = weakref.proxy(self)
+        self.runs = Memo(lambda r: own._run(r), runs)
+        self.first = Memo(lambda w: own._piece(w, ""), runs if spaced else known)
+        self.rest = Memo(lambda w: own._piece(w, " "), known)
         self.line = self._whole("\n") if spaced else b""
 
     def _whole(self, text: str) -> bytes:
@@ -99,11 +103,25 @@ def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-_encoders: dict[tuple, Encoder] = {}
+class Shared:
+    """An encoder that is broadcast by its parameters, and made by the worker that needs it.
+
+    A worker outlives the operator and serves the next one. What it remembers goes with the broadcast: before
+    the first task that does not name it, instead of lying beside the memory of that task.
+    """
+
+    def __init__(self, path: str, spaced: bool):
+        self.parameters, self.made = (path, spaced), None
+
+    def __getstate__(self):
+        return {**self.__dict__, "made": None}
+
+    def encode(self, text: bytes | None) -> bytes:
+        if self.made is None:
+            self.made = Encoder(*self.parameters)
+        return self.made.encode(text)
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
-    """The encoder of this worker process."""
-    if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = Encoder(path, spaced)
-    return _encoders[path, spaced]
+def encoder(spark, path: str, spaced: bool) -> Broadcast:
+    """A broadcast with an encoder for each worker process."""
+    return spark.sparkContext.broadcast(Shared(path, spaced))
