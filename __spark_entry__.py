@@ -246,8 +246,7 @@ def csv_ingest_mixed(spark, sf_dir):
     path = fresh_path(spark, "mixed")
     for half, order in enumerate((["datetime", *names], [*reversed(names), "datetime"])):
         some = text.where(F.crc32(F.col("datetime").cast("binary")) % 2 == half)
-        write = some.select("file", *order).repartition("file").write.partitionBy("file")
-        write.option("header", True).csv(f"{path}/{half}")
+        bar_files.write_named_files(some.select("file", *order), f"{path}/{half}", "file")
     raw = bar_files.read_mixed_bar_files(spark, path, nested=True)
     folder = F.url_decode(F.regexp_extract("_seq.file_path", "/file=([^/]*)/", 1))
     loaded, _ = bar_files.parse_bars(raw.withColumn("file_name", folder), time_format="%d/%m/%Y")

@@ -1,4 +1,5 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -358,3 +359,42 @@ def test_lines_of_mixed_files_are_cut_once(spark, tmp_path):
     assert plan.count("from_csv") == 2 and "min_by" not in plan
     rows = raw.select("file_name", "datetime", "OPEN", "HIGH").orderBy("file_name").collect()
     assert [tuple(r) for r in rows] == [("1.a.csv", "2020-01-05", "1", "2"), ("2.a.csv", "2020-01-06", None, "4")]
+
+
+def test_bar_files_are_written_by_the_tasks_as_spark_would(spark, tmp_path):
+    rows = [(i, "A B" if i % 2 else "a:b%{", dt.datetime(1999, 1, 1) + dt.timedelta(days=d, microseconds=d), float(d), 1e7, None)
+            for i in range(40) for d in range(3)]
+    rows.append((None, "X", dt.datetime(2020, 1, 1), 1.0, 2.0, 3.0))
+    bars = spark.createDataFrame(rows, "sid int, exchangeCD string, datetime timestamp_ntz, open double, volume double, pre_close double")
+    bars = bars.withColumns({c: F.col("open") / 3 for c in ("high", "low", "close")})
+    for sep in (",", "-"):
+        ours, theirs = str(tmp_path / f"ours{ord(sep)}"), str(tmp_path / f"theirs{ord(sep)}")
+        bar_files.write_bar_files(bars, ours, sep=sep)
+        raw = bar_files.read_bar_files(spark, ours, sep=sep, name_column="file").drop(bar_files.SEQ)
+        raw.withColumnRenamed("file_name", "file").write.partitionBy("file").option("header", True).option("sep", sep).csv(theirs)
+
+        def held(top):
+            files = [f for f in Path(top).rglob("*.csv") if f.is_file()]
+            return sorted((f.parent.name, text) for f in files for text in f.read_text().splitlines())
+
+        assert held(ours) == held(theirs) and len(held(ours)) == 41 + len(rows)
+        # Spark's writer leaves a sum beside each file
+        assert not list(Path(ours).rglob("*.crc")) and not list(Path(ours).rglob(".[0-9a-f]*"))
+        with pytest.raises(FileExistsError):
+            bar_files.write_bar_files(bars, ours, sep=sep)
+    found, rejects = bar_files.parse_bars(bar_files.read_bar_files(spark, str(tmp_path / "ours44"), name_column="file"))
+    assert found.count() == len(rows) - 1 and rejects.count() == 1
+
+
+def test_a_name_with_many_rows_is_several_files_and_no_rows_are_none(spark, tmp_path):
+    rows = spark.range(0, 20_000, 1, 8).select(F.lit("7.X.csv").alias("file"), F.format_string("%06d", "id").alias("at"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        bar_files.write_named_files(rows, str(tmp_path / "many"), "file")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "many" / "file=7.X.csv").iterdir())
+    assert len(files) > 1 and {f.read_text().splitlines()[0] for f in files} == {"at,id"}
+    assert [line for f in files for line in f.read_text().splitlines()[1:]] == [f"{i:06d},{i}" for i in range(20_000)]
+    bar_files.write_named_files(rows.where("false"), str(tmp_path / "none"), "file")
+    assert not list((tmp_path / "none").iterdir())

@@ -6,15 +6,26 @@ with a header.
 
 from __future__ import annotations
 
+import os
+import re
+import sys
+import uuid
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 from operator import or_
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windowmatch.functions.times import parse_time
-from windowmatch.staging import stage
+from windowmatch.staging import qualified, stage
+
+# Executors get these functions with the task and need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed value: the format of the vendor files.
 DEFAULT_TIME_FORMAT = "%Y-%m-%d %H:%M:%S"
@@ -203,23 +214,71 @@ def ingest(
     return parse_bars(raw, time_column, time_format, strict)
 
 
+# Characters that Spark writes as %XX in the name of a folder.
+_ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
+
+def _folder(name_column: str, name: str | None) -> str:
+    """The folder of one name as ``partitionBy`` has it."""
+
+    def escaped(text: str) -> str:
+        return _ESCAPED.sub(lambda c: f"%{ord(c[0]):02X}", text)
+
+    return f"{escaped(name_column)}={escaped(name) if name else '__HIVE_DEFAULT_PARTITION__'}"
+
+
+def write_named_files(rows: DataFrame, path: str, name_column: str, sep: str = ",") -> None:
+    """``rows`` as delimited files with a header, one folder ``<name_column>=<name>`` per name.
+
+    The rows are spread by name and the first of the other columns, so a name with very many rows becomes
+    several files of its folder. On a file system of the machine Spark's writer starts a process for each right
+    it sets, four a file; there the tasks write the files themselves. A file appears whole under the number of
+    its task, so a task that runs again replaces its own files. ``path`` must be new.
+    """
+    columns = [c for c in rows.columns if c != name_column]
+    spread = rows.repartitionByRange(name_column, columns[0])
+    url = qualified(rows.sparkSession, path)
+    if url.getScheme() != "file":
+        spread.write.partitionBy(name_column).option("header", True).option("sep", sep).csv(path)
+        return
+    top = url.getPath()
+    os.makedirs(top)
+    head = F.to_csv(F.struct(*(F.lit(c).alias(c) for c in columns)), {"sep": sep})
+    header = rows.sparkSession.range(1).select(head).first()[0]
+    line = F.to_csv(F.struct(*columns), {"sep": sep})
+    sorted_rows = spread.sortWithinPartitions(name_column, columns[0])
+    lines = sorted_rows.select(F.col(name_column).cast("string").alias("name"), line.alias("line"))
+
+    def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        final = f"part-{TaskContext.get().partitionId():05d}.csv"
+        pairs = (pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        files = 0
+        for name, some in groupby(pairs, lambda pair: pair[0] or None):
+            folder = f"{top}/{_folder(name_column, name)}"
+            os.makedirs(folder, exist_ok=True)
+            hidden = f"{folder}/.{uuid.uuid4().hex}"
+            with open(hidden, "w", encoding="utf-8", newline="") as out:
+                out.write(f"{header}\n")
+                out.writelines(f"{text}\n" for _, text in some)
+            os.replace(hidden, f"{folder}/{final}")
+            files += 1
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    lines.mapInArrow(write_part, "files long").agg(F.sum("files")).collect()
+
+
 def write_bar_files(
     bars: DataFrame, path: str, sep: str = ",", name_column: str = "file"
 ) -> None:
     """The inverse of the ingest: vendor header, one folder ``<sid>.<exchangeCD>.csv`` per security.
 
-    The rows are spread by (file, time), so a security with very many bars becomes
-    several files of its folder.
+    A security with very many bars becomes several files of its folder, split by time.
     """
     named = bars.select(
         F.concat(F.col("sid"), F.lit("."), F.col("exchangeCD"), F.lit(".csv")).alias(name_column),
         F.date_format("datetime", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").alias("datetime"),
         *(F.col(column).alias(vendor) for vendor, column in VENDOR_NAMES.items()),
     )
-    (
-        named.repartitionByRange(name_column, "datetime")
-        .write.partitionBy(name_column)
-        .option("header", True)
-        .option("sep", sep)
-        .csv(path)
-    )
+    write_named_files(named, path, name_column, sep)

@@ -82,6 +82,12 @@ def _placed(spark: SparkSession, path: str):
     return place, place.getFileSystem(context._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str):
+    """The URI of a path, with the scheme of its file system."""
+    place, system = _placed(spark, path)
+    return system.makeQualified(place).toUri()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     place, system = _placed(spark, path)
     return system.exists(place)
