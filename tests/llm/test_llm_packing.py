@@ -78,6 +78,19 @@ def test_remembered_words_give_the_library_ids(path, spaced, text):
     assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == want
 
 
+@pytest.mark.parametrize(("path", "spaced"), [(BYTES, True), (WORDS, False)])
+def test_a_word_is_merged_once_whatever_marks_or_capitals_it_has(path, spaced):
+    own, calls = Encoder(path, spaced), []
+    merge, words = own.tokenize, [f"{a}{b}{c}ng" for a in "bdfk" for b in ("a", "\xe9") for c in "lmnr"]
+    own.tokenize = lambda text: calls.append(text) or merge(text)
+    forms = [str, "{},".format, "{}!?".format] + ([] if spaced else [str.upper, str.capitalize])
+    for form in forms:
+        for text in ("x " + " ".join(map(form, words)), *(f"x {form(w)}" for w in words)):
+            want = own.tokenizer.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == want
+    assert len(calls) == len(words) + 3  # x and the marks
+
+
 ENCODERS = {}
 
 

@@ -3,6 +3,7 @@
 Both vocabularies cut a text into pieces before they merge bytes, and never across the white space
 handled here, so a text's ids are those of its pieces, one after the other. Every piece is encoded
 by the library; a worker remembers the pieces it has met, up to a bound, while it works for the operator.
+A word with marks behind it, or with capitals where case does not count, is looked up without them.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ _SUSPECT = (
 _ODD = re.compile(r"\s\s")
 # Latin letters without the two signs among them, then ASCII marks but the apostrophe.
 _SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+# What the name of an added token has; such a text is not lower-cased as a whole.
+_ADDED = b"<|"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -67,26 +70,31 @@ class Encoder:
 
     def _run(self, run: bytes) -> bytes:
         """A run that is one piece for the vocabulary."""
-        return _packed([token.id for token in self.tokenize(run.decode("latin-1").translate(_LETTER))])
+        # ASCII letters stand for themselves
+        text = run.decode() if run.isalpha() else run.decode("latin-1").translate(_LETTER)
+        return _packed([token.id for token in self.tokenize(text)])
 
     def _piece(self, word: bytes, space: str) -> bytes:
-        simple = _SIMPLE.fullmatch(word)
-        if not simple:
-            return self._whole(space + word.decode())
-        letters, marks = simple.groups()
+        letters, marks = word, b""
+        if not word.isalpha():
+            simple = _SIMPLE.fullmatch(word)
+            if not simple:
+                return self._whole(space + word.decode())
+            letters, marks = simple.groups()
         if not self.spaced:
-            letters = letters.decode().lower().encode()
-        elif space:
-            letters = b" " + letters
-        if not marks:
-            return self._run(letters)
-        return self.runs[letters] + self.runs[marks]
+            letters = letters.lower() if letters.isalpha() else letters.decode().lower().encode()
+        if letters != word:
+            known = self.rest if space else self.first
+            return known[letters] + (self.runs[marks] if marks else b"")
+        return self._run(b" " + letters if space else letters)
 
     def encode(self, text: bytes | None) -> bytes:
         """The ids of a text in UTF-8."""
         if not text:
             return b""
         if not self.spaced:
+            if text.isascii() and _ADDED not in text:
+                text = text.lower()
             return b"".join(map(self.first.__getitem__, text.split()))
         if any(s in text for s in _SUSPECT) and _ODD.search(text.decode()):
             return self._whole(text.decode())
