@@ -41,6 +41,13 @@ def test_links_are_all_pairs_within_two_bits(spark):
     assert {tuple(r) for r in found.collect()} == want and len(want) > 300
 
 
+def test_the_index_of_few_fingerprints_is_not_broadcast(spark):
+    """Spark sizes the index, 70 keys a fingerprint, like the fingerprints themselves."""
+    found = simhash.fingerprint_links(spark.range(1000).withColumnRenamed("id", "fp"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(6)
     for size, n in ((60, 40), (200, 150), (300, 600)):

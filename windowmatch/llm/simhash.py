@@ -98,7 +98,8 @@ def _keys() -> Column:
 def fingerprint_links(fingerprints: DataFrame) -> DataFrame:
     """Pairs (a, b) of different fingerprints ``fp`` that differ in at most two bits, each once."""
     indexed = fingerprints.select("fp", F.explode(_keys()).alias("key"))
-    left, right = indexed.toDF("a", "key"), indexed.toDF("b", "key")
+    # Spark takes the index for as small as the fingerprints, so it must not choose to broadcast it
+    left, right = indexed.toDF("a", "key"), indexed.toDF("b", "key").hint("merge")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
     return left.join(right, (left.key == right.key) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
