@@ -36,6 +36,18 @@ def test_stages_keep_the_columns_and_drop_what_they_name(spark, stages):
     assert secrets == {r["doc_id"] for r in changed.collect()} and stages[3].count() == stages[2].count()
 
 
+def test_the_index_of_near_duplicates_is_not_broadcast(spark, monkeypatch):
+    plans, components = [], simhash.components
+
+    def watched(links):
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+        return components(links)
+
+    monkeypatch.setattr(simhash, "components", watched)
+    kept = corpus_pipeline.near_duplicates(spark, table(spark, SF, "documents"), SF)
+    assert kept.count() and len(plans) == 1 and "Generate explode" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_run_equals_the_stages(spark, stages):
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     got = registered.queries()["pipeline"](spark, SF).select(*columns).collect()
